@@ -39,12 +39,12 @@ class ExampleSettings:
     def __post_init__(self):
         if self.truncate not in ("random", "tail"):
             raise ValueError(f"truncate must be 'random' or 'tail', not {self.truncate!r}")
-        if self.next_token and self.next_visit:
-            raise ValueError("next-token and next-visit targets cut the sequence differently; choose one")
-        if self.next_visit and (self.mask_concepts or self.mask_visits):
-            raise ValueError("next-visit targets cannot be combined with masking")
-        if self.next_token and (self.mask_concepts or self.mask_visits):
-            raise ValueError("next-token targets cannot be combined with masking")
+        if self.next_token and (self.next_visit or self.label or self.mask_concepts or self.mask_visits):
+            raise ValueError("a next-token target cannot be combined with any other target")
+        if (self.mask_concepts or self.next_token) and not self.token_ids:
+            raise ValueError("masked concepts and next-token targets need token_ids")
+        if self.mask_visits and not self.visit_token_ids:
+            raise ValueError("masked visit concepts need visit_token_ids")
 
     def for_evaluation(self):
         """The same inputs without masking."""

@@ -23,7 +23,7 @@ SCHEMAS = {
 }
 
 
-def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
+def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[table]).parquet(f"{folder}/{table}.parquet")
 
 
@@ -34,7 +34,7 @@ def _days(column):
 def person(spark, folder):
     key = F.col("c_custkey")
     return conform(
-        _read(spark, folder, "customer").select(
+        read(spark, folder, "customer").select(
             key.alias("person_id"),
             (1930 + key % 70).alias("year_of_birth"),
             F.nullif(key % 13, F.lit(0)).alias("month_of_birth"),
@@ -54,7 +54,7 @@ def observation_period(spark, folder):
         F.struct(F.lit(1).alias("k"), F.lit("1995-01-01").alias("s"), F.lit("1996-12-31").alias("e")),
         F.struct(F.lit(2).alias("k"), F.lit("1998-01-01").alias("s"), F.lit("2000-12-31").alias("e")),
     )
-    periods = _read(spark, folder, "customer").where("c_acctbal >= 0").select("c_custkey", F.explode(spans).alias("p"))
+    periods = read(spark, folder, "customer").where("c_acctbal >= 0").select("c_custkey", F.explode(spans).alias("p"))
     return conform(
         periods.select(
             F.col("c_custkey").alias("person_id"),
@@ -70,7 +70,7 @@ def visit_occurrence(spark, folder):
     start = F.col("o_orderdate").cast("date")
     priority = F.col("o_orderpriority")
     return conform(
-        _read(spark, folder, "orders")
+        read(spark, folder, "orders")
         .where(priority != "5-LOW")
         .select(
             F.col("o_custkey").alias("person_id"),
@@ -87,8 +87,8 @@ def visit_occurrence(spark, folder):
 
 
 def _event_base(spark, folder):
-    lines = _read(spark, folder, "lineitem").join(
-        _read(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
+    lines = read(spark, folder, "lineitem").join(
+        read(spark, folder, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")
     )
     copies = F.when(F.col("l_quantity") > 47, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
     return lines.withColumn("_copy", F.explode(copies)).select(
@@ -159,7 +159,7 @@ def procedure_occurrence(spark, folder):
 def death(spark, folder):
     day = F.date_add(F.lit("2000-06-15").cast("date"), _days(F.col("c_custkey") % 100))
     return conform(
-        _read(spark, folder, "customer")
+        read(spark, folder, "customer")
         .where("c_acctbal > 9600")
         .select(F.col("c_custkey").alias("person_id"), day.alias("death_date")),
         "death",
@@ -171,7 +171,7 @@ def _brand_number():
 
 
 def concept(spark, folder):
-    part = _read(spark, folder, "part")
+    part = read(spark, folder, "part")
     ingredients = part.select(
         (3000000 + _brand_number()).alias("concept_id"), F.lit("Ingredient").alias("concept_class_id")
     ).distinct()
@@ -191,7 +191,7 @@ def concept_ancestor(spark, folder):
         F.when(F.col("p_size") <= 5, 3000000 + brand % 25 + 1),
         drug,
     )
-    pairs = _read(spark, folder, "part").select(
+    pairs = read(spark, folder, "part").select(
         F.explode(ancestors).alias("ancestor_concept_id"), drug.alias("descendant_concept_id")
     )
     return conform(pairs.where("ancestor_concept_id IS NOT NULL"), "concept_ancestor")
@@ -199,7 +199,7 @@ def concept_ancestor(spark, folder):
 
 def labels(spark, folder):
     return (
-        _read(spark, folder, "customer")
+        read(spark, folder, "customer")
         .where("c_mktsegment <> 'MACHINERY'")
         .select(F.col("c_custkey").alias("person_id"), (F.col("c_acctbal") > 5000).alias("label"))
     )
