@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ehrseq.functions.arrays import prefix_and_pad, relative_orders
 from ehrseq.functions.draws import uniform, whole_number
+from ehrseq.operators.numbering import number_rows
 from ehrseq.operators.vocabulary import encode
 from ehrseq.schema import CLS_ID, FIRST_TOKEN_ID, MASK_ID, PAD_ID, PERIOD_KEY
 from ehrseq.settings import ExampleSettings
@@ -19,6 +20,9 @@ MASK_VISIT_RATE = 0.5
 BECOMES_MASK_BELOW = 0.8
 BECOMES_RANDOM_BELOW = 0.9
 
+# Draws are numbered in this many blocks.
+DRAW_BLOCKS = 4096
+
 
 def bounds(settings: ExampleSettings) -> tuple[Column, Column]:
     """First position kept and first position no longer kept, from facts every token carries."""
@@ -181,7 +185,10 @@ def build_examples(
 def cap_training_set(examples: DataFrame, rows: int, seed: int = 0) -> DataFrame:
     """A reproducible choice of at most ``rows`` examples, for learning curves.
 
-    Smaller caps choose a subset of what larger caps choose.
+    Smaller caps choose a subset of what larger caps choose. Examples are numbered in the order
+    of their draws, block by block, so no task sees them all.
     """
-    draw = uniform(seed, "cap", *PERIOD_KEY)
-    return examples.withColumn("_draw", draw).orderBy("_draw", *PERIOD_KEY).limit(rows).drop("_draw")
+    drawn = examples.withColumn("_draw", uniform(seed, "cap", *PERIOD_KEY)).withColumn("_all", F.lit(0))
+    blocks = drawn.withColumn("_block", F.floor(F.col("_draw") * DRAW_BLOCKS))
+    numbered = number_rows(blocks, "_number", ["_all"], "_block", ["_draw", *PERIOD_KEY])
+    return numbered.where(F.col("_number") <= rows).select(*examples.columns)

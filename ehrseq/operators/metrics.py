@@ -17,8 +17,12 @@ from ehrseq.functions.losses import (
     softmax_cross_entropy,
 )
 
-# Scores are cut into this many blocks between 0 and 1, each a window partition of its own.
-SCORE_BLOCKS = 4096
+
+def _score_block(score: Column) -> Column:
+    """An order-preserving block number that spreads scores near 0 and 1 as well as those between."""
+    inner = F.floor(F.log(score / (1 - score)) * 1024)
+    outer = F.floor(score * 4096)
+    return F.when(score <= 0, outer - 10**6).when(score >= 1, outer + 10**6).otherwise(inner)
 
 
 def _by_score(predictions: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
@@ -31,7 +35,7 @@ def _by_score(predictions: DataFrame, keys: list[str], score: str, label: str) -
     points = (
         predictions.groupBy(*keys, F.col(score).cast("double").alias("_score"))
         .agg(F.sum(positive).alias("_pos"), F.sum(1 - positive).alias("_neg"))
-        .withColumn("_block", F.floor(F.col("_score") * SCORE_BLOCKS))
+        .withColumn("_block", _score_block(F.col("_score")))
     )
     sums = points.groupBy(*keys, "_block").agg(F.sum("_pos").alias("_bp"), F.sum("_neg").alias("_bn"))
     cell = Window.partitionBy(*keys)

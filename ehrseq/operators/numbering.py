@@ -58,7 +58,10 @@ def carry_in(frame: DataFrame, busy: DataFrame | None, keys: list[str], name: st
 
 
 def number_rows(frame: DataFrame, name: str, keys: list[str], block: str, order: list) -> DataFrame:
-    """1-based row number per group in the order (block, ``order``), with every group cut."""
+    """1-based row number per group in the order (block, ``order``), with every group cut.
+
+    Rows with a null key or block are left out.
+    """
     sizes = frame.groupBy(*keys, block).agg(F.count("*").alias("_rows"))
     before = blocks_before(sizes, keys, block, _before=F.sum("_rows"))
     within = Window.partitionBy(*keys, block).orderBy(*order)

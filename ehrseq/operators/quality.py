@@ -43,12 +43,12 @@ def dense_visits(sequences: DataFrame) -> DataFrame:
 
     The week 0 of interval tokens counts as a date, as in the published check.
     """
-    days = (F.array_max("dates") - F.array_min("dates")) * 7
-    visits = F.array_max("visit_concept_orders")
-    totals = sequences.agg(
-        F.sum(visits).alias("total_visits"),
-        F.sum(F.when(visits > days / 2, visits).otherwise(0)).alias("dense_visits"),
+    per_sequence = sequences.groupBy(*PERIOD_KEY).agg(
+        ((F.max(F.array_max("dates")) - F.min(F.array_min("dates"))) * 7).alias("_days"),
+        F.max(F.array_max("visit_concept_orders")).alias("_visits"),
     )
+    dense = F.when(F.col("_visits") > F.col("_days") / 2, F.col("_visits")).otherwise(0)
+    totals = per_sequence.agg(F.sum("_visits").alias("total_visits"), F.sum(dense).alias("dense_visits"))
     return totals.withColumn("dense_share", F.col("dense_visits") / F.col("total_visits"))
 
 

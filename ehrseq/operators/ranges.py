@@ -15,13 +15,10 @@ RANGE_TYPE = "struct<first_date:date,last_date:date,visit_seq:bigint>"
 def within_period(rows: DataFrame, date: str, periods: DataFrame, busy: DataFrame | None = None) -> DataFrame:
     """Rows whose date lies inside an observation period of their person (ends included).
 
-    A row inside two overlapping periods comes out twice. Rows and periods of busy persons meet
-    per calendar year: a period is listed once per year in which the person has rows at all, so
-    an open-ended period does not grow without bound.
+    A row inside two overlapping periods comes out twice, with all columns of each. Rows and
+    periods of busy persons meet per calendar year: a period is listed once per year in which the
+    person has rows at all, so an open-ended period does not grow without bound.
     """
-    periods = periods.select(
-        "person_id", "observation_period_id", "observation_period_start_date", "observation_period_end_date"
-    )
     inside = (F.col(date) >= F.col("observation_period_start_date")) & (
         F.col(date) <= F.col("observation_period_end_date")
     )

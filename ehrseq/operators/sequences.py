@@ -7,7 +7,7 @@ from ehrseq.schema import PERIOD_KEY, SEQUENCE_ARRAYS
 
 # No row can hold a period of any length. Longer sequences continue on further rows, whose
 # ``orders`` go on counting; no token is lost.
-TOKENS_PER_ROW = 1_000_000
+TOKENS_PER_ROW = 200_000
 
 
 def collect_sequences(tokens: DataFrame, tokens_per_row: int = TOKENS_PER_ROW) -> DataFrame:

@@ -40,13 +40,6 @@ TOKEN_COLUMNS = [
 ]
 
 
-def visits_in_period(visits: DataFrame, observation_period: DataFrame, busy: DataFrame | None = None) -> DataFrame:
-    """Visits that start inside an observation period of their person."""
-    return within_period(visits, "visit_start_date", observation_period, busy).select(
-        *PERIOD_KEY, "visit_seq", "visit_start_date", "visit_end_date", "visit_concept_id"
-    )
-
-
 def rank_visits(
     visits: DataFrame,
     observation_period: DataFrame,
@@ -68,30 +61,33 @@ def rank_visits(
         .groupBy("person_id", "visit_seq")
         .agg(F.count("*").alias("_events"), F.count("concept_id").alias("_concepts"))
     )
+    # What is known of the person travels with the period, so visits meet both in one join.
     birth = add_date_of_birth(person).select("person_id", "date_of_birth", F.lit(True).alias("known_person"))
+    periods = observation_period.join(birth, "person_id", "left")
+    if labels is not None:
+        periods = periods.join(_person_labels(labels), "person_id")
     known = F.coalesce("known_person", F.lit(False))
-    counted = (
-        visits_in_period(visits, observation_period, busy)
-        .join(counts, ["person_id", "visit_seq"], "left")
-        .join(birth, "person_id", "left")
-        .select(
-            *PERIOD_KEY,
-            "visit_seq",
-            "visit_start_date",
-            "visit_end_date",
-            "visit_concept_id",
-            "date_of_birth",
-            known.alias("known_person"),
-            (F.col("_events") > large_visit_events).alias("large"),
-            F.when(known, F.coalesce("_events", F.lit(0)) + 2).otherwise(F.lit(0)).alias("_tokens"),
-            F.when(known, F.coalesce("_concepts", F.lit(0)) + 2).otherwise(F.lit(0)).alias("_filled"),
-        )
+    label = [] if labels is None else ["label", "_copies"]
+    counted = within_period(
+        visits.join(counts, ["person_id", "visit_seq"], "left"), "visit_start_date", periods, busy
+    ).select(
+        *PERIOD_KEY,
+        "visit_seq",
+        "visit_start_date",
+        "visit_end_date",
+        "visit_concept_id",
+        "date_of_birth",
+        known.alias("known_person"),
+        F.coalesce(F.col("_events") > large_visit_events, F.lit(False)).alias("large"),
+        F.when(known, F.coalesce("_events", F.lit(0)) + 2).otherwise(F.lit(0)).alias("_tokens"),
+        F.when(known, F.coalesce("_concepts", F.lit(0)) + 2).otherwise(F.lit(0)).alias("_filled"),
+        *label,
     )
     blocks = _block_facts(month_block(counted, busy, "visit_start_date"), busy)
     order = Window.partitionBy(*PERIOD_KEY, "_block").orderBy("visit_seq")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     number = F.row_number().over(order)
-    rank = F.coalesce("_n0", F.lit(0)) + number
+    rank = (F.coalesce("_n0", F.lit(0)) + number).cast("bigint")
     tokens_before = F.coalesce("_t0", F.lit(0)) + F.coalesce(F.sum("_tokens").over(earlier), F.lit(0))
     intervals = F.col("num_of_visits") - 1
     result = blocks.select(
@@ -123,7 +119,23 @@ def rank_visits(
     ]
     if labels is None:
         return result.select(*kept)
-    return _with_labels(result, labels).select(*kept, "label")
+    return _repeat_for_labels(result).select(*kept, "label")
+
+
+def _person_labels(labels: DataFrame) -> DataFrame:
+    """One row per labelled person, with the number of labels."""
+    return labels.groupBy("person_id").agg(F.bool_or("label").alias("label"), F.count("*").alias("_copies"))
+
+
+def _repeat_for_labels(visits: DataFrame) -> DataFrame:
+    """A person labelled twice gets every token twice, as a join of tokens and labels would give."""
+    copies = F.col("_copies")
+    return (
+        visits.withColumn("first_position", F.col("first_position") * copies)
+        .withColumn("sequence_length", F.col("sequence_length") * copies)
+        .withColumn("last_visit_start", F.col("last_visit_start") * copies)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
+    )
 
 
 def _block_facts(visits: DataFrame, busy: DataFrame | None) -> DataFrame:

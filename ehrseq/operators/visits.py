@@ -5,19 +5,20 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ehrseq.operators.numbering import BUSY_PERSON_ROWS, busy_persons
+from ehrseq.operators.numbering import add_block
 from ehrseq.operators.ranges import first_covering_visit
 from ehrseq.staging import Staging
 
 # Room for the visits of one person that start on the same day.
 SEQ_PER_DAY = 2**32
+# Into how many groups the events of a busy person's day are spread.
+SPREAD = 64
 
 
 class LinkedEvents(NamedTuple):
     events: DataFrame
     visits: DataFrame
     statistics: DataFrame
-    busy: DataFrame | None
 
 
 def day_seq(date: Column) -> Column:
@@ -97,15 +98,26 @@ def new_visits(resolved_days: DataFrame, missing_visit_concept_id: int) -> DataF
     )
 
 
-def resolve_events(linked: DataFrame, resolved_days: DataFrame) -> DataFrame:
+def resolve_events(linked: DataFrame, resolved_days: DataFrame, busy: DataFrame | None = None) -> DataFrame:
     """Events with their visit, once each, with the route by which the visit was found.
 
     The join on person and date also groups equal events, so removing them needs no shuffle.
+    Days of busy persons are spread: equal events stay together, and the day is listed in each
+    group.
     """
     by_id = F.col("id_from_id").isNotNull()
+    events = linked.select("person_id", "start_date", "concept_id", "id_from_id", "visit_person_id")
+    keys = ["person_id", "start_date"]
+    if busy is not None:
+        group = 1 + F.pmod(F.xxhash64("concept_id", "id_from_id", "visit_person_id"), F.lit(SPREAD))
+        events = add_block(events, busy, group, "_spread")
+        groups = F.when(F.col("_busy_day") == 1, F.sequence(F.lit(1), F.lit(SPREAD))).otherwise(F.array(F.lit(0)))
+        resolved_days = add_block(resolved_days, busy, F.lit(1), "_busy_day").withColumn(
+            "_spread", F.explode(groups).cast("bigint")
+        )
+        keys = [*keys, "_spread"]
     return (
-        linked.select("person_id", "start_date", "concept_id", "id_from_id", "visit_person_id")
-        .join(resolved_days, ["person_id", "start_date"], "left")
+        events.join(resolved_days, keys, "left")
         .distinct()
         .select(
             "person_id",
@@ -140,21 +152,20 @@ def link_events_to_visits(
     events: DataFrame,
     visits: DataFrame,
     missing_visit_concept_id: int = 0,
+    busy: DataFrame | None = None,
     stage: Staging | None = None,
-    busy_rows: int = BUSY_PERSON_ROWS,
 ) -> LinkedEvents:
     """Link by visit id, else by date, else to a new visit of the event's day.
 
-    What several of the results read is staged, so that it is computed once. ``busy`` of the
-    result names the persons with more than ``busy_rows`` rows.
+    What several of the results read is staged, so that it is computed once. ``busy`` names
+    persons with very many rows (see ``busy_persons``).
     """
     stage = stage or Staging(events.sparkSession)
     keyed = key_visits(visits)
     linked = stage(link_by_id(events, keyed), "linked_events")
-    busy = busy_persons([linked, visits], stage, busy_rows)
     days = stage(resolve_days(unlinked_days(linked), keyed, busy), "resolved_days")
-    resolved = stage(resolve_events(linked, days), "resolved_events")
+    resolved = stage(resolve_events(linked, days, busy), "resolved_events")
     all_visits = keyed.select(
         "person_id", "visit_start_date", "visit_end_date", "visit_concept_id", "visit_seq"
     ).unionByName(new_visits(days, missing_visit_concept_id))
-    return LinkedEvents(resolved, all_visits, link_statistics(resolved, visits, days), busy)
+    return LinkedEvents(resolved, all_visits, link_statistics(resolved, visits, days))

@@ -136,12 +136,12 @@ def link_by_id(run):
 
 @query
 def link_by_date(run):
-    return visits.link_by_date(run.linked_by_id, run.keyed_visits)
+    return visits.link_by_date(run.linked_by_id, run.keyed_visits, run.busy)
 
 
 @query
 def new_visits(run):
-    days = visits.resolve_days(visits.unlinked_days(run.linked_by_id), run.keyed_visits)
+    days = visits.resolve_days(visits.unlinked_days(run.linked_by_id), run.keyed_visits, run.busy)
     return visits.new_visits(days, run.settings.missing_visit_concept_id)
 
 
@@ -523,7 +523,7 @@ def cohort_statistics(run):
 
 def _window_labels(run):
     return cohort.window_labels(
-        run.distinct_events, run.tables["observation_period"], run.chosen_concepts, WINDOW_DAYS
+        run.distinct_events, run.tables["observation_period"], run.chosen_concepts, WINDOW_DAYS, run.busy
     )
 
 
@@ -571,6 +571,7 @@ def history_events(run):
         "start_date",
         run.tables["observation_period"],
         WINDOW_DAYS,
+        run.busy,
     )
 
 

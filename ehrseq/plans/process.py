@@ -12,6 +12,7 @@ from ehrseq.operators.events import (
     remove_duplicates,
     union_domain_tables,
 )
+from ehrseq.operators.numbering import busy_persons
 from ehrseq.operators.sequences import collect_sequences
 from ehrseq.operators.tokens import create_tokens
 from ehrseq.operators.visits import link_events_to_visits
@@ -47,11 +48,12 @@ def process_tables(
     stage = stage or Staging(tables["person"].sparkSession)
     events = prepare_events(tables, settings)
     distinct = stage(events["distinct"], "distinct_events")
+    busy = busy_persons([distinct, tables["visit_occurrence"], tables["observation_period"]], stage)
     linked = link_events_to_visits(
-        distinct, tables["visit_occurrence"], settings.missing_visit_concept_id, stage=stage
+        distinct, tables["visit_occurrence"], settings.missing_visit_concept_id, busy, stage
     )
     tokens = create_tokens(
-        tables, linked.events, linked.visits, labels if settings.has_labels else None, linked.busy, stage
+        tables, linked.events, linked.visits, labels if settings.has_labels else None, busy, stage
     )
     return Processed(tokens, run_counters(tables, events, distinct, linked.statistics, settings))
 

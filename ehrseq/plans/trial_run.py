@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ehrseq.operators.cohort import choose_concepts
 from ehrseq.operators.events import ingredient_mapping
+from ehrseq.operators.numbering import busy_persons
 from ehrseq.operators.sequences import collect_sequences
 from ehrseq.operators.tokens import rank_visits, token_stream
 from ehrseq.operators.visits import key_visits, link_by_id, link_events_to_visits
@@ -47,6 +48,11 @@ class TrialRun:
     def keyed_visits(self):
         return key_visits(self.tables["visit_occurrence"])
 
+    @cached_property
+    def busy(self):
+        tables = [self.distinct_events, self.tables["visit_occurrence"], self.tables["observation_period"]]
+        return busy_persons(tables, self.stage)
+
     @cached_property
     def linked_by_id(self):
         return link_by_id(self.distinct_events, self.keyed_visits)
@@ -57,6 +63,7 @@ class TrialRun:
             self.distinct_events,
             self.tables["visit_occurrence"],
             self.settings.missing_visit_concept_id,
+            self.busy,
             self.stage,
         )
 
@@ -67,7 +74,7 @@ class TrialRun:
             self.tables["person"],
             self.linked.events,
             labels,
-            self.linked.busy,
+            self.busy,
         )
 
     @cached_property
