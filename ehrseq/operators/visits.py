@@ -112,8 +112,10 @@ def resolve_events(linked: DataFrame, resolved_days: DataFrame, busy: DataFrame
         group = 1 + F.pmod(F.xxhash64("concept_id", "id_from_id", "visit_person_id"), F.lit(SPREAD))
         events = add_block(events, busy, group, "_spread")
         groups = F.when(F.col("_busy_day") == 1, F.sequence(F.lit(1), F.lit(SPREAD))).otherwise(F.array(F.lit(0)))
-        resolved_days = add_block(resolved_days, busy, F.lit(1), "_busy_day").withColumn(
-            "_spread", F.explode(groups).cast("bigint")
+        resolved_days = (
+            add_block(resolved_days, busy, F.lit(1), "_busy_day")
+            .withColumn("_spread", F.explode(groups.cast("array<bigint>")))
+            .drop("_busy_day")
         )
         keys = [*keys, "_spread"]
     return (
