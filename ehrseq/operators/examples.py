@@ -99,10 +99,21 @@ def next_visit_targets(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 
 def dense_targets(ids: Column, vocabulary: DataFrame) -> Column:
-    """A 0/1 array over the vocabulary from a set of ids. Wide; the set itself is the usual form."""
+    """A 0/1 array over the vocabulary from a sorted set of ids: zeros up to each id, then a one.
+
+    As wide as the vocabulary; the set itself is the usual form.
+    """
     last_id = vocabulary.agg(F.max("token_id")).scalar()
-    everything = F.sequence(F.lit(0).cast("bigint"), last_id)
-    return F.transform(everything, lambda i: F.array_contains(ids, i).cast("float"))
+
+    def zeros(count):
+        return F.array_repeat(F.lit(0.0), count.cast("int"))
+
+    def up_to(token_id, i):
+        previous = F.when(i == 0, F.lit(-1)).otherwise(F.get(ids, i - 1))
+        return F.concat(zeros(token_id - previous - 1), F.array(F.lit(1.0)))
+
+    ones = F.flatten(F.transform(ids, up_to))
+    return F.concat(ones, zeros(last_id - F.element_at(ids, -1))).cast("array<float>")
 
 
 def collect_examples(encoded: DataFrame, settings: ExampleSettings) -> DataFrame:

@@ -1,0 +1,105 @@
+import math
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from ehrseq.functions.losses import binary_cross_entropy, binary_cross_entropy_with_logit
+from ehrseq.operators import metrics, study
+from tests.conftest import rows
+
+
+def _auc(points):
+    pairs = [(p > q) + 0.5 * (p == q) for p, y in points for q, z in points if y == 1 and z == 0]
+    return sum(pairs) / len(pairs)
+
+
+def _average_precision(points):
+    positives = sum(y for _, y in points)
+    total = 0.0
+    for cut in {p for p, _ in points}:
+        here = sum(y for p, y in points if p == cut)
+        called = [y for p, y in points if p >= cut]
+        total += here / positives * sum(called) / len(called)
+    return total
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-6])
+def test_ranking_metrics_match_trying_all_pairs(spark, scale):
+    generator = random.Random(5)
+    points = {
+        "a": [(round(generator.random(), 1) * scale, generator.randrange(2)) for _ in range(80)],
+        "b": [(generator.random() * scale, int(generator.random() < 0.2)) for _ in range(120)] + [(0.0, 1), (1.0, 0), (1.0, 1)],
+    }
+    flat = [(cell, p, y) for cell, many in points.items() for p, y in many]
+    frame = spark.createDataFrame(flat, "cell string, prediction double, label int")
+    for r in metrics.label_metrics(frame, ["cell"]).collect():
+        many = points[r.cell]
+        assert r.auc == pytest.approx(_auc(many))
+        assert r.auprc == pytest.approx(_average_precision(many))
+        assert r.brier == pytest.approx(sum((p - y) ** 2 for p, y in many) / len(many))
+
+
+def test_cells_with_one_class_have_no_auc(spark):
+    frame = spark.createDataFrame([("a", 0.2, 0), ("a", 0.4, 0), ("b", 0.3, 1)], "cell string, prediction double, label int")
+    assert rows(metrics.ranking_metrics(frame, ["cell"])) == [("a", None, None), ("b", None, 1.0)]
+
+
+def test_losses(spark):
+    frame = spark.createDataFrame([(0.0, 1.0), (1.0, 1.0), (0.25, 0.0)], "p double, y double")
+    found = [r[0] for r in frame.select(binary_cross_entropy(F.col("p"), F.col("y"))).collect()]
+    assert found == pytest.approx([100.0, 0.0, -math.log(0.75)])
+    logits = spark.createDataFrame([(-800.0, 1.0), (800.0, 1.0), (0.5, 0.0)], "x double, y double")
+    found = [r[0] for r in logits.select(binary_cross_entropy_with_logit(F.col("x"), F.col("y"))).collect()]
+    assert found == pytest.approx([800.0, 0.0, math.log(1 + math.exp(0.5))])
+
+
+def test_token_metrics(spark):
+    data = [([1.0, 2.0, 0.5], 1, False), ([3.0, 2.0, 900.0], 0, False), ([0.0, 0.0, 1.0], 0, True)]
+    frame = spark.createDataFrame(data, "logits array<double>, target bigint, ignore boolean")
+    row = metrics.token_metrics(frame, [], ignored=F.col("ignore")).first()
+    loss = math.log(math.exp(1) + math.exp(2) + math.exp(0.5)) - 2.0
+    assert row.mean_accuracy == 0.5 and row.mean_loss == pytest.approx((loss + 897.0) / 2)
+    assert metrics.token_metrics(frame, []).first().mean_accuracy == pytest.approx(1 / 3)
+
+
+def test_multi_label_and_combined(spark):
+    frame = spark.createDataFrame(
+        [([1.0, -1.0], [1.0, 1.0]), ([0.0, 2.0], [0.0, 1.0])], "logits array<double>, targets array<double>"
+    )
+    row = metrics.multi_label_metrics(frame, []).first()
+    loss = [math.log1p(math.exp(-1)), math.log1p(math.exp(1)), math.log(2), math.log1p(math.exp(-2))]
+    assert row.mean_accuracy == 0.75 and row.mean_loss == pytest.approx(sum(loss) / 4)
+    both = metrics.combined_loss([metrics.multi_label_metrics(frame, [])] * 2, []).first()
+    assert both.combined_loss == pytest.approx(sum(loss) / 2)
+
+
+def test_metric_rows_and_table(spark):
+    frame = spark.createDataFrame([("a", 0.5, 0.25)], "cell string, mean_loss double, mean_accuracy double")
+    found = metrics.metric_rows(frame, ["cell"], "next token", True)
+    names = ["train next token mean accuracy", "train next token mean loss"]
+    assert rows(found) == [("a", names[0], 0.25), ("a", names[1], 0.5)]
+    assert metrics.metric_table(found, ["cell"], names).first().asDict() == {"cell": "a", names[0]: 0.25, names[1]: 0.5}
+
+
+def test_experiment_grid(spark):
+    pretrained = spark.createDataFrame([("base model", 10), ("small", 5)], "pretrained_model string, num_epochs bigint")
+    schema = "fine_tuned_model string, pretrained_model string, pretrained_epoch bigint"
+    fine_tuned = spark.createDataFrame([("f 1", "base model", None), ("f 1", "small", 3)], schema)
+    grid = study.experiment_grid(pretrained, fine_tuned, [("train_a", "test_a"), ("train_b", "test_b")])
+    assert rows(grid, "pretrained_model", "pretrained_epoch", "test_label") == [
+        ("base model", 10, "test_a"),
+        ("base model", 10, "test_b"),
+        ("small", 3, "test_a"),
+        ("small", 3, "test_b"),
+    ]
+    first = grid.where("pretrained_epoch = 10 AND test_label = 'test_a'").first()
+    assert (first.evaluation_folder, first.model_folder) == ("eval_basemodel_e10_f1", "model_basemodel_e10_f1_traina")
+    results = study.combine_results(
+        grid, grid.select(*study.GRID_KEYS, (F.col("pretrained_epoch") / 10).alias("auc"))
+    )
+    by_model = study.summarise_results(results, ["pretrained_model"], ["pretrained_epoch", "auc"])
+    assert rows(by_model) == [("base model", 10.0, 1.0), ("small", 3.0, 0.3)]
+    late = spark.createDataFrame([("f 1", "small", 6)], schema)
+    with pytest.raises(Exception, match="no such epoch"):
+        study.experiment_grid(pretrained, late, [("a", "b")]).collect()
