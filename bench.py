@@ -12,7 +12,7 @@ FOLDER = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
 # Each of these starts from the given tables, without staged results of an earlier query.
-FROM_SCRATCH = ["drug_to_ingredient", "link_events", "link_by_date", "token_stream", "sequences", "labelled_sequences"]
+FROM_SCRATCH = ["drug_to_ingredient", "link_by_date", "link_events", "labelled_sequences", "token_stream", "sequences"]
 # These read the staged token stream.
 ON_TOKENS = [
     "concept_vocabulary",

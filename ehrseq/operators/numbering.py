@@ -57,13 +57,16 @@ def carry_in(frame: DataFrame, busy: DataFrame | None, keys: list[str], name: st
     return frame.join(before, [*keys, "_block"], "left")
 
 
-def number_rows(frame: DataFrame, name: str, keys: list[str], block: str, order: list) -> DataFrame:
-    """1-based row number per group in the order (block, ``order``), with every group cut.
+def number_rows(frame: DataFrame, name: str, keys: list[str], block: str | list[str], order: list) -> DataFrame:
+    """1-based row number per group in the order (``block``, ``order``), with groups cut into blocks.
 
-    Rows with a null key or block are left out.
+    Keys and blocks must not be null.
     """
-    sizes = frame.groupBy(*keys, block).agg(F.count("*").alias("_rows"))
-    before = blocks_before(sizes, keys, block, _before=F.sum("_rows"))
-    within = Window.partitionBy(*keys, block).orderBy(*order)
+    blocks = [block] if isinstance(block, str) else block
+    sizes = frame.groupBy(*keys, *blocks).agg(F.count("*").alias("_rows"))
+    before = blocks_before(sizes, keys, blocks, _before=F.sum("_rows"))
+    within = Window.partitionBy(*keys, *blocks).orderBy(*order)
     number = F.coalesce("_before", F.lit(0)) + F.row_number().over(within)
-    return frame.join(before, [*keys, block]).withColumn(name, number.cast("bigint")).drop("_before")
+    return (
+        frame.join(before, [*keys, *blocks], "left").withColumn(name, number.cast("bigint")).drop("_before")
+    )

@@ -7,6 +7,7 @@ parts of the calendar.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ehrseq.functions.dates import month_number
 from ehrseq.operators.numbering import add_block, carry_in, month_block
 
 RANGE_TYPE = "struct<first_date:date,last_date:date,visit_seq:bigint>"
@@ -16,29 +17,29 @@ def within_period(rows: DataFrame, date: str, periods: DataFrame, busy: DataFram
     """Rows whose date lies inside an observation period of their person (ends included).
 
     A row inside two overlapping periods comes out twice, with all columns of each. Rows and
-    periods of busy persons meet per calendar year: a period is listed once per year in which the
-    person has rows at all, so an open-ended period does not grow without bound.
+    periods of busy persons meet per calendar month: a period is listed once per month between the
+    person's first and last row, so an open-ended period does not grow without bound.
     """
     inside = (F.col(date) >= F.col("observation_period_start_date")) & (
         F.col(date) <= F.col("observation_period_end_date")
     )
     if busy is None:
         return rows.join(periods, "person_id").where(inside)
-    years = add_block(rows, busy, F.year(date), "_year")
-    active = years.where("_year <> 0").groupBy("person_id").agg(
-        F.min("_year").alias("_first"), F.max("_year").alias("_last")
+    cut = add_block(rows, busy, month_number(F.col(date)), "_month")
+    active = cut.where("_month <> 0").groupBy("person_id").agg(
+        F.min("_month").alias("_first"), F.max("_month").alias("_last")
     )
-    first = F.greatest(F.year("observation_period_start_date"), F.col("_first"))
-    last = F.least(F.year("observation_period_end_date"), F.col("_last"))
+    first = F.greatest(month_number(F.col("observation_period_start_date")), F.col("_first"))
+    last = F.least(month_number(F.col("observation_period_end_date")), F.col("_last"))
     listed = (
         F.when(F.col("_first").isNull(), F.array(F.lit(0)))
         .when(first <= last, F.sequence(first, last))
         .otherwise(F.array().cast("array<int>"))
     )
-    by_year = (
-        periods.join(active, "person_id", "left").withColumn("_year", F.explode(listed)).drop("_first", "_last")
+    by_month = (
+        periods.join(active, "person_id", "left").withColumn("_month", F.explode(listed)).drop("_first", "_last")
     )
-    return years.join(by_year, ["person_id", "_year"]).where(inside).drop("_year")
+    return cut.join(by_month, ["person_id", "_month"]).where(inside).drop("_month")
 
 
 def exclusive_ranges(visits: DataFrame, busy: DataFrame | None = None) -> DataFrame:

@@ -47,8 +47,12 @@ GRID_KEYS = ["fine_tuned_model", "pretrained_model", "pretrained_epoch", "test_l
 
 
 def combine_results(grid: DataFrame, metrics: DataFrame, on: list[str] = GRID_KEYS) -> DataFrame:
-    """Metric columns of each experiment beside what identifies it."""
-    return grid.select(*GRID_KEYS).join(metrics, on)
+    """Metric columns of each experiment beside what identifies it.
+
+    Results scanned from files join on ``evaluation_folder`` and ``test_label``.
+    """
+    kept = [*GRID_KEYS, *[c for c in on if c not in GRID_KEYS]]
+    return grid.select(*kept).join(metrics, on)
 
 
 def summarise_results(results: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

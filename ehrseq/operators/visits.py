@@ -5,12 +5,14 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ehrseq.operators.numbering import add_block
+from ehrseq.operators.numbering import add_block, number_rows
 from ehrseq.operators.ranges import first_covering_visit
 from ehrseq.staging import Staging
 
 # Room for the visits of one person that start on the same day.
 SEQ_PER_DAY = 2**32
+# Visit ids per block when a busy person's visits of one day are numbered.
+IDS_PER_BLOCK = 100_000
 # Into how many groups the events of a busy person's day are spread.
 SPREAD = 64
 
@@ -27,14 +29,25 @@ def day_seq(date: Column) -> Column:
     return days.cast("bigint") * SEQ_PER_DAY
 
 
-def key_visits(visits: DataFrame) -> DataFrame:
+def key_visits(visits: DataFrame, busy: DataFrame | None = None) -> DataFrame:
     """Add ``visit_seq``: unique per person and increasing in (start, end, id) of the visit.
 
     The key is the start day and a number within that day, so visits of one person are numbered
-    day by day and never in one window.
+    day by day and never in one window. A busy person's day is cut by end date and visit id.
     """
-    same_day = Window.partitionBy("person_id", "visit_start_date").orderBy("visit_end_date", "visit_occurrence_id")
-    return visits.withColumn("visit_seq", day_seq(F.col("visit_start_date")) + F.row_number().over(same_day))
+    order = ["visit_end_date", "visit_occurrence_id"]
+    day = day_seq(F.col("visit_start_date"))
+    if busy is None:
+        same_day = Window.partitionBy("person_id", "visit_start_date").orderBy(*order)
+        return visits.withColumn("visit_seq", day + F.row_number().over(same_day))
+    cut = add_block(visits.withColumn("_day", day), busy, F.lit(1), "_busy_person")
+    is_busy = F.col("_busy_person") == 1
+    end = F.when(is_busy, day_seq(F.col("visit_end_date"))).otherwise(F.lit(0))
+    ids = F.when(is_busy, F.floor(F.coalesce("visit_occurrence_id", F.lit(-(2**63))) / IDS_PER_BLOCK)).otherwise(F.lit(0))
+    numbered = number_rows(
+        cut.withColumn("_end", end).withColumn("_ids", ids), "_number", ["person_id", "_day"], ["_end", "_ids"], order
+    )
+    return numbered.select(*visits.columns, (F.col("_day") + F.col("_number")).alias("visit_seq"))
 
 
 def link_by_id(events: DataFrame, keyed_visits: DataFrame) -> DataFrame:
@@ -163,7 +176,7 @@ def link_events_to_visits(
     persons with very many rows (see ``busy_persons``).
     """
     stage = stage or Staging(events.sparkSession)
-    keyed = key_visits(visits)
+    keyed = key_visits(visits, busy)
     linked = stage(link_by_id(events, keyed), "linked_events")
     days = stage(resolve_days(unlinked_days(linked), keyed, busy), "resolved_days")
     resolved = stage(resolve_events(linked, days, busy), "resolved_events")

@@ -46,7 +46,7 @@ class TrialRun:
 
     @cached_property
     def keyed_visits(self):
-        return key_visits(self.tables["visit_occurrence"])
+        return key_visits(self.tables["visit_occurrence"], self.busy)
 
     @cached_property
     def busy(self):

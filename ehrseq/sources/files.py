@@ -43,6 +43,20 @@ def read_metrics(spark: SparkSession, path: str, schema: str, **ids) -> DataFram
     return rows.select("*", *[F.lit(value).alias(name) for name, value in ids.items()])
 
 
+def scan_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """Metric rows of all experiments below ``root`` in one scan, with folder and test label.
+
+    Expects what ``write_metrics`` leaves at ``<root>/<evaluation folder>/evaluation<test label>``.
+    """
+    path, pattern = F.col("_metadata.file_path"), r"/(eval_[^/]+)/evaluation([^/]+)/[^/]+$"
+    rows = spark.read.option("header", True).schema(schema).csv(f"{root}/eval_*/evaluation*")
+    return rows.select(
+        "*",
+        F.regexp_extract(path, pattern, 1).alias("evaluation_folder"),
+        F.regexp_extract(path, pattern, 2).alias("test_label"),
+    )
+
+
 def write_record(spark: SparkSession, settings, path: str) -> None:
     """The options of a run, beside its output."""
     text = json.dumps(asdict(settings), sort_keys=True)

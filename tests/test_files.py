@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from ehrseq.operators import study
 from ehrseq.operators.vocabulary import fit_vocabulary
 from ehrseq.plans.process import process_cdm_data, process_tables
 from ehrseq.settings import MappingSettings
@@ -55,3 +56,20 @@ def test_metrics_with_the_experiment_they_belong_to(spark, tmp_path):
     files.write_metrics(spark.createDataFrame([(0.5, 0.75)], "loss double, auc double"), path)
     read = files.read_metrics(spark, path, "loss double, auc double", pretrained_model="base", pretrained_epoch=3)
     assert rows(read) == [(0.5, 0.75, "base", 3)]
+
+
+def test_results_of_a_study_are_found_by_their_place(spark, tmp_path):
+    pretrained = spark.createDataFrame([("base", 4)], "pretrained_model string, num_epochs bigint")
+    fine_tuned = spark.createDataFrame(
+        [("one", "base", None), ("two", "base", 2)],
+        "fine_tuned_model string, pretrained_model string, pretrained_epoch bigint",
+    )
+    grid = study.experiment_grid(pretrained, fine_tuned, [("a", "label_b")])
+    for folder, auc in (("eval_base_e4_one", 0.5), ("eval_base_e2_two", 0.75)):
+        files.write_metrics(spark.createDataFrame([(auc,)], "auc double"), f"{tmp_path}/{folder}/evaluationlabel_b")
+    found = files.scan_results(spark, str(tmp_path), "auc double")
+    results = study.combine_results(grid, found, ["evaluation_folder", "test_label"])
+    assert rows(results, "fine_tuned_model", "pretrained_epoch", "test_label", "auc") == [
+        ("one", 4, "label_b", 0.5),
+        ("two", 2, "label_b", 0.75),
+    ]

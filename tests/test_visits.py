@@ -118,3 +118,15 @@ def test_periods_match_trying_them_all(spark):
 
 def test_no_busy_person_is_none(spark, cdm):
     assert busy_persons([cdm["visit_occurrence"]], Staging(spark)) is None
+
+
+def test_busy_days_are_numbered_alike(spark):
+    made = [
+        (1, i, day("2000-01-01"), end, 9201)
+        for i in (-5, 3, 99_999, 100_000, 250_000, None)
+        for end in (day("2000-01-01"), day("2000-01-09"), None)
+    ] + [(2, 4, day("2000-01-01"), day("2000-01-01"), 9201), (None, 8, None, None, 9201), (1, 9, None, None, 9201)]
+    visits = spark.createDataFrame(made, VISIT)
+    busy = busy_persons([visits], Staging(spark), 3)
+    assert rows(vs.key_visits(visits)) == rows(vs.key_visits(visits, busy))
+    assert vs.key_visits(visits, busy).select("person_id", "visit_seq").distinct().count() == len(made)
