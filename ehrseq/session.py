@@ -18,6 +18,7 @@ def local_session(app_name="ehrseq", cores="*", shuffle_partitions=8, **extra):
     options = {
         **SETTINGS,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
+        "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **extra,

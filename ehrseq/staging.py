@@ -25,7 +25,7 @@ class Staging:
     """Writes staged tables below one folder of the session's shared checkpoint directory."""
 
     def __init__(self, spark: SparkSession):
-        root = spark.conf.get("spark.checkpoint.dir", None)
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder all executors share")
