@@ -69,10 +69,9 @@ def ranking_metrics(predictions: DataFrame, keys: list[str], score: str = "predi
     """
     found = (F.col("_p") - F.col("_pos_below")).cast("double")
     called = found + (F.col("_n") - F.col("_neg_below"))
-    # Half pairs are counted in whole numbers wide enough for any table.
-    half_pairs = F.col("_pos").cast("decimal(19,0)") * (2 * F.col("_neg_below") + F.col("_neg")).cast("decimal(19,0)")
+    half_pairs = F.col("_pos").cast("double") * (2 * F.col("_neg_below") + F.col("_neg"))
     sums = _by_score(predictions, keys, score, label).groupBy(*keys).agg(
-        F.sum(half_pairs).cast("double").alias("_half_pairs"),
+        F.sum(half_pairs).alias("_half_pairs"),
         F.sum(F.when(F.col("_p") > 0, F.col("_pos") / F.col("_p") * found / called)).alias("auprc"),
         (F.first("_p").cast("double") * F.first("_n")).alias("_pairs"),
     )

@@ -1,5 +1,6 @@
 """Named queries over trial tables, one for each operator."""
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +20,9 @@ from ehrseq.plans.oracle import LENGTH
 from ehrseq.plans.trial_run import SEED, TRAIN_FRACTION, trial_run
 from ehrseq.schema import PERIOD_KEY
 from ehrseq.settings import ExampleSettings
-from ehrseq.sources import trial
+from ehrseq.sources import files, trial
+from ehrseq.sources.cdm import read_cdm, read_labels, write_cdm, write_labels
+from ehrseq.staging import Staging
 
 QUERIES = {}
 TOKEN_LIST = [
@@ -469,7 +472,7 @@ def _grid(run):
     return study.experiment_grid(pretrained, fine_tuned, FOLDERS)
 
 
-def _results(run):
+def _measured(run):
     orders = trial.read(run.spark, run.folder, "orders")
     lines = trial.read(run.spark, run.folder, "lineitem")
     keys = ["fine_tuned_model", "pretrained_model", "test_label"]
@@ -481,10 +484,14 @@ def _results(run):
         (price / (price + 50000.0)).alias("prediction"),
         (F.col("l_tax") >= 0.05).cast("int").alias("label"),
     )
-    measured = predictions.groupBy(*keys).agg(
+    return predictions.groupBy(*keys).agg(
         metrics.brier_score().alias("brier"), metrics.mean_binary_cross_entropy().alias("mean_loss")
     )
-    return study.combine_results(_grid(run), measured, keys)
+
+
+def _results(run):
+    keys = ["fine_tuned_model", "pretrained_model", "test_label"]
+    return study.combine_results(_grid(run), _measured(run), keys)
 
 
 @query
@@ -578,3 +585,73 @@ def history_events(run):
 @query
 def visit_types(run):
     return cohort.visit_types(run.linked.events, F.col("concept_id") % 10 == 0)
+
+
+# Files: what is written comes back
+
+
+def _folder(run, name):
+    """A new folder below the run's staged tables."""
+    return f"{Staging(run.spark).folder}/{name}"
+
+
+@query
+def cdm_files(run):
+    root = _folder(run, "cdm")
+    write_cdm(run.tables, root)
+    read = read_cdm(run.spark, root)
+    counts = [
+        frame.agg(F.count("*").alias("n"), F.count_distinct("person_id").alias("persons")).select(
+            F.lit(name).alias("table_name"), "n", "persons"
+        )
+        for name, frame in read.items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query
+def label_files(run):
+    path = _folder(run, "labels")
+    write_labels(_window_labels(run), path)
+    first = run.chosen_concepts.agg(F.min("concept_id")).first()[0]
+    return read_labels(run.spark, path, first)
+
+
+@query
+def sequence_files(run):
+    path = _folder(run, "sequences")
+    files.write_sequences(run.sequences, path)
+    return files.read_sequences(run.spark, path)
+
+
+@query
+def vocabulary_files(run):
+    path = _folder(run, "vocabulary")
+    files.export_vocabulary_json(run.vocabulary, path)
+    return files.import_vocabulary_json(run.spark, path)
+
+
+@query
+def metric_files(run):
+    """One metric file per test label, found again by their place in one scan."""
+    root = _folder(run, "study")
+    keys = ["fine_tuned_model", "pretrained_model"]
+    measured = run.stage(_measured(run), f"measured-{uuid.uuid4().hex}")
+    for _, label in FOLDERS:
+        one = measured.where(F.col("test_label") == label).drop("test_label")
+        files.write_metrics(one, f"{root}/eval_study/evaluation{label}")
+    columns = ", ".join([f"{k} string" for k in keys] + ["brier double", "mean_loss double"])
+    return files.scan_results(run.spark, root, columns)
+
+
+@query
+def settings_record(run):
+    """The settings kept beside an output, with the number of events they concern."""
+    path = _folder(run, "settings")
+    files.write_record(run.spark, run.settings, path)
+    settings = files.read_record(run.spark, type(run.settings), path)
+    return run.distinct_events.agg(
+        F.count("*").alias("events"),
+        F.lit(settings.map_drugs_to_ingredients).alias("map_drugs_to_ingredients"),
+        F.lit(settings.missing_visit_concept_id).alias("missing_visit_concept_id"),
+    )

@@ -654,6 +654,33 @@ _PARTS = {
   FROM event_distinct e JOIN cdm_period p ON e.person_id = p.person_id AND start_date >= op_start
     AND start_date <= op_end - 180""",
     ),
+    "cdm_files": (
+        CDM,
+        """SELECT 'person' AS table_name, count(*) AS n, count(DISTINCT person_id) AS persons FROM cdm_person
+  UNION ALL SELECT 'observation_period', count(*), count(DISTINCT person_id) FROM cdm_period
+  UNION ALL SELECT 'visit_occurrence', count(*), count(DISTINCT person_id) FROM cdm_visit
+  UNION ALL SELECT 'condition_occurrence', count(*), count(DISTINCT person_id) FROM event_base WHERE l_returnflag = 'A'
+  UNION ALL SELECT 'drug_exposure', count(*), count(DISTINCT person_id) FROM cdm_drug
+  UNION ALL SELECT 'measurement', count(*), count(DISTINCT person_id) FROM event_base
+    WHERE l_returnflag = 'N' AND l_linestatus = 'F'
+  UNION ALL SELECT 'procedure_occurrence', count(*), count(DISTINCT person_id) FROM event_base
+    WHERE l_returnflag = 'N' AND l_linestatus = 'O'
+  UNION ALL SELECT 'death', count(*), count(DISTINCT person_id) FROM cdm_death""",
+    ),
+    "label_files": (
+        COHORT,
+        "SELECT person_id, label FROM window_label WHERE concept_id = (SELECT min(concept_id) FROM chosen)",
+    ),
+    "vocabulary_files": (VOCABULARY, "SELECT token, token_id FROM vocab"),
+    "metric_files": (
+        GRID,
+        "SELECT fine_tuned_model, pretrained_model, 'eval_study' AS evaluation_folder, test_label, "
+        "round(brier, 6) AS brier, round(mean_loss, 6) AS mean_loss FROM cell_metric",
+    ),
+    "settings_record": (
+        EVENTS,
+        "SELECT count(*) AS events, 1 AS map_drugs_to_ingredients, 1 AS missing_visit_concept_id FROM event_distinct",
+    ),
     "visit_types": (
         LINK,
         """SELECT visit_person_id, visit_seq, CASE WHEN max(CASE WHEN concept_id % 10 = 0 THEN 1 ELSE 0 END) = 1 THEN 9203
@@ -662,6 +689,8 @@ _PARTS = {
 }
 
 
+_PARTS["sequence_files"] = _PARTS["sequences"]
+
 # Whole numbers that come out narrower or wider than 64 bits.
 _WHOLE_NUMBERS = {
     "label_scan": ["label"],
@@ -682,6 +711,9 @@ _WHOLE_NUMBERS = {
     "window_labels": ["label"],
     "dense_visits": ["total_visits", "dense_visits"],
     "visit_types": ["visit_concept_id"],
+    "label_files": ["label"],
+    "sequence_files": ["part"],
+    "settings_record": ["map_drugs_to_ingredients", "missing_visit_concept_id"],
 }
 
 
