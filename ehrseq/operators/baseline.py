@@ -2,7 +2,7 @@
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ehrseq.operators.sizes import join_lookup
@@ -33,6 +33,12 @@ def fit_baseline(examples: DataFrame, vocabulary_size: int, max_iter: int = 20,
     ).fit(presence_vectors(examples, vocabulary_size))
 
 
+def model_weights(model, spark: SparkSession) -> DataFrame:
+    """The fitted weights as a table for ``baseline_scores``; as long as the vocabulary."""
+    pairs = [(i, float(weight)) for i, weight in enumerate(model.coefficients)]
+    return spark.createDataFrame(pairs, "token_id bigint, weight double")
+
+
 def presence_vectors(examples: DataFrame, vocabulary_size: int) -> DataFrame:
     """Sparse 0/1 vectors over the vocabulary, for Spark's own classifiers."""
     ids = [str(i) for i in range(vocabulary_size)]

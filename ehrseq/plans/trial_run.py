@@ -3,7 +3,7 @@
 Each property is a lazy frame or a staged table that Spark derives from the given tables.
 """
 
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -139,16 +139,17 @@ class TrialRun:
         )
 
 
-@lru_cache(maxsize=4)
-def _run(application: str, folder: str) -> TrialRun:
-    return TrialRun(SparkSession.active(), folder)
+_RUNS: dict[tuple[str, str], TrialRun] = {}
 
 
 def trial_run(spark: SparkSession, folder: str) -> TrialRun:
-    """The run for this session and folder; a later query of the same session shares its tables."""
-    return _run(spark.sparkContext.applicationId, folder)
+    """The run for this application and folder; a later query shares its staged tables."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _RUNS:
+        _RUNS[key] = TrialRun(spark, folder)
+    return _RUNS[key]
 
 
 def forget_runs() -> None:
     """Start afresh, so that a timing includes all the work."""
-    _run.cache_clear()
+    _RUNS.clear()

@@ -19,6 +19,8 @@ def local_session(app_name="ehrseq", cores="*", shuffle_partitions=8, **extra):
         **SETTINGS,
         "spark.sql.shuffle.partitions": str(shuffle_partitions),
         "spark.driver.memory": "8g",
+        # Recording the call site of every column costs a quarter of the planning time.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         **extra,

@@ -229,3 +229,16 @@ def test_baseline(spark, tokens, words, visit_words):
     assert score == pytest.approx(1 / (1 + math.exp(0.15)))
     vector = baseline.presence_vectors(built.withColumn("finetune_label", F.lit(1.0)), 9).first().features
     assert list(vector.toArray()) == [1, 0, 0, 1, 1, 1, 1, 1, 1]
+
+
+def test_fitted_weights_score_like_the_model(spark, many, many_words):
+    visit_words = fit_vocabulary(many, "visit_concept_ids")
+    odd = (F.col("person_id") % 2).alias("finetune_label")
+    built = build(many, many_words, visit_words, max_length=32).select("*", odd)
+    size = many_words.count()
+    model = baseline.fit_baseline(built, size, max_iter=5)
+    scored = baseline.baseline_scores(built, baseline.model_weights(model, spark), model.intercept)
+    ours = {r.observation_period_id: r.prediction for r in scored.collect()}
+    theirs = model.transform(baseline.presence_vectors(built, size)).select("observation_period_id", "probability")
+    for r in theirs.collect():
+        assert ours[r.observation_period_id] == pytest.approx(float(r.probability[1]))

@@ -87,6 +87,43 @@ def test_events_without_visit_id_spread_over_partitions(spark):
     assert sum(sizes) == 20000 and max(sizes) < 0.5 * sum(sizes)
 
 
+def test_a_hot_visit_id_is_split(spark):
+    """A third of all events name the same visit: adaptive execution splits that partition."""
+    hot = F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id") % 5000)
+    events = spark.range(300000).select(
+        F.col("id").alias("person_id"),
+        F.lit("2000-01-01").cast("date").alias("start_date"),
+        F.xxhash64("id").alias("concept_id"),
+        hot.cast("bigint").alias("visit_occurrence_id"),
+    )
+    visits = spark.range(5000).select(
+        F.col("id").alias("person_id"),
+        F.col("id").alias("visit_occurrence_id"),
+        F.lit("2000-01-01").cast("date").alias("visit_start_date"),
+        F.lit("2000-01-01").cast("date").alias("visit_end_date"),
+        F.lit(9201).alias("visit_concept_id"),
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.shuffle.partitions": "20",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "500KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    }
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        linked = link_by_id(events, key_visits(visits))
+        assert len(linked.where("id_from_id IS NOT NULL").collect()) == 300000
+        linked.collect()
+        text = plan(linked)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "skew=true" in text
+
+
 def test_a_busy_person_is_found_among_all_tables(spark):
     rows = spark.createDataFrame([(1,)] * 6 + [(2,)] * 3 + [(None,)] * 9, "person_id bigint")
     more = spark.createDataFrame([(2,)] * 3, "person_id bigint")
