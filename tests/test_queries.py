@@ -21,7 +21,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_but_the_fitted_model():
-    assert set(QUERIES) - set(SQL) == {"baseline_fit"}
+    own = {name for name in QUERIES if not name.startswith("op") and name != "pipeline"}
+    assert own - set(SQL) == {"baseline_fit"}
 
 
 def test_fitted_model_tells_labels_apart(spark):
