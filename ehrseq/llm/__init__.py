@@ -1 +1,8 @@
 """Operators for preparing training text at scale. Nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the workers whole, which then need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -26,4 +26,78 @@ FROM (
 )
 """
 
-SQL = {"op1_url_filters": URL_FILTERS}
+_CLASSES = ["[aeiou]", "[b-df-hj-np-tv-z]", "[A-Z]", "[0-9]", "[\\x20\\x09-\\x0D]", "[.,;:!?''\"()-]"]
+_COUNTS = [f"length(text) - length(regexp_replace(text, '{c}', '', 'g'))" for c in _CLASSES]
+_ASCII = "length(regexp_replace(text, '[^\\x00-\\x7F]', '', 'g'))"
+_HISTOGRAM = f"[{', '.join(_COUNTS)}, {_ASCII} - ({' + '.join(f'({c})' for c in _COUNTS)}), length(text) - {_ASCII}]"
+
+
+def _share(p, q):
+    return f"CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END"
+
+
+def _divergence(p, q):
+    return f"(sum({_share(p, q)}) + sum({_share(q, p)})) / 2"
+
+
+QUALITY_RULES = rf"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, lang, text IS NULL AS missing FROM documents
+), words AS MATERIALIZED (
+    SELECT r, lang, missing, unnest(list) AS w, generate_subscripts(list, 1) AS i
+    FROM (SELECT r, lang, missing, regexp_extract_all(text, '[^ 	-]+') AS list FROM d)
+), lowered AS MATERIALIZED (
+    SELECT r, lang, missing, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM words
+), windows AS (
+    SELECT r, i, count(*) OVER (PARTITION BY r, w, w2, w3, w4, w5) AS n
+    FROM (SELECT r, i, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4, lead(w, 4) OVER o AS w5
+          FROM words WINDOW o AS (PARTITION BY r ORDER BY i))
+    WHERE w5 IS NOT NULL
+), repeated AS (
+    SELECT r, count(DISTINCT i + k) AS n FROM windows, unnest([0, 1, 2, 3, 4]) AS t(k) WHERE n > 1 GROUP BY r
+), lines AS (
+    SELECT r, count(*) - count(DISTINCT line) AS n
+    FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+    WHERE regexp_matches(line, '[^ 	-]') GROUP BY r
+), facts AS (
+    SELECT r, count(*) AS n, sum(length(w))::BIGINT AS chars FROM words GROUP BY r
+), classes AS MATERIALIZED (
+    SELECT r, lang, missing, unnest({_HISTOGRAM}) AS n, unnest(range(8)) AS class FROM d
+), class_reference AS (
+    SELECT lang, class, n / sum(n) OVER (PARTITION BY lang) AS q
+    FROM (SELECT lang, class, sum(n) AS n FROM classes WHERE lang IN ('en', 'fr', 'de', 'es') AND NOT missing GROUP BY ALL)
+), class_far AS (
+    SELECT r, {_divergence('p', 'q')} AS far
+    FROM (SELECT r, lang, class, n / sum(n) OVER (PARTITION BY r) AS p FROM classes) JOIN class_reference USING (lang, class)
+    GROUP BY r
+), counted AS MATERIALIZED (
+    SELECT lang, w, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS rank, sum(count(*)) OVER (PARTITION BY lang) AS total
+    FROM lowered WHERE lang IN ('en', 'fr', 'de', 'es') AND NOT missing GROUP BY lang, w
+), common AS MATERIALIZED (
+    SELECT lang, w, n / total AS q FROM counted WHERE rank <= 40
+), word_reference AS (
+    SELECT lang, w, q FROM common UNION ALL SELECT lang, ' ', 1 - sum(q) FROM common GROUP BY lang
+), word_shares AS (
+    SELECT r, lang, w, sum(n) OVER (PARTITION BY r, w) / sum(n) OVER (PARTITION BY r) AS p
+    FROM (SELECT l.r, l.lang, coalesce(c.w, ' ') AS w, count(*) AS n FROM lowered l LEFT JOIN common c ON l.lang = c.lang AND l.w = c.w GROUP BY ALL)
+), word_far AS (
+    SELECT a.r, {_divergence('p', 'q')} AS far
+    FROM (SELECT f.r, w, coalesce(p, 0) AS p, q
+          FROM (SELECT d.r, ref.w, ref.q FROM d JOIN word_reference ref USING (lang)) f LEFT JOIN word_shares s USING (r, w)) a
+    GROUP BY a.r
+), judged AS (
+    SELECT doc_id, coalesce(f.n, 0) AS n_words, coalesce(f.chars, 0) AS word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        coalesce(l.n, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words,
+        coalesce(f.n, 0) < 10 OR 100 * coalesce(p.n, 0) > 20 * coalesce(f.n, 0) AS base_failed,
+        CASE WHEN length(text) >= 400 THEN c.far END AS class_far, CASE WHEN coalesce(f.n, 0) >= 100 THEN w.far END AS word_far
+    FROM d LEFT JOIN facts f USING (r) LEFT JOIN repeated p USING (r) LEFT JOIN lines l USING (r)
+        LEFT JOIN class_far c USING (r) LEFT JOIN word_far w USING (r)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    round(class_far, 6) AS class_divergence, round(word_far, 6) AS word_divergence,
+    NOT (base_failed OR coalesce(class_far, 0) > 0.1 OR coalesce(word_far, 0) > 0.15) AS kept
+FROM judged
+"""
+
+SQL = {"op1_url_filters": URL_FILTERS, "op4_quality_rules": QUALITY_RULES}

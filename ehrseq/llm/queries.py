@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ehrseq.llm.quality import quality_rules
 from ehrseq.llm.sharding import shuffle_into_shards
 from ehrseq.llm.url_filters import judge_urls
 
@@ -35,7 +36,13 @@ def sharding(spark, folder):
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def quality(spark, folder):
+    judged = quality_rules(read(spark, folder, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_divergence", "word_divergence")})
+
+
 QUERIES = {
     "op1_url_filters": url_filters,
     "op2_sharding": sharding,
+    "op4_quality_rules": quality,
 }
