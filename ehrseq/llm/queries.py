@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ehrseq.llm.quality import quality_rules
 from ehrseq.llm.sharding import shuffle_into_shards
+from ehrseq.llm.simhash import near_duplicates
 from ehrseq.llm.url_filters import judge_urls
 
 # Host, path, verdict.
@@ -36,6 +37,10 @@ def sharding(spark, folder):
     return placed.withColumns({"law": F.lit("rows"), "grown_shard": F.lit(None).cast("int")})
 
 
+def simhash(spark, folder):
+    return near_duplicates(read(spark, folder, "documents"))
+
+
 def quality(spark, folder):
     judged = quality_rules(read(spark, folder, "documents"))
     return judged.withColumns({c: F.round(c, 6) for c in ("class_divergence", "word_divergence")})
@@ -44,5 +49,6 @@ def quality(spark, folder):
 QUERIES = {
     "op1_url_filters": url_filters,
     "op2_sharding": sharding,
+    "op3_simhash": simhash,
     "op4_quality_rules": quality,
 }
