@@ -1,8 +1,10 @@
 """One query per text operator, over its whole table."""
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ehrseq.llm.packing import pack_documents
 from ehrseq.llm.quality import quality_rules
 from ehrseq.llm.sharding import shuffle_into_shards
 from ehrseq.llm.simhash import near_duplicates
@@ -16,6 +18,7 @@ URL_RULES = [
     ("org", "/fr/", "allow"),
 ]
 SHARDS = 16
+TOKENIZER, END_ID = "word_bpe_49k.json", 2
 
 
 def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -46,9 +49,15 @@ def quality(spark, folder):
     return judged.withColumns({c: F.round(c, 6) for c in ("class_divergence", "word_divergence")})
 
 
+def packing(spark, folder):
+    packed = pack_documents(read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
+    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+
+
 QUERIES = {
     "op1_url_filters": url_filters,
     "op2_sharding": sharding,
     "op3_simhash": simhash,
     "op4_quality_rules": quality,
+    "op10_packing": packing,
 }
