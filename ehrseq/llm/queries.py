@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ehrseq.llm.packing import pack_documents
+from ehrseq.llm.pii import find_personal_data
 from ehrseq.llm.quality import quality_rules
 from ehrseq.llm.sharding import shuffle_into_shards
 from ehrseq.llm.simhash import near_duplicates
@@ -49,6 +50,10 @@ def quality(spark, folder):
     return judged.withColumns({c: F.round(c, 6) for c in ("class_divergence", "word_divergence")})
 
 
+def pii(spark, folder):
+    return find_personal_data(read(spark, folder, "documents")).drop("redacted")
+
+
 def packing(spark, folder):
     packed = pack_documents(read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -59,5 +64,6 @@ QUERIES = {
     "op2_sharding": sharding,
     "op3_simhash": simhash,
     "op4_quality_rules": quality,
+    "op8_pii": pii,
     "op10_packing": packing,
 }
