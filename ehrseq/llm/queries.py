@@ -4,6 +4,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ehrseq.llm.decontamination import find_passages
 from ehrseq.llm.packing import pack_documents
 from ehrseq.llm.pii import find_personal_data
 from ehrseq.llm.quality import quality_rules
@@ -50,6 +51,10 @@ def quality(spark, folder):
     return judged.withColumns({c: F.round(c, 6) for c in ("class_divergence", "word_divergence")})
 
 
+def decontamination(spark, folder):
+    return find_passages(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def pii(spark, folder):
     return find_personal_data(read(spark, folder, "documents")).drop("redacted")
 
@@ -64,6 +69,7 @@ QUERIES = {
     "op2_sharding": sharding,
     "op3_simhash": simhash,
     "op4_quality_rules": quality,
+    "op7_decontamination": decontamination,
     "op8_pii": pii,
     "op10_packing": packing,
 }
