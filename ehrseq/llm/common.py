@@ -53,3 +53,26 @@ def map_rows(frame: DataFrame, each: Callable[[Iterator[list]], Iterator[dict]],
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return frame.mapInArrow(run, out)
+
+
+def edit_rows(docs: DataFrame, columns: list[str], decide: Callable[[list], tuple[list[bool], dict[str, list]]]) -> DataFrame:
+    """Drop rows or replace values of ``docs`` by looking at some of its columns.
+
+    ``decide`` gets a list of tuples of these columns; it returns which rows stay, and new values
+    (for all rows) of the columns that change. All other columns pass through untouched, whatever
+    their names and types.
+    """
+    places = [docs.columns.index(c) for c in columns]
+    names = list(docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                stay, new = decide(list(zip(*(part.column(n).to_pylist() for n in places))))
+                for name, values in new.items():
+                    n = names.index(name)
+                    part = part.set_column(n, part.schema.field(n), pa.array(values, part.schema.field(n).type))
+                yield part.filter(pa.array(stay))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ehrseq.llm.common import map_rows
+from ehrseq.llm.common import edit_rows, map_rows
 
 Q = 12
 # A segment of m characters may have m // EDIT_SHARE edits; the bound of the lemma stays above 0.
@@ -207,16 +207,12 @@ def find_passages(
 
 def without_passages(docs: DataFrame, benchmark: DataFrame, text="text", item_text="text") -> DataFrame:
     """The documents that hold no segment of any benchmark item, with all their columns."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    at = docs.columns.index(text)
     for part in _passes(benchmark, [item_text]):
         index = build_index([r[0] for r in part])
 
-        def each(lists, index=index):
-            for rows in lists:
-                hit = {a for a, _, _, _ in search(index, [r[at] for r in rows])}
-                kept = [r for n, r in enumerate(rows) if n not in hit]
-                yield {name: [r[n] for r in kept] for n, name in enumerate(docs.columns)}
+        def decide(rows, index=index):
+            hit = {a for a, _, _, _ in search(index, [r[0] for r in rows])}
+            return [n not in hit for n in range(len(rows))], {}
 
-        docs = map_rows(docs, each, schema)
+        docs = edit_rows(docs, [text], decide)
     return docs

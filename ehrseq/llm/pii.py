@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ehrseq.llm.common import map_rows, stage
+from ehrseq.llm.common import edit_rows, map_rows, stage
 from ehrseq.llm.tagger import Tagger, character_ids, decode, new_tagger, train
 
 # Kinds in order, and their patterns.
@@ -282,3 +282,23 @@ def redact(text: str, spans) -> str:
         out += [text[at:a], f"[{kind}]"]
         at = b
     return "".join([*out, text[at:]])
+
+
+def documents_redacted(docs: DataFrame, text: str = "text", size: str | None = "n_chars", tagger: Tagger | None | str = "train") -> DataFrame:
+    """The documents with personal data replaced, with all their columns.
+
+    ``size``, where it is a column, becomes the new length of the texts that changed.
+    """
+    if tagger == "train":
+        tagger = train_tagger(docs, text)
+    sized = [size] if size in docs.columns else []
+
+    def decide(rows):
+        texts = [row[0] or "" for row in rows]
+        spans = [all_spans(pattern_spans(t), added) for t, added in zip(texts, tagged_spans(tagger, texts))]
+        new = {text: [redact(row[0], s) if s else row[0] for row, s in zip(rows, spans)]}
+        if sized:
+            new[size] = [len(t) if s else row[1] for row, t, s in zip(rows, new[text], spans)]
+        return [True] * len(rows), new
+
+    return edit_rows(docs, [text, *sized], decide)

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ehrseq.llm.common import WORD, lowered, map_rows
+from ehrseq.llm.common import WORD, edit_rows, lowered, map_rows
 
 SYMBOLS = "#*$%&|<>"
 # Character classes, fixed values in order; what is in none of them is "other ASCII", and all else "non-ASCII".
@@ -202,3 +202,9 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), columns=("doc_id",),
     given = docs.select(*[F.col(f"`{c}`") for c in names], F.col(text).alias("_text"), F.col(lang).alias("_lang"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-2])
     return map_rows(given, each, f"{kinds}, {SCHEMA}")
+
+
+def documents_kept(docs: DataFrame, rules: Rules = Rules(), text="text", lang="lang") -> DataFrame:
+    """The documents that the rules keep, with all their columns."""
+    references = language_references(docs, rules, text, lang)
+    return edit_rows(docs, [text, lang], lambda rows: ([judge(*row, references, rules)[-1] for row in rows], {}))

@@ -249,3 +249,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     named = prints.join(reached, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first").alias("component_id"))
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return signed.join(named, "fingerprint").select(id_column, hexed.alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
+    """One document of each component, with all its columns: the one with the smallest id.
+
+    Rows are numbered first, so of repeated rows one stays; null ids come last.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number"))
+    numbered = stage(rows, "numbered")
+    given = F.col("row").getField(id_column)
+    key = F.struct(given.isNull().alias("missing"), given.alias("given"), F.col("number"))
+    keyed = numbered.select(key.alias("key"), F.col("row").getField(text).alias("text"))
+    first = near_duplicates(keyed, "key", "text", radius).where("key = component_id").select("key.number")
+    return numbered.join(first, "number", "left_semi").select("row.*")
