@@ -45,7 +45,8 @@ WITH d AS MATERIALIZED (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, lang, text IS NULL AS missing FROM documents
 ), words AS MATERIALIZED (
     SELECT r, lang, missing, unnest(list) AS w, generate_subscripts(list, 1) AS i
-    FROM (SELECT r, lang, missing, regexp_extract_all(text, '[^ 	-]+') AS list FROM d)
+    FROM (SELECT r, lang, missing, regexp_extract_all(text, '[^ 	-
+]+') AS list FROM d)
 ), lowered AS MATERIALIZED (
     SELECT r, lang, missing, translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w FROM words
 ), windows AS (
@@ -58,7 +59,8 @@ WITH d AS MATERIALIZED (
 ), lines AS (
     SELECT r, count(*) - count(DISTINCT line) AS n
     FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
-    WHERE regexp_matches(line, '[^ 	-]') GROUP BY r
+    WHERE regexp_matches(line, '[^ 	-
+]') GROUP BY r
 ), facts AS (
     SELECT r, count(*) AS n, sum(length(w))::BIGINT AS chars FROM words GROUP BY r
 ), classes AS MATERIALIZED (
@@ -100,4 +102,34 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
-SQL = {"op1_url_filters": URL_FILTERS, "op4_quality_rules": QUALITY_RULES}
+LM_SCORING = r"""
+WITH d AS MATERIALIZED (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS list
+    FROM documents
+), words AS MATERIALIZED (
+    SELECT r, unnest(list) AS w, generate_subscripts(list, 1) AS i FROM d
+), counted AS (
+    SELECT w, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, ('0x' || substr(md5(w), 1, 16))::UBIGINT >> 1) AS rank FROM words GROUP BY w
+), vocabulary AS MATERIALIZED (
+    SELECT w, n, CASE WHEN rank <= 65534 THEN rank + 1 ELSE 0 END AS number FROM counted
+), seen AS MATERIALIZED (
+    SELECT number, sum(n) AS n FROM vocabulary GROUP BY number
+    UNION ALL SELECT 1, count(DISTINCT r) FROM words
+), pairs AS MATERIALIZED (
+    SELECT r, coalesce(lag(number) OVER (PARTITION BY r ORDER BY i), 1) AS u, number AS w FROM words JOIN vocabulary USING (w)
+), bigrams AS (
+    SELECT u, w, count(*) AS n FROM pairs GROUP BY u, w HAVING count(DISTINCT r) > 1
+), scored AS (
+    SELECT r, count(*) AS n_words, count(*) FILTER (b.n IS NULL) AS n_backed_off,
+        sum(CASE WHEN b.n IS NOT NULL THEN ln(b.n / before.n) ELSE ln(0.4::DOUBLE * itself.n / (SELECT count(*) FROM words)) END) AS log_score
+    FROM pairs p LEFT JOIN bigrams b ON p.u = b.u AND p.w = b.w
+        JOIN seen before ON before.number = p.u JOIN seen itself ON itself.number = p.w
+    GROUP BY r
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backed_off, 0) AS n_backed_off,
+    round(coalesce(log_score, 0), 6) AS log_score, round(log_score / n_words, 6) AS mean_log_score
+FROM d LEFT JOIN scored USING (r)
+"""
+
+SQL = {"op1_url_filters": URL_FILTERS, "op4_quality_rules": QUALITY_RULES, "op6_lm_scoring": LM_SCORING}

@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ehrseq.llm.decontamination import find_passages
+from ehrseq.llm.grading import fit_grades, grade_documents, grade_of
+from ehrseq.llm.lm import backoff_scores
 from ehrseq.llm.packing import pack_documents
 from ehrseq.llm.pii import find_personal_data
 from ehrseq.llm.quality import quality_rules
@@ -55,6 +57,17 @@ def decontamination(spark, folder):
     return find_passages(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def lm_scoring(spark, folder):
+    scores = backoff_scores(read(spark, folder, "documents"))
+    return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
+
+
+def grading(spark, folder):
+    docs = read(spark, folder, "documents")
+    ratings = read(spark, folder, "labels").select("doc_id", grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
+    return grade_documents(docs, fit_grades(docs, ratings, grades=3), good=2)
+
+
 def pii(spark, folder):
     return find_personal_data(read(spark, folder, "documents")).drop("redacted")
 
@@ -69,7 +82,9 @@ QUERIES = {
     "op2_sharding": sharding,
     "op3_simhash": simhash,
     "op4_quality_rules": quality,
+    "op6_lm_scoring": lm_scoring,
     "op7_decontamination": decontamination,
     "op8_pii": pii,
+    "op9_quality_grades": grading,
     "op10_packing": packing,
 }
