@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ehrseq.llm.decontamination import find_passages
 from ehrseq.llm.grading import fit_grades, grade_documents, grade_of
+from ehrseq.llm.html_text import extract_text
 from ehrseq.llm.lm import backoff_scores
 from ehrseq.llm.packing import pack_documents
 from ehrseq.llm.pii import find_personal_data
@@ -57,6 +58,10 @@ def decontamination(spark, folder):
     return find_passages(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
+def html_extraction(spark, folder):
+    return extract_text(read(spark, folder, "pages"))
+
+
 def lm_scoring(spark, folder):
     scores = backoff_scores(read(spark, folder, "documents"))
     return scores.withColumns({c: F.round(c, 6) for c in ("log_score", "mean_log_score")})
@@ -82,6 +87,7 @@ QUERIES = {
     "op2_sharding": sharding,
     "op3_simhash": simhash,
     "op4_quality_rules": quality,
+    "op5_html_extraction": html_extraction,
     "op6_lm_scoring": lm_scoring,
     "op7_decontamination": decontamination,
     "op8_pii": pii,
