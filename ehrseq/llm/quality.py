@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ehrseq.llm.common import WORD, edit_rows, lowered, map_rows
+from ehrseq.llm.common import WORD, edit_rows, lowered, map_rows, stage
 
 SYMBOLS = "#*$%&|<>"
 # Character classes, fixed values in order; what is in none of them is "other ASCII", and all else "non-ASCII".
@@ -132,14 +132,15 @@ def language_references(docs: DataFrame, rules: Rules = Rules(), text="text", la
         yield handed_on()
 
     given = docs.where(F.col(lang).isin(*rules.languages) & F.col(text).isNotNull()).select(lang, text)
-    counts = map_rows(given, count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    sums = map_rows(given, count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts = stage(sums, "word_counts")
     is_class = F.startswith("word", F.lit(" "))
-    # A group has at most one row per word of the language; the rank keeps few of them per task.
-    order = Window.partitionBy("lang", is_class).orderBy(F.desc("n"), "word")
-    total = counts.where(~is_class).groupBy("lang").agg(F.sum("n").alias("words"))
-    kept = counts.withColumn("rank", F.row_number().over(order)).where(is_class | (F.col("rank") <= rules.common_words))
+    # Each task keeps its own most common words before they meet: the rank is bounded.
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    common = counts.where(~is_class).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= rules.common_words)
+    kept = common.unionByName(counts.where(is_class).withColumn("rank", F.lit(0)))
+    totals = {r.lang: r.words for r in counts.where(~is_class).groupBy("lang").agg(F.sum("n").alias("words")).collect()}
     found: dict[str, dict] = {}
-    totals = {r.lang: r.words for r in total.collect()}
     for r in sorted(kept.collect(), key=lambda r: (r.lang, r["rank"])):
         reference = found.setdefault(r.lang, {"classes": np.zeros(N_CLASSES), "common": [], "words": []})
         if r.word.startswith(" "):
