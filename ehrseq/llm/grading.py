@@ -54,7 +54,7 @@ def fit(rows: list[tuple[int, list[int]]], grades: int, rounds: int = 200, penal
     Grades weigh alike, however rare. A grade without rows keeps its place between the others.
     """
     y = np.array([g for g, _ in rows], np.int64)
-    sizes = np.array([len(f) for _, f in rows])
+    sizes = np.array([len(f) for _, f in rows], np.int64)
     flat = np.concatenate([np.asarray(f, np.int64) for _, f in rows]) if len(rows) and sizes.sum() else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(rows)), sizes)
     told = _telling(y, doc, flat, min_errors)

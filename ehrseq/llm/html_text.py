@@ -336,6 +336,8 @@ def render(html: str | None) -> str:
     """The visible text of a page."""
     builder = _Builder()
     builder.feed(html or "")
+    if builder.rawdata.startswith("<!"):
+        builder.rawdata = ""  # a comment that never ends
     builder.close()
     # Inner tables come after outer ones, so backwards each finds those inside it laid out.
     for table in reversed(builder.tables):
