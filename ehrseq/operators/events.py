@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ehrseq.functions.dates import date_of_birth
@@ -35,10 +35,21 @@ def union_domain_tables(tables: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, events)
 
 
+def unwanted(concept_ids: list[int]) -> Column:
+    """Whether an event's concept is to be removed; an event without a concept is not."""
+    return F.coalesce(F.col("concept_id").isin(list(concept_ids)), F.lit(False))
+
+
 def remove_concepts(events: DataFrame, concept_ids: list[int]) -> DataFrame:
     """Drop unwanted concepts; an event without a concept stays."""
-    unwanted = F.coalesce(F.col("concept_id").isin(list(concept_ids)), F.lit(False))
-    return events.where(~unwanted)
+    return events.where(~unwanted(concept_ids))
+
+
+def count_removed(events: DataFrame, concept_ids: list[int]) -> DataFrame:
+    """How many events ``remove_concepts`` removes and keeps, in one pass, as a one-row frame."""
+    return events.agg(
+        F.count_if(unwanted(concept_ids)).alias("removed_concepts"), F.count_if(~unwanted(concept_ids)).alias("kept")
+    )
 
 
 def remove_duplicates(events: DataFrame) -> DataFrame:
@@ -46,12 +57,6 @@ def remove_duplicates(events: DataFrame) -> DataFrame:
     return events.select(*EVENT_COLUMNS).distinct()
 
 
-def removed_rows(before: DataFrame, after: DataFrame, name: str) -> DataFrame:
-    """How many rows a step removed, as a one-row frame."""
-    kept = after.agg(F.count("*")).scalar()
-    return before.agg((F.count("*") - kept).alias(name))
-
-
 def ingredients(concept: DataFrame) -> DataFrame:
     return concept.where(F.col("concept_class_id") == "Ingredient").select("concept_id")
 

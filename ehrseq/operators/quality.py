@@ -28,14 +28,15 @@ def label_prevalence(labels: DataFrame) -> DataFrame:
 
 
 def unequal_arrays(sequences: DataFrame) -> DataFrame:
-    """Sequences in which some array is not as long as the sequence says, with that array's name."""
+    """For each array: the sequences, and those whose rows together hold more or fewer values than
+    the sequence says."""
     names = [n for n in SEQUENCE_ARRAYS if n != "visit_concept_ids"]
-    lengths = F.array(*[F.struct(F.lit(n).alias("array"), F.size(n).alias("length")) for n in names])
-    return (
-        sequences.select(*PERIOD_KEY, "num_of_concepts", F.explode(lengths).alias("_a"))
-        .select(*PERIOD_KEY, "num_of_concepts", "_a.*")
-        .where(F.col("length") != F.col("num_of_concepts"))
+    whole = sequences.groupBy(*PERIOD_KEY).agg(
+        F.max("num_of_concepts").alias("_said"), *[F.sum(F.size(n)).alias(n) for n in names]
     )
+    counts = [F.struct(F.lit(n).alias("array"), F.count_if(F.col(n) != F.col("_said")).alias("unequal")) for n in names]
+    totals = whole.agg(F.count("*").alias("sequences"), F.array(*counts).alias("_counts"))
+    return totals.select("sequences", F.explode("_counts").alias("_c")).select("_c.array", "sequences", "_c.unequal")
 
 
 def dense_visits(sequences: DataFrame) -> DataFrame:

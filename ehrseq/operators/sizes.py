@@ -9,10 +9,10 @@ BROADCAST_ROWS = 1_000_000
 def join_lookup(frame: DataFrame, lookup: DataFrame, on, how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Join a large frame to a narrow lookup table.
 
-    A lookup of at most ``max_rows`` rows (counted, and the count stops there) is broadcast, so
-    hot keys of the large side cost nothing. A larger one is joined by shuffle, where adaptive
-    execution splits the partitions of hot keys.
+    A lookup of at most ``max_rows`` rows is broadcast, so hot keys of the large side cost nothing.
+    A larger one is joined by shuffle, where adaptive execution splits the partitions of hot keys.
+    Every task counts its own rows, and only the counts meet. Pass a staged lookup: it is read
+    for the count and for the join.
     """
-    rows = lookup.limit(max_rows + 1).count()
-    side = F.broadcast(lookup) if rows <= max_rows else lookup.hint("shuffle_merge")
+    side = F.broadcast(lookup) if lookup.count() <= max_rows else lookup.hint("shuffle_merge")
     return frame.join(side, on, how)

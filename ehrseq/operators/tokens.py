@@ -7,7 +7,7 @@ hold a whole period in memory works on it.
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ehrseq.functions.dates import age_in_months, interval_token, month_number, week_index
+from ehrseq.functions.dates import age_in_months, interval_token, week_index
 from ehrseq.operators.events import add_date_of_birth
 from ehrseq.operators.numbering import blocks_before, month_block
 from ehrseq.operators.ranges import within_period
@@ -182,19 +182,6 @@ def _block_facts(visits: DataFrame, busy: DataFrame | None) -> DataFrame:
     )
 
 
-def _with_labels(visits: DataFrame, labels: DataFrame) -> DataFrame:
-    """Keep labelled persons. A person labelled twice gets every token twice, as a join would."""
-    per_person = labels.groupBy("person_id").agg(F.bool_or("label").alias("label"), F.count("*").alias("_copies"))
-    copies = F.col("_copies")
-    return (
-        visits.join(per_person, "person_id")
-        .withColumn("first_position", F.col("first_position") * copies)
-        .withColumn("sequence_length", F.col("sequence_length") * copies)
-        .withColumn("last_visit_start", F.col("last_visit_start") * copies)
-        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
-    )
-
-
 def _carried(visits: DataFrame) -> list[str]:
     """Visit columns that every token takes along."""
     extra = ["label"] if "label" in visits.columns else []
@@ -272,8 +259,9 @@ def token_stream(events: DataFrame, ranked: DataFrame) -> DataFrame:
 
     A token's position is where its visit begins plus its rank within the visit, so a period of
     any length is ordered visit by visit. ``ranked`` should be a staged table. If it holds very
-    large visits, those are further cut by concept and month, and what comes before each cut is
-    counted from those visits alone.
+    large visits, those are further cut along the same order (null concepts last, then concept,
+    then day), and what comes before each cut is counted from those visits alone. The size at
+    which a visit is cut changes the plan and never the positions.
     """
     tokens = _all_tokens(events, ranked)
     visit = [*PERIOD_KEY, "visit_concept_orders"]
@@ -281,13 +269,16 @@ def token_stream(events: DataFrame, ranked: DataFrame) -> DataFrame:
     before = F.lit(0)
     large_visits = ranked.where("large")
     if not large_visits.isEmpty():
-        cuts = ["_concept_cut", "_month_cut"]
-        by_concept = F.coalesce("sort_order", F.lit(SORT_VISIT_END))
+        # Never null, and in the order of the window below.
+        by_order = {
+            "_null_cut": F.col("sort_order").isNull().cast("int"),
+            "_concept_cut": F.coalesce("sort_order", F.lit(0)),
+            "_day_cut": F.coalesce(F.datediff("token_date", F.lit("1970-01-01").cast("date")), F.lit(-(2**31))),
+        }
+        cuts = list(by_order)
 
         def cut(frame):
-            return frame.withColumn("_concept_cut", F.when(F.col("large"), by_concept).otherwise(F.lit(0))).withColumn(
-                "_month_cut", F.when(F.col("large"), month_number(F.col("token_date"))).otherwise(F.lit(0))
-            )
+            return frame.withColumns({name: F.when(F.col("large"), value).otherwise(F.lit(0)) for name, value in by_order.items()})
 
         sizes = cut(_all_tokens(events, large_visits)).groupBy(*visit, *cuts).agg(F.count("*").alias("_rows"))
         tokens = cut(tokens).join(

@@ -31,9 +31,10 @@ def _special_tokens(spark: SparkSession) -> DataFrame:
 def fit_vocabulary(tokens: DataFrame, column: str) -> DataFrame:
     """Distinct tokens of a long-form column, numbered in token order after the special tokens.
 
-    Pass the training split only. The same data always gives the same numbers.
+    Pass the training split only. The same data always gives the same numbers. A token spelt like
+    a special one is that one.
     """
-    words = tokens.where(F.col(column).isNotNull()).select(F.col(column).alias("token")).distinct()
+    words = tokens.where(F.col(column).isNotNull() & ~F.col(column).isin(SPECIAL_TOKENS)).select(F.col(column).alias("token")).distinct()
     blocks = words.withColumn("_all", F.lit(0)).withColumn("_block", F.substring("token", 1, BLOCK_CHARACTERS))
     numbered = number_rows(blocks, "_number", ["_all"], "_block", ["token"])
     ids = numbered.select("token", (F.col("_number") + FIRST_TOKEN_ID - 1).alias("token_id"))

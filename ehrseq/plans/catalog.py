@@ -3,25 +3,28 @@
 import uuid
 from functools import reduce
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ehrseq.operators import baseline, cohort, examples, metrics, quality, study, visits, vocabulary
 from ehrseq.operators.events import (
     add_date_of_birth,
+    count_removed,
     ingredients,
     map_concepts,
-    removed_rows,
 )
 from ehrseq.operators.numbering import number_rows
 from ehrseq.operators.sequences import collect_sequences
 from ehrseq.operators.tokens import event_tokens, interval_tokens, visit_tokens
+from ehrseq.operators.vocabulary import split_by_person
 from ehrseq.plans.oracle import LENGTH
+from ehrseq.plans.process import process_cdm_data
 from ehrseq.plans.trial_run import SEED, TRAIN_FRACTION, trial_run
 from ehrseq.schema import PERIOD_KEY
 from ehrseq.settings import ExampleSettings
 from ehrseq.sources import files, trial
-from ehrseq.sources.cdm import read_cdm, read_labels, write_cdm, write_labels
+from ehrseq.sources.cdm import read_all_labels, read_cdm, write_cdm, write_labels
 from ehrseq.staging import Staging
 
 QUERIES = {}
@@ -121,7 +124,7 @@ def remove_concepts(run):
 
 @query
 def removed_concepts(run):
-    return removed_rows(run.events["union"], run.events["kept"], "removed_concepts")
+    return count_removed(run.events["union"], run.settings.concepts_to_remove).select("removed_concepts")
 
 
 @query
@@ -344,9 +347,22 @@ def label_output(run):
     return built.select(*PERIOD_KEY, "finetune_label")
 
 
+# At most so many labelled examples train the baseline; Spark's classifier reads them many times.
+TRAINING_EXAMPLES = 200_000
+
+
+def _labelled_examples(run):
+    return examples.build_examples(run.labelled_tokens, run.vocabulary, run.visit_vocabulary, _settings(label=True))
+
+
+def _training_examples(run, most):
+    return examples.cap_training_set(split_by_person(_labelled_examples(run), TRAIN_FRACTION, SEED)[0], most, SEED)
+
+
 @query
 def training_cap(run):
-    return examples.cap_training_set(run.tokens.select(*PERIOD_KEY).distinct(), 200, SEED)
+    """The labelled training examples of a small step of a learning curve."""
+    return _training_examples(run, 200).select(*PERIOD_KEY)
 
 
 # Baseline
@@ -369,13 +385,15 @@ def baseline_scores(run):
 
 @query
 def baseline_fit(run):
-    built = examples.build_examples(
-        run.labelled_tokens, run.vocabulary, run.visit_vocabulary, _settings(label=True)
+    """Fitted on the training persons; on all examples, whether the weights score like the model."""
+    built, size = _labelled_examples(run), run.vocabulary.count()
+    model = baseline.fit_baseline(_training_examples(run, TRAINING_EXAMPLES), size)
+    ours = baseline.baseline_scores(built, baseline.model_weights(model, run.spark), model.intercept)
+    theirs = model.transform(baseline.presence_vectors(built, size)).select(
+        *PERIOD_KEY, vector_to_array("probability")[1].alias("probability")
     )
-    size = run.vocabulary.count()
-    model = baseline.fit_baseline(built, size, max_iter=5)
-    scored = model.transform(baseline.presence_vectors(built, size))
-    return scored.select(*PERIOD_KEY, "finetune_label", F.col("prediction").alias("predicted"))
+    same = F.abs(F.col("prediction") - F.col("probability")) < 1e-9
+    return ours.join(theirs, PERIOD_KEY).select(*PERIOD_KEY, same.cast("bigint").alias("same"))
 
 
 # Metrics
@@ -613,8 +631,16 @@ def cdm_files(run):
 def label_files(run):
     path = _folder(run, "labels")
     write_labels(_window_labels(run), path)
-    first = run.chosen_concepts.agg(F.min("concept_id")).first()[0]
-    return read_labels(run.spark, path, first)
+    return read_all_labels(run.spark, path)
+
+
+@query
+def processed_sequences(run):
+    """A CDM folder to sequences in one go, as a user runs it."""
+    root, out = _folder(run, "cdm"), _folder(run, "processed")
+    write_cdm(run.tables, root)
+    process_cdm_data(run.spark, root, out, run.settings)
+    return files.read_sequences(run.spark, f"{out}/sequences").drop("part", "last_visit_start")
 
 
 @query

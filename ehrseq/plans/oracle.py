@@ -73,84 +73,72 @@ event_kept AS (SELECT * FROM event_union WHERE concept_id IS NULL OR concept_id
 event_distinct AS (SELECT DISTINCT * FROM event_kept)"""
 )
 
+# Days count from 1970; the visits of a day are numbered from 1, and a visit made for a day has number 0.
 LINK = (
     EVENTS
     + """,
-keyed_visit AS (
-  SELECT *, date_diff('day', DATE '1970-01-01', visit_start_date) * 4294967296 + row_number() OVER
-    (PARTITION BY person_id, visit_start_date ORDER BY visit_end_date, visit_occurrence_id) AS visit_seq
+stay AS MATERIALIZED (
+  SELECT person_id, visit_occurrence_id, visit_start_date AS first_day, visit_end_date AS last_day, visit_concept_id,
+    epoch(visit_start_date)::BIGINT // 86400 * 4294967296
+      + row_number() OVER (PARTITION BY person_id, visit_start_date ORDER BY visit_end_date, visit_occurrence_id) AS place
   FROM cdm_visit),
-joined_id AS (
-  SELECT e.*, v.visit_seq AS id_from_id, v.person_id AS visit_person_id
-  FROM event_distinct e LEFT JOIN keyed_visit v ON e.visit_occurrence_id = v.visit_occurrence_id),
-joined_date AS (
-  SELECT j.person_id, j.start_date, j.concept_id, j.id_from_id, j.visit_person_id, min(v.visit_seq) AS id_from_date
-  FROM joined_id j LEFT JOIN keyed_visit v ON j.person_id = v.person_id
-    AND j.start_date >= v.visit_start_date AND j.start_date <= v.visit_end_date
-  GROUP BY ALL),
-missing_visit AS (
-  SELECT person_id, start_date, date_diff('day', DATE '1970-01-01', start_date) * 4294967296 AS visit_seq
-  FROM (SELECT DISTINCT person_id, start_date FROM joined_date WHERE id_from_id IS NULL AND id_from_date IS NULL)),
-joined_new AS (
-  SELECT j.*, m.visit_seq AS id_from_new FROM joined_date j
-  LEFT JOIN missing_visit m ON j.person_id = m.person_id AND j.start_date = m.start_date),
-linked_event AS (
-  SELECT person_id, concept_id, start_date, coalesce(id_from_id, id_from_date, id_from_new) AS visit_seq,
-    CASE WHEN id_from_id IS NOT NULL THEN visit_person_id ELSE person_id END AS visit_person_id
-  FROM joined_new),
-all_visit AS (
-  SELECT person_id, visit_start_date, visit_end_date, visit_concept_id, visit_seq FROM keyed_visit
-  UNION ALL SELECT person_id, start_date, start_date, 1, visit_seq FROM missing_visit),
-link_stats AS (
-  SELECT count(*) FILTER (WHERE id_from_id IS NOT NULL) AS mapped_by_id,
-    count(*) FILTER (WHERE id_from_id IS NULL AND id_from_date IS NOT NULL) AS mapped_by_date,
-    count(*) FILTER (WHERE id_from_new IS NOT NULL) AS mapped_to_new_visit,
-    count(*) FILTER (WHERE id_from_id IS NULL AND id_from_date IS NULL AND id_from_new IS NOT NULL) AS used_new_visit,
-    (SELECT count(*) FROM missing_visit) AS new_visits, (SELECT count(*) FROM cdm_visit) AS existing_visits
-  FROM joined_new)"""
+named AS MATERIALIZED (
+  SELECT e.*, s.place AS named_place, s.person_id AS named_person
+  FROM event_distinct e LEFT JOIN stay s USING (visit_occurrence_id)),
+event_day AS MATERIALIZED (
+  SELECT person_id, start_date, (SELECT min(place) FROM stay s
+      WHERE s.person_id = n.person_id AND n.start_date BETWEEN s.first_day AND s.last_day) AS covering_place,
+    bool_or(named_place IS NULL) AS someone_unnamed
+  FROM named n GROUP BY person_id, start_date),
+routed AS MATERIALIZED (
+  SELECT DISTINCT n.person_id, n.start_date, concept_id, named_place, named_person, covering_place,
+    someone_unnamed AND covering_place IS NULL AS new_day,
+    CASE WHEN named_place IS NOT NULL THEN 'name' WHEN covering_place IS NOT NULL THEN 'day' ELSE 'none' END AS route
+  FROM named n JOIN event_day USING (person_id, start_date)),
+made AS MATERIALIZED (
+  SELECT person_id, start_date, epoch(start_date)::BIGINT // 86400 * 4294967296 AS place
+  FROM event_day WHERE someone_unnamed AND covering_place IS NULL),
+housed AS MATERIALIZED (
+  SELECT person_id, concept_id, start_date, coalesce(named_person, person_id) AS house_person,
+    CASE route WHEN 'name' THEN named_place WHEN 'day' THEN covering_place
+      ELSE epoch(start_date)::BIGINT // 86400 * 4294967296 END AS place
+  FROM routed),
+house AS MATERIALIZED (
+  SELECT person_id, first_day, last_day, visit_concept_id, place FROM stay
+  UNION ALL SELECT person_id, start_date, start_date, 1, place FROM made),
+route_count AS (
+  SELECT count(*) FILTER (route = 'name') AS mapped_by_id, count(*) FILTER (route = 'day') AS mapped_by_date,
+    count(*) FILTER (new_day) AS mapped_to_new_visit, count(*) FILTER (route = 'none') AS used_new_visit,
+    (SELECT count(*) FROM made) AS new_visits, (SELECT count(*) FROM stay) AS existing_visits
+  FROM routed)"""
 )
 
 TOKENS = (
     LINK
     + """,
-ranked AS (
-  SELECT v.*, observation_period_id, row_number() OVER
-    (PARTITION BY observation_period_id ORDER BY visit_start_date, visit_seq) AS visit_rank
-  FROM all_visit v JOIN cdm_period p ON v.person_id = p.person_id
-    AND visit_start_date >= op_start AND visit_start_date <= op_end),
-interval_token AS (
-  SELECT CASE WHEN days < 0 THEN 'W-1' WHEN days < 28 THEN 'W' || CAST(days // 7 AS VARCHAR)
-      WHEN days < 360 THEN 'M' || CAST(days // 30 AS VARCHAR) ELSE 'LT' END AS concept_ids,
-    0 AS visit_segments, 0 AS dates, -1 AS ages, visit_rank AS visit_concept_orders, '0' AS visit_concept_ids,
-    CAST(-2 AS BIGINT) AS sort_order, observation_period_id, person_id, visit_start_date AS token_date
-  FROM (SELECT r.*, date_diff('day', previous.visit_end_date, r.visit_start_date) AS days
-    FROM ranked r JOIN ranked previous ON r.observation_period_id = previous.observation_period_id
-      AND r.visit_rank = previous.visit_rank + 1)),
-start_token AS (
-  SELECT 'VS' AS concept_ids, visit_rank % 2 + 1 AS visit_segments,
-    date_diff('day', DATE '1970-01-01', visit_start_date) // 7 AS dates,
-    date_diff('month', date_of_birth, visit_start_date) AS ages, visit_rank AS visit_concept_orders,
-    CAST(visit_concept_id AS VARCHAR) AS visit_concept_ids, CAST(-1 AS BIGINT) AS sort_order,
-    observation_period_id, r.person_id, visit_start_date AS token_date
-  FROM ranked r JOIN person_dob d ON r.person_id = d.person_id),
-end_token AS (
-  SELECT 'VE' AS concept_ids, visit_rank % 2 + 1 AS visit_segments,
-    date_diff('day', DATE '1970-01-01', visit_end_date) // 7 AS dates,
-    date_diff('month', date_of_birth, visit_end_date) AS ages, visit_rank AS visit_concept_orders,
-    CAST(visit_concept_id AS VARCHAR) AS visit_concept_ids, 9223372036854775807 AS sort_order,
-    observation_period_id, r.person_id, visit_end_date AS token_date
-  FROM ranked r JOIN person_dob d ON r.person_id = d.person_id),
-event_token AS (
-  SELECT CAST(concept_id AS VARCHAR) AS concept_ids, visit_rank % 2 + 1 AS visit_segments,
-    date_diff('day', DATE '1970-01-01', start_date) // 7 AS dates,
-    date_diff('month', date_of_birth, start_date) AS ages, visit_rank AS visit_concept_orders,
-    CAST(visit_concept_id AS VARCHAR) AS visit_concept_ids, CAST(concept_id AS BIGINT) AS sort_order,
-    observation_period_id, r.person_id, start_date AS token_date
-  FROM linked_event e JOIN ranked r ON e.visit_person_id = r.person_id AND e.visit_seq = r.visit_seq
-  JOIN person_dob d ON r.person_id = d.person_id),
-all_token AS (
-  SELECT * FROM interval_token UNION ALL SELECT * FROM start_token UNION ALL SELECT * FROM event_token
-  UNION ALL SELECT * FROM end_token),
+placed AS MATERIALIZED (
+  SELECT h.*, observation_period_id, date_of_birth, row_number() OVER line AS turn, lag(last_day) OVER line AS left_on
+  FROM house h JOIN cdm_period p ON h.person_id = p.person_id AND first_day BETWEEN op_start AND op_end
+    JOIN person_dob d ON d.person_id = h.person_id
+  WINDOW line AS (PARTITION BY observation_period_id ORDER BY place)),
+mark AS (
+  SELECT p.*, unnest([
+      {'word': CASE WHEN first_day < left_on THEN 'W-1' WHEN first_day - left_on < 28 THEN 'W' || ((first_day - left_on) // 7)
+          WHEN first_day - left_on < 360 THEN 'M' || ((first_day - left_on) // 30) ELSE 'LT' END,
+        'on_day': first_day, 'rank': -2::BIGINT},
+      {'word': 'VS', 'on_day': first_day, 'rank': -1::BIGINT},
+      {'word': 'VE', 'on_day': last_day, 'rank': 9223372036854775807::BIGINT}], recursive := true)
+  FROM placed p
+  UNION ALL
+  SELECT p.*, CAST(e.concept_id AS VARCHAR), e.start_date, e.concept_id
+  FROM housed e JOIN placed p ON p.person_id = e.house_person AND p.place = e.place),
+all_token AS MATERIALIZED (
+  SELECT person_id, observation_period_id, word AS concept_ids, rank AS sort_order, on_day AS token_date, turn AS visit_concept_orders,
+    CASE WHEN rank = -2 THEN 0 ELSE 1 + turn % 2 END AS visit_segments,
+    CASE WHEN rank = -2 THEN 0 ELSE epoch(on_day)::BIGINT // 604800 END AS dates,
+    CASE WHEN rank = -2 THEN -1 ELSE date_diff('month', date_of_birth, on_day) END AS ages,
+    CASE WHEN rank = -2 THEN '0' ELSE CAST(visit_concept_id AS VARCHAR) END AS visit_concept_ids
+  FROM mark WHERE rank IS DISTINCT FROM -2 OR turn > 1),
 token AS (
   SELECT *, row_number() OVER (PARTITION BY observation_period_id
     ORDER BY visit_concept_orders, sort_order NULLS LAST, token_date) - 1 AS orders FROM all_token),
@@ -401,48 +389,46 @@ _PARTS = {
     ),
     "link_by_id": (
         LINK,
-        "SELECT person_id, CAST(start_date AS VARCHAR) AS start_date, concept_id, visit_occurrence_id, id_from_id, "
-        "visit_person_id FROM joined_id",
+        "SELECT person_id, CAST(start_date AS VARCHAR) AS start_date, concept_id, visit_occurrence_id, "
+        "named_place AS id_from_id, named_person AS visit_person_id FROM named",
     ),
     "link_by_date": (
         LINK,
-        "SELECT person_id, CAST(start_date AS VARCHAR) AS start_date, concept_id, id_from_id, visit_person_id, "
-        "id_from_date FROM joined_date",
+        "SELECT person_id, CAST(start_date AS VARCHAR) AS start_date, concept_id, named_place AS id_from_id, "
+        "named_person AS visit_person_id, covering_place AS id_from_date FROM routed",
     ),
     "new_visits": (
         LINK,
         "SELECT person_id, CAST(start_date AS VARCHAR) AS visit_start_date, CAST(start_date AS VARCHAR) AS "
-        "visit_end_date, 1 AS visit_concept_id, visit_seq FROM missing_visit",
+        "visit_end_date, 1 AS visit_concept_id, place AS visit_seq FROM made",
     ),
     "link_events": (
         LINK,
-        "SELECT person_id, concept_id, CAST(start_date AS VARCHAR) AS start_date, visit_person_id, visit_seq "
-        "FROM linked_event",
+        "SELECT person_id, concept_id, CAST(start_date AS VARCHAR) AS start_date, house_person AS visit_person_id, "
+        "place AS visit_seq FROM housed",
     ),
     "all_visits": (
         LINK,
-        "SELECT person_id, CAST(visit_start_date AS VARCHAR) AS visit_start_date, CAST(visit_end_date AS VARCHAR) AS "
-        "visit_end_date, visit_concept_id, visit_seq FROM all_visit",
+        "SELECT person_id, CAST(first_day AS VARCHAR) AS visit_start_date, CAST(last_day AS VARCHAR) AS "
+        "visit_end_date, visit_concept_id, place AS visit_seq FROM house",
     ),
     "visit_numbers": (
         LINK,
         "SELECT person_id, visit_occurrence_id, row_number() OVER (PARTITION BY person_id ORDER BY visit_start_date, "
         "visit_end_date, visit_occurrence_id) AS visit_number FROM cdm_visit",
     ),
-    "link_statistics": (LINK, "SELECT * FROM link_stats"),
+    "link_statistics": (LINK, "SELECT * FROM route_count"),
     "visits_in_period": (
         TOKENS,
-        """SELECT r.person_id, r.observation_period_id, r.visit_seq, r.visit_rank,
-  CAST(previous.visit_end_date AS VARCHAR) AS previous_end
-  FROM ranked r LEFT JOIN ranked previous ON r.observation_period_id = previous.observation_period_id
-    AND r.visit_rank = previous.visit_rank + 1""",
+        "SELECT person_id, observation_period_id, place AS visit_seq, turn AS visit_rank, "
+        "CAST(left_on AS VARCHAR) AS previous_end FROM placed",
     ),
-    "interval_token_rows": (TOKENS, f"SELECT {TOKEN_LIST} FROM interval_token"),
-    "visit_token_rows": (
+    "interval_token_rows": (TOKENS, f"SELECT {TOKEN_LIST} FROM all_token WHERE sort_order = -2"),
+    "visit_token_rows": (TOKENS, f"SELECT {TOKEN_LIST} FROM all_token WHERE sort_order IN (-1, 9223372036854775807)"),
+    "event_token_rows": (
         TOKENS,
-        f"SELECT {TOKEN_LIST} FROM start_token UNION ALL SELECT {TOKEN_LIST} FROM end_token",
+        f"SELECT {TOKEN_LIST} FROM all_token WHERE sort_order IS NULL OR sort_order BETWEEN 0 AND 9223372036854775806",
     ),
-    "event_token_rows": (TOKENS, f"SELECT {TOKEN_LIST} FROM event_token"),
     "token_stream": (
         TOKENS,
         f"""SELECT {TOKEN_LIST}, orders, count(concept_ids) OVER p AS sequence_length,
@@ -455,6 +441,7 @@ _PARTS = {
         TOKENS,
         per_period(
             f"{SEQUENCE_LISTS}, count(concept_ids) AS num_of_concepts, max(visit_concept_orders) AS num_of_visits, "
+            "list_position(list(visit_concept_orders ORDER BY orders), max(visit_concept_orders)) - 1 AS last_visit_start, "
             "0 AS part",
             "token",
         ),
@@ -463,6 +450,7 @@ _PARTS = {
         TOKENS,
         per_period(
             f"{SEQUENCE_LISTS}, count(concept_ids) AS num_of_concepts, max(visit_concept_orders) AS num_of_visits, "
+            "list_position(list(visit_concept_orders ORDER BY orders), max(visit_concept_orders)) - 1 AS last_visit_start, "
             "0 AS part, CAST(bool_or(label) AS INT) AS label",
             "labelled_token",
         ),
@@ -472,7 +460,7 @@ _PARTS = {
         """SELECT (SELECT count(*) FROM cdm_person) AS persons, (SELECT count(*) FROM cdm_period) AS observation_periods,
   (SELECT count(*) FROM event_union) - (SELECT count(*) FROM event_kept) AS removed_concepts,
   (SELECT count(*) FROM event_kept) - (SELECT count(*) FROM event_distinct) AS removed_duplicates, *
-  FROM link_stats""",
+  FROM route_count""",
     ),
     "train_test_split": (
         TOKENS,
@@ -540,9 +528,18 @@ _PARTS = {
     ),
     "training_cap": (
         VOCABULARY,
-        f"SELECT person_id, observation_period_id FROM (SELECT DISTINCT person_id, observation_period_id FROM encoded) "
+        f"SELECT person_id, observation_period_id FROM (SELECT DISTINCT person_id, observation_period_id FROM labelled_token "
+        f"WHERE {draw('split', 'person_id')} < {TRAIN_FRACTION}) "
         f"ORDER BY {draw('cap', *PERIOD)}, person_id, observation_period_id LIMIT 200",
     ),
+    "baseline_fit": (TOKENS, "SELECT DISTINCT person_id, observation_period_id, 1 AS same FROM labelled_token"),
+    "processed_sequences": (
+        TOKENS,
+        per_period(
+            f"{SEQUENCE_LISTS}, count(concept_ids) AS num_of_concepts, max(visit_concept_orders) AS num_of_visits",
+            "token",
+        ),
+    ),
     "token_presence": (
         VOCABULARY + TAIL_FRAME,
         f"""SELECT person_id, observation_period_id, string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY token_id) AS present
@@ -634,10 +631,10 @@ _PARTS = {
     ),
     "array_check": (
         TOKENS,
-        f"""SELECT person_id, observation_period_id, num_of_concepts, a AS "array", length FROM (
+        f"""SELECT a AS "array", count(*) AS sequences, count(*) FILTER (num_of_concepts <> length) AS unequal FROM (
     {per_period('count(concept_ids) AS num_of_concepts, count(*) AS length', 'token')}),
     (VALUES ('concept_ids'), ('visit_segments'), ('dates'), ('ages'), ('visit_concept_orders'), ('orders')) AS n(a)
-  WHERE num_of_concepts <> length""",
+  GROUP BY a""",
     ),
     "dense_visits": (
         TOKENS,
@@ -669,7 +666,7 @@ _PARTS = {
     ),
     "label_files": (
         COHORT,
-        "SELECT person_id, label FROM window_label WHERE concept_id = (SELECT min(concept_id) FROM chosen)",
+        "SELECT concept_id, person_id, label FROM window_label",
     ),
     "vocabulary_files": (VOCABULARY, "SELECT token, token_id FROM vocab"),
     "metric_files": (
@@ -683,8 +680,8 @@ _PARTS = {
     ),
     "visit_types": (
         LINK,
-        """SELECT visit_person_id, visit_seq, CASE WHEN max(CASE WHEN concept_id % 10 = 0 THEN 1 ELSE 0 END) = 1 THEN 9203
-    ELSE 9201 END AS visit_concept_id FROM linked_event GROUP BY 1, 2""",
+        """SELECT house_person AS visit_person_id, place AS visit_seq, CASE WHEN max(CASE WHEN concept_id % 10 = 0 THEN 1 ELSE 0 END) = 1 THEN 9203
+    ELSE 9201 END AS visit_concept_id FROM housed GROUP BY 1, 2""",
     ),
 }
 
@@ -698,8 +695,8 @@ _WHOLE_NUMBERS = {
     "new_visits": ["visit_concept_id"],
     "all_visits": ["visit_concept_id"],
     "interval_token_rows": ["visit_segments", "dates", "ages"],
-    "sequences": ["part"],
-    "labelled_sequences": ["part", "label"],
+    "sequences": ["part", "last_visit_start"],
+    "labelled_sequences": ["part", "label", "last_visit_start"],
     "vocabulary_facts": [
         "padding_id",
         "mask_id",
@@ -712,7 +709,8 @@ _WHOLE_NUMBERS = {
     "dense_visits": ["total_visits", "dense_visits"],
     "visit_types": ["visit_concept_id"],
     "label_files": ["label"],
-    "sequence_files": ["part"],
+    "baseline_fit": ["same"],
+    "sequence_files": ["part", "last_visit_start"],
     "settings_record": ["map_drugs_to_ingredients", "missing_visit_concept_id"],
 }
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ehrseq.operators.events import (
+    count_removed,
     ingredient_mapping,
     map_concepts,
     remove_concepts,
@@ -60,16 +61,13 @@ def process_tables(
 
 def run_counters(tables, events, distinct, link_statistics, settings) -> DataFrame:
     """What the run read, removed and linked, as one row."""
-    unwanted = F.coalesce(F.col("concept_id").isin(list(settings.concepts_to_remove)), F.lit(False))
-    before = events["union"].agg(
-        F.count_if(unwanted).alias("removed_concepts"), F.count_if(~unwanted).alias("_kept")
-    )
+    before = count_removed(events["union"], settings.concepts_to_remove)
     count = F.count("*")
     return before.select(
         tables["person"].agg(count).scalar().alias("persons"),
         tables["observation_period"].agg(count).scalar().alias("observation_periods"),
         "removed_concepts",
-        (F.col("_kept") - distinct.agg(count).scalar()).alias("removed_duplicates"),
+        (F.col("kept") - distinct.agg(count).scalar()).alias("removed_duplicates"),
         *[link_statistics.select(c).scalar().alias(c) for c in link_statistics.columns],
     )
 
@@ -84,7 +82,7 @@ def process_cdm_data(
 ) -> DataFrame:
     """Read a CDM folder; write ``tokens``, ``sequences``, ``counters`` and the ``settings`` used.
 
-    Returns the counters.
+    Returns the counters. Intermediate tables are removed.
     """
     tables = read_cdm(spark, cdm_path)
     if settings.map_drugs_to_ingredients:
@@ -92,9 +90,10 @@ def process_cdm_data(
             tables[name] = read_table(spark, cdm_path, name)
     labels = read_labels(spark, label_path, label_concept_id) if settings.has_labels else None
     write_record(spark, settings, f"{output_path}/settings")
-    result = process_tables(tables, settings, labels, stage=Staging(spark))
-    result.tokens.write.parquet(f"{output_path}/tokens")
+    with Staging(spark) as stage:
+        result = process_tables(tables, settings, labels, stage)
+        result.tokens.write.parquet(f"{output_path}/tokens")
+        result.counters.write.parquet(f"{output_path}/counters")
     tokens = spark.read.parquet(f"{output_path}/tokens")
     write_sequences(collect_sequences(tokens), f"{output_path}/sequences")
-    result.counters.write.parquet(f"{output_path}/counters")
     return spark.read.parquet(f"{output_path}/counters")

@@ -35,13 +35,25 @@ def write_cdm(tables: dict[str, DataFrame], root: str) -> None:
 
 
 def read_labels(spark: SparkSession, path: str, concept_id: int | None = None) -> DataFrame:
-    """Labels of one predicted concept (a partition filter), or a folder holding just one."""
+    """Labels of one predicted concept (a partition filter), or of a folder that holds just one.
+
+    A folder cut by concept needs to be told which: its concepts together would label a person
+    several times, and each label repeats all of the person's tokens.
+    """
     labels = spark.read.parquet(path)
     if concept_id is not None:
         labels = labels.where(F.col("concept_id") == concept_id)
+    elif "concept_id" in labels.columns:
+        raise ValueError(f"{path} holds labels of several concepts: name one")
     return labels.select(F.col("person_id").cast("bigint"), F.col("label").cast("boolean"))
 
 
+def read_all_labels(spark: SparkSession, path: str) -> DataFrame:
+    """Labels of every predicted concept, with the concept."""
+    labels = spark.read.parquet(path)
+    return labels.select(F.col("concept_id").cast("bigint"), F.col("person_id").cast("bigint"), F.col("label").cast("boolean"))
+
+
 def write_labels(labels: DataFrame, path: str) -> None:
     """One folder per predicted concept. The rows of a concept stay spread over many tasks."""
     labels.write.partitionBy("concept_id").parquet(path)

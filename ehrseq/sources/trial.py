@@ -8,6 +8,7 @@ missing birth dates, drugs with no or several ingredients.
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ehrseq.operators.cohort import gender_concept
 from ehrseq.sources.cdm import conform
 
 
@@ -45,10 +46,6 @@ def person(spark, folder):
     )
 
 
-def gender_concept(state):
-    return F.when(state == 0, F.lit(8507)).otherwise(F.lit(8532))
-
-
 def observation_period(spark, folder):
     spans = F.array(
         F.struct(F.lit(1).alias("k"), F.lit("1995-01-01").alias("s"), F.lit("1996-12-31").alias("e")),

@@ -22,7 +22,10 @@ def _trial_folder():
 
 
 class Staging:
-    """Writes staged tables below one folder of the session's shared checkpoint directory."""
+    """Writes staged tables below one folder of the session's shared checkpoint directory.
+
+    As a context, it deletes its folder at the end: leave it when the results are written.
+    """
 
     def __init__(self, spark: SparkSession):
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -38,3 +41,14 @@ class Staging:
         frame.write.parquet(path)
         return self._spark.read.schema(frame.schema).parquet(path)
 
+
+    def __enter__(self) -> "Staging":
+        return self
+
+    def __exit__(self, *error) -> None:
+        self.delete()
+
+    def delete(self) -> None:
+        """Remove the staged tables. Frames that read them can no longer be computed."""
+        path = self._spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(path, True)

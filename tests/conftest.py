@@ -25,36 +25,40 @@ def day(text):
 
 @pytest.fixture(scope="session")
 def cdm(spark):
-    """One person with three periods, three visits, three conditions and a death."""
+    """One person: a hospital stay and an emergency in spring, a stay years later, a death after all periods."""
     make = spark.createDataFrame
     return {
         "person": make(
-            [(1, 1970, 5, 7, 8507)],
+            [(5, 1961, 9, 23, 8532)],
             "person_id bigint, year_of_birth int, month_of_birth int, day_of_birth int, gender_concept_id bigint",
         ),
         "observation_period": make(
-            [(1, i, day(f"{2000 + i - 1}-01-01"), day(f"{2000 + i - 1}-07-01")) for i in (1, 2, 3)],
+            [
+                (5, 11, day("2010-03-01"), day("2010-12-31")),
+                (5, 12, day("2012-01-01"), day("2012-06-30")),
+                (5, 13, day("2015-05-05"), day("2016-05-05")),
+            ],
             "person_id bigint, observation_period_id bigint, observation_period_start_date date, "
             "observation_period_end_date date",
         ),
         "visit_occurrence": make(
             [
-                (1, 1, day("2000-01-01"), day("2000-01-01"), 9201),
-                (1, 2, day("2000-02-01"), day("2000-02-05"), 9202),
-                (1, 3, day("2002-07-01"), day("2002-07-01"), 9201),
+                (5, 21, day("2010-04-10"), day("2010-04-12"), 9201),
+                (5, 22, day("2010-06-20"), day("2010-06-20"), 9203),
+                (5, 23, day("2015-05-05"), day("2015-05-09"), 9202),
             ],
             "person_id bigint, visit_occurrence_id bigint, visit_start_date date, visit_end_date date, "
             "visit_concept_id bigint",
         ),
         "condition_occurrence": make(
             [
-                (1, day("2000-01-01"), 123, 1),
-                (1, day("2000-02-01"), 456, None),
-                (1, day("2000-03-01"), 0, None),
+                (5, day("2010-04-11"), 811, 21),
+                (5, day("2010-06-20"), 822, None),
+                (5, day("2010-08-02"), 0, None),
             ],
             "person_id bigint, condition_start_date date, condition_concept_id bigint, visit_occurrence_id bigint",
         ),
-        "death": make([(1, day("2020-07-01"))], "person_id bigint, death_date date"),
+        "death": make([(5, day("2019-11-30"))], "person_id bigint, death_date date"),
     }
 
 

@@ -73,6 +73,7 @@ def test_cohort_statistics(cdm):
     found = quality.cohort_statistics(
         cdm["person"], cdm["observation_period"], cdm["visit_occurrence"], cdm["condition_occurrence"]
     ).first()
-    assert (found.persons, found.visits, found.unique_concepts, found.percent_er_visits) == (1, 3, 3, 0.0)
-    assert found.mean_days_between_visits == pytest.approx((182 + 181 + 181) / 3)
+    assert (found.persons, found.visits, found.unique_concepts) == (1, 3, 3)
+    assert found.percent_er_visits == pytest.approx(100 / 3)
+    assert found.mean_days_between_visits == pytest.approx((305 + 181 + 366) / 3)
     assert found.mean_concepts_per_visit == 1.0

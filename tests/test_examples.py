@@ -20,18 +20,19 @@ from ehrseq.sources import trial
 from ehrseq.staging import Staging
 from tests.conftest import SMALL, rows
 
+# Three visits, years apart at the end.
 SEQUENCE = {
-    "person_id": 1,
-    "observation_period_id": 1,
-    "concept_ids": ["VS", "123", "456", "VE", "W1", "VS", "456", "VE"],
-    "visit_segments": [2, 2, 2, 2, 0, 1, 1, 1],
-    "orders": list(range(8)),
-    "dates": [1800] * 4 + [0] + [1801] * 3,
-    "ages": [75] * 4 + [0] + [76] * 3,
-    "visit_concept_orders": [1] * 4 + [2] * 4,
-    "num_of_concepts": 8,
-    "num_of_visits": 2,
-    "visit_concept_ids": ["9202"] * 4 + ["0"] + ["9202"] * 3,
+    "person_id": 6,
+    "observation_period_id": 60,
+    "concept_ids": ["VS", "55", "VE", "M2", "VS", "31", "55", "VE", "LT", "VS", "77", "VE"],
+    "visit_segments": [2, 2, 2, 0, 1, 1, 1, 1, 0, 2, 2, 2],
+    "orders": list(range(12)),
+    "dates": [1500] * 3 + [0] + [1510] * 4 + [0] + [1600] * 3,
+    "ages": [480] * 3 + [-1] + [482] * 4 + [-1] + [503] * 3,
+    "visit_concept_orders": [1] * 3 + [2] * 5 + [3] * 4,
+    "num_of_concepts": 12,
+    "num_of_visits": 3,
+    "visit_concept_ids": ["9201"] * 3 + ["0"] + ["9203"] * 4 + ["0"] + ["9201"] * 3,
 }
 SCHEMA = (
     "person_id bigint, observation_period_id bigint, concept_ids array<string>, visit_segments array<int>, "
@@ -68,64 +69,55 @@ def many_words(many):
 
 
 def build(tokens, words, visit_words, **options):
-    settings = ExampleSettings(**{"max_length": 12, "truncate": "tail", **options})
+    settings = ExampleSettings(**{"max_length": 16, "truncate": "tail", **options})
     return examples.build_examples(tokens, words, visit_words, settings)
 
 
 def test_vocabulary(tokens, words, spark):
     ids = {r.token: r.token_id for r in words.collect()}
-    assert ids == {
-        "[PAD]": 0,
-        "[MASK]": 1,
-        "[OOV]": 2,
-        "[CLS]": 3,
-        "123": 4,
-        "456": 5,
-        "VE": 6,
-        "VS": 7,
-        "W1": 8,
-    }
+    words_in_order = ["[PAD]", "[MASK]", "[OOV]", "[CLS]", "31", "55", "77", "LT", "M2", "VE", "VS"]
+    assert ids == {word: n for n, word in enumerate(words_in_order)}
     facts = vocabulary_facts(words).first()
-    assert (facts.vocabulary_size, facts.first_token_id, facts.last_token_id) == (9, 4, 8)
-    assert [r.token for r in list_vocabulary(tokens, "concept_ids").collect()] == ["123", "456", "VE", "VS", "W1"]
-    unknown = spark.createDataFrame([("123",), ("nowhere",), (None,)], "t string")
+    assert (facts.vocabulary_size, facts.first_token_id, facts.last_token_id) == (11, 4, 10)
+    assert [r.token for r in list_vocabulary(tokens, "concept_ids").collect()] == words_in_order[4:]
+    unknown = spark.createDataFrame([("55",), ("nowhere",), (None,)], "t string")
     encoded = encode(unknown, "t", words, "id")
-    assert rows(encoded, "t", "id") == [("123", 4), ("nowhere", 2), (None, 2)]
+    assert rows(encoded, "t", "id") == [("55", 5), ("nowhere", 2), (None, 2)]
     more = spark.createDataFrame([(4,), (77,)], "id bigint")
-    assert rows(decode(more, "id", words, "t"), "id", "t") == [(4, "123"), (77, None)]
+    assert rows(decode(more, "id", words, "t"), "id", "t") == [(4, "31"), (77, None)]
 
 
-def test_inputs_of_the_published_sequence(tokens, words, visit_words):
+def test_inputs(tokens, words, visit_words):
     row = build(tokens, words, visit_words).first()
-    assert row.token_ids == [3, 7, 4, 5, 6, 8, 7, 5, 6, 0, 0, 0]
-    assert row.visit_concept_orders == [0, 1, 1, 1, 1, 2, 2, 2, 2, 11, 11, 11]
-    assert row.padding_mask == [0.0] * 9 + [-math.inf] * 3
-    assert row.visit_segments == [0, 2, 2, 2, 2, 0, 1, 1, 1, 0, 0, 0]
-    assert row.ages == [0.0] + [75.0] * 4 + [0.0] + [76.0] * 3 + [0.0] * 3
-    assert row.visit_token_ids == [3, 5, 5, 5, 5, 4, 5, 5, 5, 0, 0, 0]
+    assert row.token_ids == [3, 10, 5, 9, 8, 10, 4, 5, 9, 7, 10, 6, 9, 0, 0, 0]
+    assert row.visit_concept_orders == [0, 1, 1, 1, 2, 2, 2, 2, 2, 3, 3, 3, 3, 15, 15, 15]
+    assert row.padding_mask == [0.0] * 13 + [-math.inf] * 3
+    assert row.visit_segments == [0, 2, 2, 2, 0, 1, 1, 1, 1, 0, 2, 2, 2, 0, 0, 0]
+    assert row.ages == [0.0] + [480.0] * 3 + [-1.0] + [482.0] * 4 + [-1.0] + [503.0] * 3 + [0.0] * 3
+    assert row.visit_token_ids == [3, 5, 5, 5, 4, 6, 6, 6, 6, 4, 5, 5, 5, 0, 0, 0]
 
 
 def test_tail_truncation(tokens, words, visit_words):
-    row = build(tokens, words, visit_words, max_length=5).first()
-    assert row.token_ids == [3, 8, 7, 5, 6]
-    assert row.visit_concept_orders == [0, 1, 1, 1, 1]
-    assert row.padding_mask == [0.0] * 5
+    row = build(tokens, words, visit_words, max_length=7).first()
+    assert row.token_ids == [3, 5, 9, 7, 10, 6, 9]
+    assert row.visit_concept_orders == [0, 1, 1, 2, 2, 2, 2]
+    assert row.padding_mask == [0.0] * 7
 
 
 def test_next_token(tokens, words, visit_words):
     row = build(tokens, words, visit_words, next_token=True).first()
-    assert row.token_ids == [3, 7, 4, 5, 6, 8, 7, 5, 0, 0, 0, 0]
-    assert row.next_token_ids == [3, 4, 5, 6, 8, 7, 5, 6, 0, 0, 0, 0]
+    assert row.token_ids == [3, 10, 5, 9, 8, 10, 4, 5, 9, 7, 10, 6, 0, 0, 0, 0]
+    assert row.next_token_ids == [3, 5, 9, 8, 10, 4, 5, 9, 7, 10, 6, 9, 0, 0, 0, 0]
     short = build(tokens, words, visit_words, next_token=True, max_length=4).first()
-    assert (short.token_ids, short.next_token_ids) == ([3, 8, 7, 5], [3, 7, 5, 6])
+    assert (short.token_ids, short.next_token_ids) == ([3, 7, 10, 6], [3, 10, 6, 9])
 
 
 def test_next_visit(tokens, words, visit_words):
     row = build(tokens, words, visit_words, next_visit=True).first()
-    assert row.token_ids == [3, 7, 4, 5] + [0] * 8
-    assert row.next_visit_token_set == [5, 6, 7, 8]
+    assert row.token_ids == [3, 10, 5, 9, 8, 10, 4, 5] + [0] * 8
+    assert row.next_visit_token_set == [6, 7, 9, 10]
     dense = build(tokens, words, visit_words, next_visit=True, dense_next_visit=True).first()
-    assert dense.next_visit_token_set == [0.0] * 5 + [1.0] * 4
+    assert dense.next_visit_token_set == [0.0] * 6 + [1.0, 1.0, 0.0, 1.0, 1.0]
     single = tokens.where("visit_concept_orders = 1").withColumn("last_visit_start", F.lit(0))
     assert build(single, words, visit_words, next_visit=True).count() == 0
 
@@ -223,12 +215,12 @@ def test_training_cap_nests(many):
 
 def test_baseline(spark, tokens, words, visit_words):
     built = build(tokens, words, visit_words)
-    assert baseline.token_presence(built).first().present == [0, 3, 4, 5, 6, 7, 8]
+    assert baseline.token_presence(built).first().present == [0, *range(3, 11)]
     weights = spark.createDataFrame([(3, 0.5), (5, -1.0), (7, 0.25)], "token_id bigint, weight double")
     score = baseline.baseline_scores(built, weights, 0.1).first().prediction
     assert score == pytest.approx(1 / (1 + math.exp(0.15)))
-    vector = baseline.presence_vectors(built.withColumn("finetune_label", F.lit(1.0)), 9).first().features
-    assert list(vector.toArray()) == [1, 0, 0, 1, 1, 1, 1, 1, 1]
+    vector = baseline.presence_vectors(built.withColumn("finetune_label", F.lit(1.0)), 11).first().features
+    assert list(vector.toArray()) == [1, 0, 0] + [1] * 8
 
 
 def test_fitted_weights_score_like_the_model(spark, many, many_words):

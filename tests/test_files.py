@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from ehrseq.operators import study
@@ -23,8 +24,8 @@ def test_a_folder_of_tables_becomes_sequences(spark, cdm, tmp_path):
     assert counters.first().persons == 1
     written = files.read_sequences(spark, f"{out}/sequences")
     assert {r.observation_period_id: r.concept_ids for r in written.collect()} == {
-        1: ["VS", "123", "VE", "M1", "VS", "456", "VE"],
-        3: ["VS", "VE"],
+        11: ["VS", "811", "VE", "M2", "VS", "822", "VE"],
+        13: ["VS", "VE"],
     }
     assert rows(spark.read.parquet(f"{out}/tokens")) == rows(process_tables(cdm, settings).tokens)
     assert files.read_record(spark, MappingSettings, f"{out}/settings") == settings
@@ -32,14 +33,17 @@ def test_a_folder_of_tables_becomes_sequences(spark, cdm, tmp_path):
 
 def test_labels_by_concept(spark, cdm, tmp_path):
     labels = spark.createDataFrame(
-        [(1, 5, True), (1, 6, False), (2, 5, False)], "person_id bigint, concept_id bigint, label boolean"
+        [(5, 70, True), (5, 71, False), (2, 70, False)], "person_id bigint, concept_id bigint, label boolean"
     )
     path = str(tmp_path / "labels")
     source.write_labels(labels, path)
-    assert rows(source.read_labels(spark, path, 5)) == [(1, True), (2, False)]
+    assert rows(source.read_labels(spark, path, 70)) == [(2, False), (5, True)]
+    with pytest.raises(ValueError):
+        source.read_labels(spark, path)
+    assert rows(source.read_all_labels(spark, path)) == [(70, 2, False), (70, 5, True), (71, 5, False)]
     source.write_cdm(cdm, str(tmp_path / "cdm"))
     settings = MappingSettings(map_drugs_to_ingredients=False, has_labels=True)
-    process_cdm_data(spark, str(tmp_path / "cdm"), str(tmp_path / "out"), settings, path, 6)
+    process_cdm_data(spark, str(tmp_path / "cdm"), str(tmp_path / "out"), settings, path, 71)
     assert {r.label for r in spark.read.parquet(str(tmp_path / "out/sequences")).collect()} == {False}
 
 

@@ -20,15 +20,9 @@ def test_query_equals_sql(spark, duck, name):
     assert differences(QUERIES[name](spark, SMALL), duck, SQL[name]) == []
 
 
-def test_every_query_has_sql_but_the_fitted_model():
+def test_every_query_has_sql():
     own = {name for name in QUERIES if not name.startswith("op") and name != "pipeline"}
-    assert own - set(SQL) == {"baseline_fit"}
-
-
-def test_fitted_model_tells_labels_apart(spark):
-    scored = QUERIES["baseline_fit"](spark, SMALL).collect()
-    right = sum(r.finetune_label == r.predicted for r in scored)
-    assert right / len(scored) > 0.6
+    assert own - set(SQL) == set()
 
 
 def test_entry(spark):

@@ -17,10 +17,10 @@ def test_events_find_their_visits(cdm):
         linked.visits.withColumnRenamed("person_id", "visit_person_id"), ["visit_person_id", "visit_seq"]
     )
     assert rows(joined, "concept_id", "visit_start_date", "visit_concept_id") == [
-        (0, day("2000-03-01"), 0),
-        (123, day("2000-01-01"), 9201),
-        (4306655, day("2020-07-01"), 0),
-        (456, day("2000-02-01"), 9202),
+        (0, day("2010-08-02"), 0),
+        (4306655, day("2019-11-30"), 0),
+        (811, day("2010-04-10"), 9201),
+        (822, day("2010-06-20"), 9203),
     ]
     assert linked.visits.count() == 5
     assert linked.visits.select("person_id", "visit_seq").distinct().count() == 5
