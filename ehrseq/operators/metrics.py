@@ -4,6 +4,7 @@ A prediction table has any number of key columns that name the experiment cell;
 evaluated in one job.
 """
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,18 +26,20 @@ def _score_block(score: Column) -> Column:
     return F.when(score <= 0, outer - 10**6).when(score >= 1, outer + 10**6).otherwise(inner)
 
 
-def _by_score(predictions: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+def _points(predictions: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
+    """Positives and negatives per distinct score. Equal scores collapse before the shuffle."""
+    positive = F.col(label).cast("int")
+    return predictions.groupBy(*keys, F.col(score).cast("double").alias("_score")).agg(
+        F.sum(positive).alias("_pos"), F.sum(1 - positive).alias("_neg")
+    )
+
+
+def _by_score(points: DataFrame, keys: list[str]) -> DataFrame:
     """Positives and negatives per distinct score, how many of each score lower, and in all.
 
-    Equal scores collapse before the shuffle. Running counts go block by block, so one cell may
-    hold any share of the predictions.
+    Running counts go block by block, so one cell may hold any share of the predictions.
     """
-    positive = F.col(label).cast("int")
-    points = (
-        predictions.groupBy(*keys, F.col(score).cast("double").alias("_score"))
-        .agg(F.sum(positive).alias("_pos"), F.sum(1 - positive).alias("_neg"))
-        .withColumn("_block", _score_block(F.col("_score")))
-    )
+    points = points.withColumn("_block", _score_block(F.col("_score")))
     sums = points.groupBy(*keys, "_block").agg(F.sum("_pos").alias("_bp"), F.sum("_neg").alias("_bn"))
     cell = Window.partitionBy(*keys)
     earlier = cell.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
@@ -67,10 +70,14 @@ def ranking_metrics(predictions: DataFrame, keys: list[str], score: str = "predi
     AUC counts the pairs a positive wins against a negative, ties as half. Average precision sums
     the precision at each distinct score, weighted by the positives found there.
     """
+    return _ranking(_points(predictions, keys, score, label), keys)
+
+
+def _ranking(points: DataFrame, keys: list[str]) -> DataFrame:
     found = (F.col("_p") - F.col("_pos_below")).cast("double")
     called = found + (F.col("_n") - F.col("_neg_below"))
     half_pairs = F.col("_pos").cast("double") * (2 * F.col("_neg_below") + F.col("_neg"))
-    sums = _by_score(predictions, keys, score, label).groupBy(*keys).agg(
+    sums = _by_score(points, keys).groupBy(*keys).agg(
         F.sum(half_pairs).alias("_half_pairs"),
         F.sum(F.when(F.col("_p") > 0, F.col("_pos") / F.col("_p") * found / called)).alias("auprc"),
         (F.first("_p").cast("double") * F.first("_n")).alias("_pairs"),
@@ -96,14 +103,25 @@ def mean_binary_cross_entropy(score: str = "prediction", label: str = "label") -
     return F.avg(binary_cross_entropy(F.col(score).cast("double"), F.col(label).cast("double")))
 
 
-def label_metrics(predictions: DataFrame, keys: list[str], score: str = "prediction", label: str = "label") -> DataFrame:
-    """Loss, AUC, average precision and Brier score per cell, one column each."""
-    means = predictions.groupBy(*keys).agg(
-        mean_binary_cross_entropy(score, label).alias("mean_loss"), brier_score(score, label).alias("brier")
-    )
-    return means.join(ranking_metrics(predictions, keys, score, label), keys).select(
-        *keys, "mean_loss", "auc", "auprc", "brier"
+def label_metrics(
+    predictions: DataFrame, keys: list[str], score: str = "prediction", label: str = "label", stage=None
+) -> DataFrame:
+    """Loss, AUC, average precision and Brier score per cell, one column each.
+
+    All four come from the counts per distinct score. Pass ``stage`` (a ``Staging``) to have those
+    computed once, in one pass over the predictions.
+    """
+    points = _points(predictions, keys, score, label)
+    if stage is not None:
+        points = stage(points, f"score_points_{uuid.uuid4().hex}")
+    s, pos, neg = F.col("_score"), F.col("_pos"), F.col("_neg")
+    one, zero = F.lit(1.0), F.lit(0.0)
+    rows = F.sum(F.when(s.isNotNull(), pos + neg))
+    means = points.groupBy(*keys).agg(
+        (F.sum(pos * binary_cross_entropy(s, one) + neg * binary_cross_entropy(s, zero)) / rows).alias("mean_loss"),
+        (F.sum(pos * (s - 1) * (s - 1) + neg * s * s) / rows).alias("brier"),
     )
+    return means.join(_ranking(points, keys), keys).select(*keys, "mean_loss", "auc", "auprc", "brier")
 
 
 def token_metrics(

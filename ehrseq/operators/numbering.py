@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from ehrseq.functions.dates import month_number
 from ehrseq.operators.sizes import join_lookup
 
-# A person with more rows than this is cut into months.
+# A person with more rows than this is cut into months, and their visits into blocks of visit keys.
 BUSY_PERSON_ROWS = 100_000
+# Visits of one day in a block; each day starts a new one. Orders work only.
+VISITS_PER_BLOCK = 10_000
 
 
 def busy_persons(frames: list[DataFrame], stage, max_rows: int = BUSY_PERSON_ROWS) -> DataFrame | None:
@@ -38,6 +40,11 @@ def month_block(frame: DataFrame, busy: DataFrame | None, date: str) -> DataFram
     return add_block(frame, busy, month_number(F.col(date)))
 
 
+def visit_block(frame: DataFrame, busy: DataFrame | None) -> DataFrame:
+    """Blocks in the order of ``visit_seq``: a day, and within a day so many visits."""
+    return add_block(frame, busy, 2 * F.floor(F.col("visit_seq") / VISITS_PER_BLOCK) + 1)
+
+
 def blocks_before(summary: DataFrame, keys: list[str], block: str | list[str], **carried: Column) -> DataFrame:
     """Aggregate, for each block, all earlier blocks of its group.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ehrseq.functions.dates import month_number
-from ehrseq.operators.numbering import add_block, carry_in, month_block
+from ehrseq.operators.numbering import add_block, carry_in, month_block, visit_block
 
 RANGE_TYPE = "struct<first_date:date,last_date:date,visit_seq:bigint>"
 
@@ -49,12 +49,11 @@ def exclusive_ranges(visits: DataFrame, busy: DataFrame | None = None) -> DataFr
     leaves disjoint ranges: a date has at most one. Visits that never reach past their
     predecessors drop out.
     """
-    visits = month_block(
+    visits = visit_block(
         visits.where(
             F.col("person_id").isNotNull() & (F.col("visit_start_date") <= F.col("visit_end_date"))
         ).select("person_id", "visit_seq", "visit_start_date", "visit_end_date"),
         busy,
-        "visit_start_date",
     )
     earlier = (
         Window.partitionBy("person_id", "_block").orderBy("visit_seq").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ehrseq.functions.dates import age_in_months, interval_token, week_index
 from ehrseq.operators.events import add_date_of_birth
-from ehrseq.operators.numbering import blocks_before, month_block
+from ehrseq.operators.numbering import blocks_before, visit_block
 from ehrseq.operators.ranges import within_period
 from ehrseq.schema import (
     PERIOD_KEY,
@@ -48,6 +48,7 @@ def rank_visits(
     labels: DataFrame | None = None,
     busy: DataFrame | None = None,
     large_visit_events: int = LARGE_VISIT_EVENTS,
+    stage: Staging | None = None,
 ) -> DataFrame:
     """Visits of each period with all that their tokens need.
 
@@ -83,7 +84,10 @@ def rank_visits(
         F.when(known, F.coalesce("_concepts", F.lit(0)) + 2).otherwise(F.lit(0)).alias("_filled"),
         *label,
     )
-    blocks = _block_facts(month_block(counted, busy, "visit_start_date"), busy)
+    if busy is not None and stage is not None:
+        # Read three times below.
+        counted = stage(counted, "counted_visits" if labels is None else "counted_labelled_visits")
+    blocks = _block_facts(visit_block(counted, busy), busy)
     order = Window.partitionBy(*PERIOD_KEY, "_block").orderBy("visit_seq")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     number = F.row_number().over(order)
@@ -303,6 +307,6 @@ def create_tokens(
     """The token stream of a whole data set from linked events and keyed visits."""
     stage = stage or Staging(events.sparkSession)
     ranked = rank_visits(
-        visits, tables["observation_period"], tables["person"], events, labels, busy, large_visit_events
+        visits, tables["observation_period"], tables["person"], events, labels, busy, large_visit_events, stage
     )
     return token_stream(events, stage(ranked, "ranked_visits"))

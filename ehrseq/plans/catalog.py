@@ -423,12 +423,12 @@ def binary_cross_entropy(run):
 
 @query
 def metric_rows(run):
-    return metrics.metric_rows(metrics.label_metrics(run.predictions, CELL), CELL, "label prediction", False)
+    return metrics.metric_rows(metrics.label_metrics(run.predictions, CELL, stage=run.stage), CELL, "label prediction", False)
 
 
 @query
 def metric_table(run):
-    rows = metrics.metric_rows(metrics.label_metrics(run.predictions, CELL), CELL, "label prediction", False)
+    rows = metrics.metric_rows(metrics.label_metrics(run.predictions, CELL, stage=run.stage), CELL, "label prediction", False)
     names = [f"validation label prediction {name}" for name in ("mean loss", "AUC", "AUPRC", "Brier score")]
     return metrics.metric_table(rows, CELL, names)
 

@@ -75,6 +75,7 @@ class TrialRun:
             self.linked.events,
             labels,
             self.busy,
+            stage=self.stage,
         )
 
     @cached_property

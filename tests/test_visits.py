@@ -1,5 +1,6 @@
 import random
 
+from ehrseq.operators import numbering
 from ehrseq.operators import visits as vs
 from ehrseq.operators.events import union_domain_tables
 from ehrseq.operators.numbering import busy_persons
@@ -96,6 +97,23 @@ def test_first_covering_visit_matches_trying_them_all(spark):
         assert rows(first_covering_visit(frame, keyed, cut)) == sorted(expected, key=str)
 
 
+def test_many_visits_of_a_day_spread(spark, monkeypatch):
+    """A busy person's visits of one day fall into blocks, and the first covering visit stays the same."""
+    monkeypatch.setattr(numbering, "VISITS_PER_BLOCK", 10)
+    new_year = day("2000-01-01")
+    made = [(1, i, new_year, new_year.fromordinal(new_year.toordinal() + i % 7), 9201) for i in range(200)]
+    made += [(1, 900 + i, new_year.fromordinal(new_year.toordinal() + 5 * i), day("2000-02-20"), 9201) for i in range(8)]
+    made += [(2, 990, new_year, new_year, 9201)]
+    visits = spark.createDataFrame(made, VISIT)
+    keyed = vs.key_visits(visits)
+    busy = busy_persons([visits], Staging(spark), max_rows=5)
+    sizes = [r["count"] for r in numbering.visit_block(keyed, busy).where("person_id = 1").groupBy("_block").count().collect()]
+    assert len(sizes) >= 20 and max(sizes) <= 10
+    days = [(p, new_year.fromordinal(new_year.toordinal() + d)) for p in (1, 2) for d in range(-2, 60)]
+    frame = spark.createDataFrame(days, "person_id bigint, start_date date")
+    assert rows(first_covering_visit(frame, keyed, busy)) == rows(first_covering_visit(frame, keyed))
+
+
 def test_periods_match_trying_them_all(spark):
     generator = random.Random(4)
     made = _random_visits(generator, 3, 50)
