@@ -15,7 +15,7 @@ from ehrseq.operators.events import (
     map_concepts,
 )
 from ehrseq.operators.numbering import number_rows
-from ehrseq.operators.sequences import collect_sequences
+from ehrseq.operators.sequences import collect_sequences, explode_sequences
 from ehrseq.operators.tokens import event_tokens, interval_tokens, visit_tokens
 from ehrseq.operators.vocabulary import split_by_person
 from ehrseq.plans.oracle import LENGTH
@@ -303,11 +303,30 @@ def truncate_next_visit(run):
 
 @query
 def model_inputs(run):
-    built = _examples(run)
+    return _inputs(_examples(run))
+
+
+def _inputs(built):
     real = F.size(F.filter("padding_mask", lambda x: x == 0))
     return built.withColumn("unpadded", real).drop("padding_mask")
 
 
+@query
+def examples_from_sequences(run):
+    """Inputs built from stored sequence rows, as training starts."""
+    path = _folder(run, "sequences")
+    files.write_sequences(run.sequences, path)
+    tokens = explode_sequences(files.read_sequences(run.spark, path))
+    return _inputs(examples.build_examples(tokens, run.vocabulary, run.visit_vocabulary, _settings()))
+
+
+@query
+def evaluation_inputs(run):
+    """What a model trained with masks is evaluated on."""
+    trained = _settings(mask_concepts=True, one_mask_per_visit=True, mask_visits=True)
+    return _inputs(examples.build_examples(run.tokens, run.vocabulary, run.visit_vocabulary, trained.for_evaluation()))
+
+
 def _mask_columns(built, shown, mask):
     return built.select(*PERIOD_KEY, F.col(shown).alias("shown"), F.col(mask).alias("unmasked"))
 
@@ -339,6 +358,12 @@ def next_visit_set(run):
     return _examples(run, next_visit=True).select(*PERIOD_KEY, "next_visit_token_set")
 
 
+@query
+def next_visit_dense(run):
+    built = _examples(run, next_visit=True, dense_next_visit=True)
+    return built.select(*PERIOD_KEY, "next_visit_token_set")
+
+
 @query
 def label_output(run):
     built = examples.build_examples(

@@ -494,6 +494,8 @@ _PARTS = {
         per_period(f"min(orders) AS first, max(orders) AS last, {listed('token_id')} AS token_ids"),
     ),
     "model_inputs": (VOCABULARY + TAIL_FRAME, per_period(INPUTS, RELATIVE)),
+    "examples_from_sequences": (VOCABULARY + TAIL_FRAME, per_period(INPUTS, RELATIVE)),
+    "evaluation_inputs": (VOCABULARY + TAIL_FRAME, per_period(INPUTS, RELATIVE)),
     "mask_concepts": (VOCABULARY + TAIL_FRAME, per_period(mask_columns(MASKED, "chosen"), ALL_CHOSEN)),
     "mask_one_per_visit": (
         VOCABULARY + TAIL_FRAME,
@@ -520,6 +522,19 @@ _PARTS = {
     AS next_visit_token_set
   FROM (SELECT DISTINCT e.person_id, e.observation_period_id, token_id FROM encoded e JOIN last_start s
     ON e.observation_period_id = s.observation_period_id AND e.visit_concept_orders = s.last_visit)
+  GROUP BY ALL""",
+    ),
+    "next_visit_dense": (
+        VOCABULARY
+        + NEXT_VISIT_END
+        + """,
+next_token AS (
+  SELECT DISTINCT e.person_id, e.observation_period_id, token_id FROM encoded e JOIN last_start s
+    ON e.observation_period_id = s.observation_period_id AND e.visit_concept_orders = s.last_visit)""",
+        """SELECT p.person_id, p.observation_period_id,
+    string_agg(CASE WHEN t.token_id IS NULL THEN '0' ELSE '1' END, ',' ORDER BY v.token_id) AS next_visit_token_set
+  FROM (SELECT DISTINCT person_id, observation_period_id FROM next_token) p CROSS JOIN vocab v
+    LEFT JOIN next_token t ON t.observation_period_id = p.observation_period_id AND t.token_id = v.token_id
   GROUP BY ALL""",
     ),
     "label_output": (
