@@ -5,9 +5,13 @@ from pyspark.sql import functions as F
 
 from ehrseq.operators.numbering import number_rows
 from ehrseq.operators.ranges import within_period
+from ehrseq.operators.sizes import join_lookup
 from ehrseq.schema import EMERGENCY_VISIT, GENDER_FEMALE, GENDER_MALE, OUTPATIENT_VISIT
 
+# Orders work only.
 CONCEPTS_PER_BLOCK = 10_000
+# Every period carries this list once while labels are laid out.
+MOST_CONCEPTS = 10_000
 
 
 def gender_concept(state: Column) -> Column:
@@ -54,10 +58,14 @@ def window_labels(
 ) -> DataFrame:
     """Whether each concept occurs after the index date, for every period and chosen concept.
 
-    ``concepts`` is the short list of predicted concepts; every period gets a row for each.
+    ``concepts`` is the list of predicted concepts, at most MOST_CONCEPTS; every period gets a row
+    for each, as the definition has it.
     """
-    chosen = concepts.agg(F.sort_array(F.collect_set("concept_id"))).scalar()
-    wanted = events.where(F.array_contains(chosen, F.col("concept_id")))
+    listed = concepts.select("concept_id").where("concept_id IS NOT NULL").distinct()
+    if listed.count() > MOST_CONCEPTS:
+        raise ValueError(f"labels for more than {MOST_CONCEPTS} concepts: predict them in several runs")
+    chosen = listed.agg(F.sort_array(F.collect_list("concept_id"))).scalar()
+    wanted = join_lookup(events, listed, "concept_id", "left_semi")
     hits = (
         within_period(wanted.select("person_id", "concept_id", "start_date"), "start_date", observation_period, busy)
         .where(F.col("start_date") > index_date(window_days))

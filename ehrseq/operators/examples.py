@@ -20,7 +20,7 @@ MASK_VISIT_RATE = 0.5
 BECOMES_MASK_BELOW = 0.8
 BECOMES_RANDOM_BELOW = 0.9
 
-# Draws are numbered in this many blocks.
+# Draws are numbered in this many blocks; orders work only.
 DRAW_BLOCKS = 4096
 
 

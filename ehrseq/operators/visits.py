@@ -11,9 +11,9 @@ from ehrseq.staging import Staging
 
 # Room for the visits of one person that start on the same day.
 SEQ_PER_DAY = 2**32
-# Visit ids per block when a busy person's visits of one day are numbered.
+# Visit ids per block when a busy person's visits of one day are numbered; orders work only.
 IDS_PER_BLOCK = 100_000
-# Into how many groups the events of a busy person's day are spread.
+# Into how many groups the events of a busy person's day are spread; orders work only.
 SPREAD = 64
 
 

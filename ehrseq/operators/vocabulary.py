@@ -8,7 +8,7 @@ from ehrseq.operators.numbering import number_rows
 from ehrseq.operators.sizes import join_lookup
 from ehrseq.schema import FIRST_TOKEN_ID, OOV_ID, SPECIAL_TOKENS
 
-# Tokens are numbered by blocks of equal beginning, so numbering needs no single task.
+# Tokens are numbered by blocks of equal beginning, so numbering needs no single task. Orders work only.
 BLOCK_CHARACTERS = 5
 
 

@@ -74,7 +74,7 @@ PATIENT_TABLES = [t for t in CDM_SCHEMA if t not in ("concept", "concept_ancesto
 
 EVENT_COLUMNS = ["person_id", "start_date", "concept_id", "visit_occurrence_id"]
 PERIOD_KEY = ["person_id", "observation_period_id"]
-# The parallel arrays of a sequence row; in the long form each is one column.
+# The parallel arrays of a sequence row; in the long form each is one column.
 SEQUENCE_ARRAYS = [
     "concept_ids",
     "visit_segments",
