@@ -14,6 +14,9 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 # Rows turned into Python objects at a time; orders work only.
 ROWS_AT_ONCE = 256
+# Whole texts travel to Python so many at a time, on either side of the pipe.
+ROWS_PER_BATCH = 512
+_BATCH_SETTING, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def lower_ascii(text: Column) -> Column:
@@ -31,8 +34,20 @@ def stage(frame: DataFrame, name: str) -> DataFrame:
     return Staging(frame.sparkSession)(frame, name)
 
 
+def _batch_by_texts(spark) -> None:
+    """Spark's default of 10,000 rows a batch is for narrow rows: of texts it holds tens of MB in each
+    worker, which the worker keeps. A session with a setting of its own keeps that."""
+    if spark.conf.get(_BATCH_SETTING) == _BATCH_DEFAULT:
+        spark.conf.set(_BATCH_SETTING, str(ROWS_PER_BATCH))
+
+
+def _array(values, kind: pa.DataType) -> pa.Array:
+    return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, kind)
+
+
 def map_rows(frame: DataFrame, each: Callable[[Iterator[list]], Iterator[dict]], schema: str) -> DataFrame:
-    """Run ``each`` over lists of row tuples of a partition; it yields dicts of output columns.
+    """Run ``each`` over lists of row tuples of a partition; it yields dicts of output columns
+    (lists, numpy or Arrow arrays).
 
     Texts become Python objects a few hundred rows at a time, so memory follows the longest
     texts and not the Arrow batch.
@@ -50,8 +65,10 @@ def map_rows(frame: DataFrame, each: Callable[[Iterator[list]], Iterator[dict]],
 
     def run(batches):
         for columns in each(pieces(batches)):
-            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+            yield pa.RecordBatch.from_arrays([_array(columns[f.name], f.type) for f in arrow], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
+    _batch_by_texts(frame.sparkSession)
     return frame.mapInArrow(run, out)
 
 
@@ -74,5 +91,7 @@ def edit_rows(docs: DataFrame, columns: list[str], decide: Callable[[list], tupl
                     n = names.index(name)
                     part = part.set_column(n, part.schema.field(n), pa.array(values, part.schema.field(n).type))
                 yield part.filter(pa.array(stay))
+        pa.default_memory_pool().release_unused()
 
+    _batch_by_texts(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
