@@ -156,7 +156,7 @@ class _Page:
 
     def __init__(self):
         self.lines, self.line, self.gap, self.space = [], [], 0, False
-        self.indent, self.marker, self.begun = 0, None, False
+        self.indent, self.marker = 0, None
 
     def _begin(self):
         if not self.line:
@@ -184,7 +184,7 @@ class _Page:
             self._begin()
             self.line.append(parts[0])
         middle = " ".join(p for p in parts[1:] if p)
-        if self.line and self.begun_line():
+        if self.line:
             self.space = True
         if middle:
             self._begin()
@@ -192,9 +192,6 @@ class _Page:
         if not parts[-1] and middle:
             self.space = True
 
-    def begun_line(self):
-        return bool(self.line)
-
     def raw(self, data):
         """Preformatted text."""
         for number, part in enumerate(data.split("\n")):
