@@ -247,6 +247,8 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     firsts = members.groupBy("root").agg(F.min("first").alias("component_id"))
     reached = members.join(firsts, "root").select(F.col("vertex").alias("fingerprint"), "component_id")
     named = prints.join(reached, "fingerprint", "left").select("fingerprint", F.coalesce("component_id", "first").alias("component_id"))
+    # As a table of its own it meets the documents in a plain join, which can split a fingerprint many of them share.
+    named = stage(named, "named")
     hexed = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return signed.join(named, "fingerprint").select(id_column, hexed.alias("fingerprint"), "component_id")
 
