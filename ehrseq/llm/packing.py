@@ -26,7 +26,7 @@ SLACK = 64
 # Tokens of pooled pieces that one task fills.
 POOLED_TOKENS = 1 << 24
 # Words whose ids a worker remembers; orders work only.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 400_000
 
 # Sequences handed to Spark at a time; bounds memory only.
 SEQUENCES_AT_ONCE = 64
