@@ -1,7 +1,8 @@
 """Quality rules: repetition counts, and divergence from what documents of the language look like.
 
 The references are counted over the whole corpus: for each language the shares of eight character
-classes and of its most common words. A document is compared with them by Jensen-Shannon
+classes and of its most common words. Copies of a poor text would pull a reference to themselves, so
+what filters a corpus counts each text once, and only if it passes the repetition counts. A document is compared with them by Jensen-Shannon
 divergence (base 2, from 0 to 1). The bounds lie above what ordinary prose reaches, and documents
 too short for a histogram are not judged by it.
 """
@@ -21,6 +22,8 @@ CLASSES = ("aeiou", "bcdfghjklmnpqrstvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123
 N_CLASSES = len(CLASSES) + 2
 # Words counted before a task hands its counts on; bounds memory only.
 WORDS_AT_ONCE = 200_000
+# Bits after the point of a word's bounded count.
+SHARE_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -34,6 +37,8 @@ class Rules:
     class_max_divergence: float = 0.1
     word_min_words: int = 100
     word_max_divergence: float = 0.15
+    # In references of distinct texts a longer text counts as if it had so many words.
+    text_share_words: int = 1_000
 
 
 def _class_table():
@@ -104,10 +109,15 @@ def word_counts(words: list[str], common: list[str]) -> list[int]:
     return [*found, len(words) - sum(found)]
 
 
-def language_references(docs: DataFrame, rules: Rules = Rules(), text="text", lang="lang") -> dict:
+def base_failed(words: list[str], repeats: int, rules: Rules) -> bool:
+    return len(words) < rules.min_words or 100 * repeats > rules.max_repeat_percent * len(words)
+
+
+def language_references(docs: DataFrame, rules: Rules = Rules(), text="text", lang="lang", distinct=False) -> dict:
     """For each language with documents: its most common words and the shares of both histograms.
 
-    Counts cover all documents of the languages. Tasks hand on sums, not words, so a language
+    Counts cover all documents of the languages, copies and poor ones too; with ``distinct`` each text
+    of a language once, if the base rules pass it, its share bounded. Tasks hand on sums, not words, so a language
     with most of the rows is no hot key. What comes to the driver is bounded by the languages
     times the common words.
     """
@@ -122,16 +132,23 @@ def language_references(docs: DataFrame, rules: Rules = Rules(), text="text", la
 
         for rows in lists:
             for language, words in rows:
-                counts = sums[language]
-                counts.update(WORD.findall(lowered(words)))
+                counts, own = sums[language], Counter(WORD.findall(lowered(words)))
+                if distinct and base_failed(split := WORD.findall(words), repeated_words(split), rules):
+                    continue
                 # A word has no white space, so these names are free.
-                for number, n in enumerate(class_counts(words)):
-                    counts[f" {number}"] += int(n)
+                own.update({f" {number}": int(n) for number, n in enumerate(class_counts(words))})
+                if distinct:
+                    size = max(len(split), rules.text_share_words)
+                    own = {word: (n * rules.text_share_words << SHARE_BITS) // size for word, n in own.items()}
+                counts.update(own)
                 if sum(map(len, sums.values())) > WORDS_AT_ONCE:
                     yield handed_on()
         yield handed_on()
 
     given = docs.where(F.col(lang).isin(*rules.languages) & F.col(text).isNotNull()).select(lang, text)
+    if distinct:
+        # Copies collapse in the tasks before they meet.
+        given = given.distinct()
     sums = map_rows(given, count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = stage(sums, "word_counts")
     is_class = F.startswith("word", F.lit(" "))
@@ -166,7 +183,7 @@ def judge(text: str | None, language: str | None, references: dict, rules: Rules
     text = text or ""
     words = WORD.findall(text)
     n, repeats = len(words), repeated_words(words)
-    base_failed = n < rules.min_words or 100 * repeats > rules.max_repeat_percent * n
+    failed = base_failed(words, repeats, rules)
     against = [references[language]] if language in references else list(references.values())
     class_far = word_far = None
     if against and len(text) >= rules.class_min_characters:
@@ -178,20 +195,21 @@ def judge(text: str | None, language: str | None, references: dict, rules: Rules
     far = (class_far or 0) > rules.class_max_divergence or (word_far or 0) > rules.word_max_divergence
     return (
         n, sum(map(len, words)), sum(map(text.count, SYMBOLS)), duplicate_lines(text), repeats,
-        base_failed, class_far, word_far, not (base_failed or far),
+        failed, class_far, word_far, not (failed or far),
     )
 
 
-def quality_rules(docs: DataFrame, rules: Rules = Rules(), columns=("doc_id",), text="text", lang="lang") -> DataFrame:
+def quality_rules(docs: DataFrame, rules: Rules = Rules(), columns=("doc_id",), text="text", lang="lang", distinct=True) -> DataFrame:
     """Counts, divergences and verdict per document, next to the given ``columns`` of ``docs``.
 
     A document is compared with its own language's reference; where it names none of the rules'
     languages, with the closest. Divergences are null below the guards (characters for the
     classes, words for the words) and then don't count against it. Null texts count as empty:
     no words, so the base rules reject them. Repeated rows are judged each; an empty table gives
-    no references and no rows. ``columns`` must not be named like the results.
+    no references and no rows. References are of distinct texts unless ``distinct`` is false.
+    ``columns`` must not be named like the results.
     """
-    references = language_references(docs, rules, text, lang)
+    references = language_references(docs, rules, text, lang, distinct)
     names = list(columns)
     results = [part.split()[0] for part in SCHEMA.split(", ")]
 
@@ -206,6 +224,6 @@ def quality_rules(docs: DataFrame, rules: Rules = Rules(), columns=("doc_id",),
 
 
 def documents_kept(docs: DataFrame, rules: Rules = Rules(), text="text", lang="lang") -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    references = language_references(docs, rules, text, lang)
+    """The documents that the rules keep, with all their columns. References are of distinct texts."""
+    references = language_references(docs, rules, text, lang, distinct=True)
     return edit_rows(docs, [text, lang], lambda rows: ([judge(*row, references, rules)[-1] for row in rows], {}))

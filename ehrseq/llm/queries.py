@@ -50,7 +50,8 @@ def simhash(spark, folder):
 
 
 def quality(spark, folder):
-    judged = quality_rules(read(spark, folder, "documents"))
+    # References of all rows, as in the query's SQL.
+    judged = quality_rules(read(spark, folder, "documents"), distinct=False)
     return judged.withColumns({c: F.round(c, 6) for c in ("class_divergence", "word_divergence")})
 
 

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ehrseq.llm.quality import Rules, class_counts, divergence, documents_kept, duplicate_lines, judge, language_references, quality_rules, repeated_words
 
@@ -82,3 +83,23 @@ def test_odd_and_empty_tables(spark):
     assert kept.schema == odd.schema
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in out.collect() if r.kept)
     assert quality_rules(odd.limit(0)).collect() == [] == documents_kept(odd.limit(0)).collect()
+
+
+def test_copies_of_a_junk_text_are_no_reference(spark):
+    """A third of the rows is one text, of symbols or of words without the common ones: others stay as they were."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    before = {r.doc_id for r in documents_kept(docs).collect()}
+    for junk in (" ".join(f"#{i}%$" for i in range(2_000)), " ".join(f"Wq{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(600))):
+        copies = spark.range(500).select((-1 - F.col("id")).alias("doc_id"), F.lit(junk).alias("text"), F.lit("en").alias("lang"))
+        after = {r.doc_id for r in documents_kept(docs.unionByName(copies)).collect() if r.doc_id >= 0}
+        assert len(before - after) <= 1 and len(after - before) <= 1
+    assert len(before) > 500
+
+
+def test_distinct_references_bound_a_text(spark):
+    long, other = " ".join(f"long{i}" for i in range(50_000)), " ".join(f"other{i}" for i in range(1_000))
+    poor = "again and again " * 50
+    docs = spark.createDataFrame([(t, "en") for t in (long, other, other, other, poor)], "text string, lang string")
+    found = language_references(docs, distinct=True)["en"]
+    assert found["common"][0].startswith("other") and "again" not in found["common"]
+    assert abs(found["words"][0] - 1 / 2_000) < 1e-5
