@@ -132,4 +132,49 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backed_off, 0) AS n_b
 FROM d LEFT JOIN scored USING (r)
 """
 
-SQL = {"op1_url_filters": URL_FILTERS, "op4_quality_rules": QUALITY_RULES, "op6_lm_scoring": LM_SCORING}
+# CRC-32 of a number's decimal digits, bit by bit.
+_CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]),
+        lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+PREFIX_TRIE = f"""
+WITH own AS MATERIALIZED (
+    SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+    FROM conversations WHERE conv_id IS NOT NULL
+), lengths AS MATERIALIZED (
+    SELECT conv_id, count(*) AS n, {_CRC32} % 9 AS h FROM own GROUP BY conv_id
+), plan AS MATERIALIZED (
+    SELECT a.conv_id, a.conv_id - a.conv_id % 5 AS donor, a.h, least(a.h, coalesce(b.n, 0)) AS taken
+    FROM lengths a LEFT JOIN lengths b ON b.conv_id = a.conv_id - a.conv_id % 5
+), rebuilt AS (
+    SELECT p.conv_id, o.place AS d, o.role, o.text FROM plan p JOIN own o ON o.conv_id = p.donor AND o.place <= p.h
+    UNION ALL
+    SELECT p.conv_id, o.place - p.h + p.taken, o.role, o.text FROM plan p JOIN own o ON o.conv_id = p.conv_id AND o.place > p.h
+), paths AS MATERIALIZED (
+    SELECT conv_id, coalesce(turns, []) AS turns, coalesce(bytes, []) AS bytes
+    FROM lengths LEFT JOIN (
+        SELECT conv_id, list(md5(strlen(role) || ':' || role || text) ORDER BY d) AS turns, list(strlen(text) ORDER BY d) AS bytes FROM rebuilt GROUP BY conv_id
+    ) USING (conv_id)
+), members AS MATERIALIZED (
+    SELECT conv_id, depth, md5(array_to_string(turns[:depth], ',')) AS node, md5(array_to_string(turns[:depth - 1], ',')) AS above,
+        CASE WHEN depth > 0 THEN bytes[depth] ELSE 0 END AS size, depth = len(turns) AS ends
+    FROM paths, unnest(range(len(turns) + 1)) AS t(depth)
+), nodes AS MATERIALIZED (
+    SELECT depth, node, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(size) * (count(*) - 1) AS saved,
+        sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+    FROM members GROUP BY depth, node
+), children AS MATERIALIZED (
+    SELECT above, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL
+), below AS (
+    SELECT m.depth, m.node, sum(n.saved) AS saved_tokens, count(*) FILTER (c.n_children IS NULL) AS n_leaves
+    FROM nodes n JOIN members m ON m.conv_id = n.conv_id AND m.depth <= n.depth
+        LEFT JOIN children c ON c.above = n.node AND c.depth = n.depth
+    GROUP BY ALL
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n_children, 0) AS n_children, b.n_leaves, b.saved_tokens::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN below b USING (depth, node) LEFT JOIN children c ON c.above = n.node AND c.depth = n.depth
+    LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.node = n.above
+"""
+
+SQL = {"op1_url_filters": URL_FILTERS, "op4_quality_rules": QUALITY_RULES, "op6_lm_scoring": LM_SCORING, "op12_prefix_trie": PREFIX_TRIE}

@@ -10,6 +10,7 @@ from ehrseq.llm.html_text import extract_text
 from ehrseq.llm.lm import backoff_scores
 from ehrseq.llm.packing import pack_documents
 from ehrseq.llm.pii import find_personal_data
+from ehrseq.llm.prefix_trie import conversation_trie
 from ehrseq.llm.quality import quality_rules
 from ehrseq.llm.sharding import shuffle_into_shards
 from ehrseq.llm.simhash import near_duplicates
@@ -83,6 +84,12 @@ def packing(spark, folder):
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def conversation_prefixes(spark, folder):
+    conv = F.col("conv_id")
+    most = F.crc32(F.encode(conv.cast("string"), "UTF-8")) % 9
+    return conversation_trie(read(spark, folder, "conversations"), donor=conv - conv % 5, most=most, at_most=8)
+
+
 QUERIES = {
     "op1_url_filters": url_filters,
     "op2_sharding": sharding,
@@ -94,4 +101,5 @@ QUERIES = {
     "op8_pii": pii,
     "op9_quality_grades": grading,
     "op10_packing": packing,
+    "op12_prefix_trie": conversation_prefixes,
 }
