@@ -16,7 +16,7 @@ def connect(folder):
 
 def kind(duck_type):
     """The Spark name of a DuckDB type; types that have none are returned as they are."""
-    return {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}.get(duck_type, duck_type)
+    return {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}.get(duck_type, duck_type)
 
 
 def _key(row):
