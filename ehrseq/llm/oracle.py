@@ -132,6 +132,32 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_backed_off, 0) AS n_b
 FROM d LEFT JOIN scored USING (r)
 """
 
+RANKED_SEARCH = r"""
+WITH words AS MATERIALIZED (
+    SELECT r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM (SELECT row_number() OVER () AS r, doc_id, text FROM documents)
+), asked AS MATERIALIZED (
+    SELECT DISTINCT q, item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+    FROM (SELECT row_number() OVER () AS q, item_id, text FROM benchmark)
+), lengths AS MATERIALIZED (
+    SELECT r, count(*) AS n FROM words GROUP BY r
+), whole AS MATERIALIZED (
+    SELECT count(*) AS documents, sum(n)::BIGINT AS length FROM lengths
+), counted AS MATERIALIZED (
+    SELECT r, doc_id, t, count(*) AS tf FROM words WHERE t IN (SELECT t FROM asked) GROUP BY ALL
+), weights AS MATERIALIZED (
+    SELECT t, floor(1000 * ln((2 * any_value(documents) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM counted, whole GROUP BY t
+), added AS MATERIALIZED (
+    SELECT r, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * documents) // length))) AS part
+    FROM counted JOIN weights USING (t) JOIN lengths USING (r), whole
+), scored AS (
+    SELECT q, item_id, r, doc_id, sum(part)::BIGINT AS score FROM asked JOIN added USING (t) GROUP BY ALL HAVING sum(part) > 0
+), ranked AS (
+    SELECT item_id, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score FROM scored
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50
+"""
+
 # CRC-32 of a number's decimal digits, bit by bit.
 _CRC32 = """xor(4294967295, list_reduce(list_concat([4294967295], list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
     lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]),
@@ -177,4 +203,4 @@ FROM nodes n JOIN below b USING (depth, node) LEFT JOIN children c ON c.above =
     LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.node = n.above
 """
 
-SQL = {"op1_url_filters": URL_FILTERS, "op4_quality_rules": QUALITY_RULES, "op6_lm_scoring": LM_SCORING, "op12_prefix_trie": PREFIX_TRIE}
+SQL = {"op1_url_filters": URL_FILTERS, "op4_quality_rules": QUALITY_RULES, "op6_lm_scoring": LM_SCORING, "op11_ranked_search": RANKED_SEARCH, "op12_prefix_trie": PREFIX_TRIE}

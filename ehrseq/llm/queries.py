@@ -12,6 +12,7 @@ from ehrseq.llm.packing import pack_documents
 from ehrseq.llm.pii import find_personal_data
 from ehrseq.llm.prefix_trie import conversation_trie
 from ehrseq.llm.quality import quality_rules
+from ehrseq.llm.ranked_search import ranked_search
 from ehrseq.llm.sharding import shuffle_into_shards
 from ehrseq.llm.simhash import near_duplicates
 from ehrseq.llm.url_filters import judge_urls
@@ -84,6 +85,10 @@ def packing(spark, folder):
     return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
 
 
+def search(spark, folder):
+    return ranked_search(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
 def conversation_prefixes(spark, folder):
     conv = F.col("conv_id")
     most = F.crc32(F.encode(conv.cast("string"), "UTF-8")) % 9
@@ -101,5 +106,6 @@ QUERIES = {
     "op8_pii": pii,
     "op9_quality_grades": grading,
     "op10_packing": packing,
+    "op11_ranked_search": search,
     "op12_prefix_trie": conversation_prefixes,
 }
