@@ -15,6 +15,7 @@ from ehrseq.llm.quality import quality_rules
 from ehrseq.llm.ranked_search import ranked_search
 from ehrseq.llm.sharding import shuffle_into_shards
 from ehrseq.llm.simhash import near_duplicates
+from ehrseq.llm.toxicity import fit_toxicity, score_toxicity
 from ehrseq.llm.url_filters import judge_urls
 
 # Host, path, verdict.
@@ -95,6 +96,13 @@ def conversation_prefixes(spark, folder):
     return conversation_trie(read(spark, folder, "conversations"), donor=conv - conv % 5, most=most, at_most=8)
 
 
+def toxicity(spark, folder):
+    """Labels of the third of the ids that is held out are never read."""
+    docs, held_out = read(spark, folder, "documents"), F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % 3 == 1
+    model = fit_toxicity(docs, read(spark, folder, "labels"), learn=~held_out)
+    return score_toxicity(docs, model).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_url_filters": url_filters,
     "op2_sharding": sharding,
@@ -108,4 +116,5 @@ QUERIES = {
     "op10_packing": packing,
     "op11_ranked_search": search,
     "op12_prefix_trie": conversation_prefixes,
+    "op13_toxicity": toxicity,
 }
