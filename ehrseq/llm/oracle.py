@@ -112,7 +112,7 @@ WITH d AS MATERIALIZED (
 ), counted AS (
     SELECT w, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, ('0x' || substr(md5(w), 1, 16))::UBIGINT >> 1) AS rank FROM words GROUP BY w
 ), vocabulary AS MATERIALIZED (
-    SELECT w, n, CASE WHEN rank <= 65534 THEN rank + 1 ELSE 0 END AS number FROM counted
+    SELECT w, n, rank + 1 AS number FROM counted
 ), seen AS MATERIALIZED (
     SELECT number, sum(n) AS n FROM vocabulary GROUP BY number
     UNION ALL SELECT 1, count(DISTINCT r) FROM words
