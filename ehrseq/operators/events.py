@@ -57,6 +57,30 @@ def remove_duplicates(events: DataFrame) -> DataFrame:
     return events.select(*EVENT_COLUMNS).distinct()
 
 
+def count_copies(events: DataFrame, concept_ids: list[int]) -> DataFrame:
+    """One row per distinct event that stays, with its ``copies``; all unwanted ones share one ``unwanted`` row.
+
+    So what cleaning removes can be counted where its result is written. Copies and unwanted events
+    collapse in the map tasks.
+    """
+    marked = events.withColumn("unwanted", unwanted(concept_ids))
+    kept = [F.when(~F.col("unwanted"), F.col(c)).alias(c) for c in EVENT_COLUMNS]
+    return marked.select(*kept, "unwanted").groupBy(*EVENT_COLUMNS, "unwanted").agg(F.count("*").alias("copies"))
+
+
+def stage_distinct_events(events: DataFrame, concept_ids: list[int], stage) -> DataFrame:
+    """The result of ``remove_concepts`` and ``remove_duplicates`` as a staged table that also knows
+    what they removed."""
+    gone = F.coalesce(F.sum(F.when(F.col("unwanted"), F.col("copies"))), F.lit(0))
+    copies = F.coalesce(F.sum(F.when(~F.col("unwanted"), F.col("copies") - 1)), F.lit(0))
+    return stage.measured(
+        count_copies(events, concept_ids),
+        "distinct_events",
+        {"removed_concepts": gone, "removed_duplicates": copies},
+        lambda counted: counted.where(~F.col("unwanted")).select(*EVENT_COLUMNS),
+    )
+
+
 def ingredients(concept: DataFrame) -> DataFrame:
     return concept.where(F.col("concept_class_id") == "Ingredient").select("concept_id")
 

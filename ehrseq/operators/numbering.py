@@ -6,11 +6,15 @@ its own window partition, and what a block must know about the blocks before it
 from a summary with one row per block. Groups of ordinary size stay whole, as block 0.
 """
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ehrseq.functions.dates import month_number
 from ehrseq.operators.sizes import join_lookup
+from ehrseq.staging import like_measured, measured
 
 # A person with more rows than this is cut into months, and their visits into blocks of visit keys.
 BUSY_PERSON_ROWS = 100_000
@@ -18,21 +22,37 @@ BUSY_PERSON_ROWS = 100_000
 VISITS_PER_BLOCK = 10_000
 
 
+class PersonRows(NamedTuple):
+    busy: DataFrame | None
+    rows: dict[str, int]
+
+
+def count_person_rows(frames: dict[str, DataFrame], stage, max_rows: int = BUSY_PERSON_ROWS) -> PersonRows:
+    """Persons with more than ``max_rows`` rows in all ``frames`` (None when there are none), and the
+    rows of each frame, from one pass over all."""
+    parts = [frame.select("person_id", F.lit(n).alias("_frame")) for n, frame in enumerate(frames.values())]
+    rows = reduce(DataFrame.unionAll, parts).groupBy("person_id")
+    counts = rows.agg(F.count("*").alias("_rows"), *[F.count_if(F.col("_frame") == n).alias(f"_rows_{n}") for n in range(len(parts))])
+    busy = stage.measured(
+        counts,
+        "busy_persons",
+        {name: F.sum(f"_rows_{n}") for n, name in enumerate(frames)},
+        lambda all_persons: all_persons.where(F.col("person_id").isNotNull() & (F.col("_rows") > max_rows)).select("person_id"),
+    )
+    seen = measured(busy)
+    return PersonRows(busy if seen.rows else None, {name: n or 0 for name, n in seen.values.items()})
+
+
 def busy_persons(frames: list[DataFrame], stage, max_rows: int = BUSY_PERSON_ROWS) -> DataFrame | None:
     """Persons with more than ``max_rows`` rows in all ``frames``, or None when there are none."""
-    rows = frames[0].select("person_id")
-    for frame in frames[1:]:
-        rows = rows.unionAll(frame.select("person_id"))
-    counts = rows.where(F.col("person_id").isNotNull()).groupBy("person_id").agg(F.count("*").alias("_rows"))
-    busy = stage(counts.where(F.col("_rows") > max_rows).select("person_id"), "busy_persons")
-    return None if busy.isEmpty() else busy
+    return count_person_rows({str(n): frame for n, frame in enumerate(frames)}, stage, max_rows).busy
 
 
 def add_block(frame: DataFrame, busy: DataFrame | None, block: Column, name: str = "_block") -> DataFrame:
     """``block`` (never 0) for rows of busy persons, 0 for all others."""
     if busy is None:
         return frame.withColumn(name, F.lit(0))
-    flagged = join_lookup(frame, busy.withColumn("_busy", F.lit(True)), "person_id", "left")
+    flagged = join_lookup(frame, like_measured(busy.withColumn("_busy", F.lit(True)), busy), "person_id", "left")
     return flagged.withColumn(name, F.when(F.col("_busy"), block).otherwise(F.lit(0))).drop("_busy")
 
 

@@ -1,9 +1,12 @@
 """Broadcasts only behind a check of the size."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from ehrseq.staging import measured
 
 BROADCAST_ROWS = 1_000_000
+# Of the written table; rows in memory take a few times that.
+BROADCAST_BYTES = 128 << 20
 
 
 def join_lookup(frame: DataFrame, lookup: DataFrame, on, how: str, max_rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -11,8 +14,9 @@ def join_lookup(frame: DataFrame, lookup: DataFrame, on, how: str, max_rows: int
 
     A lookup of at most ``max_rows`` rows is broadcast, so hot keys of the large side cost nothing.
     A larger one is joined by shuffle, where adaptive execution splits the partitions of hot keys.
-    Every task counts its own rows, and only the counts meet. Pass a staged lookup: it is read
-    for the count and for the join.
+    The size of a table of ``Staging.measured`` is known from its write and costs nothing; any other
+    lookup is computed once more to count its rows.
     """
-    side = F.broadcast(lookup) if lookup.count() <= max_rows else lookup.hint("shuffle_merge")
-    return frame.join(side, on, how)
+    known = measured(lookup)
+    small = lookup.count() <= max_rows if known is None else known.rows <= max_rows and known.bytes <= BROADCAST_BYTES
+    return frame.join(lookup.hint("broadcast" if small else "shuffle_merge"), on, how)

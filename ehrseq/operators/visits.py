@@ -2,12 +2,12 @@
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ehrseq.operators.numbering import add_block, number_rows
 from ehrseq.operators.ranges import first_covering_visit
-from ehrseq.staging import Staging
+from ehrseq.staging import Staging, measured
 
 # Room for the visits of one person that start on the same day.
 SEQ_PER_DAY = 2**32
@@ -146,21 +146,24 @@ def resolve_events(linked: DataFrame, resolved_days: DataFrame, busy: DataFrame
     )
 
 
-def link_statistics(events: DataFrame, visits: DataFrame, resolved_days: DataFrame) -> DataFrame:
-    """How events found their visits.
+def link_counts() -> dict[str, Column]:
+    """How resolved events found their visits.
 
     ``mapped_to_new_visit`` counts every event on a day that got a new visit, also those linked
     by id; ``used_new_visit`` counts those that really belong to a new visit.
     """
     by_id, new_day = F.col("by_id"), F.col("on_new_visit_day")
-    return events.agg(
-        F.count_if(by_id).alias("mapped_by_id"),
-        F.count_if(~by_id & ~new_day & F.col("visit_seq").isNotNull()).alias("mapped_by_date"),
-        F.count_if(new_day).alias("mapped_to_new_visit"),
-        F.count_if(new_day & ~by_id).alias("used_new_visit"),
-        resolved_days.agg(F.count_if("is_new")).scalar().alias("new_visits"),
-        visits.agg(F.count("*")).scalar().alias("existing_visits"),
-    )
+    return {
+        "mapped_by_id": F.count_if(by_id),
+        "mapped_by_date": F.count_if(~by_id & ~new_day & F.col("visit_seq").isNotNull()),
+        "mapped_to_new_visit": F.count_if(new_day),
+        "used_new_visit": F.count_if(new_day & ~by_id),
+    }
+
+
+def one_row(spark: SparkSession, values: dict[str, int]) -> DataFrame:
+    """Numbers that are known already, as a frame."""
+    return spark.range(1).select(*[F.lit(value or 0).cast("bigint").alias(name) for name, value in values.items()])
 
 
 def link_events_to_visits(
@@ -169,18 +172,22 @@ def link_events_to_visits(
     missing_visit_concept_id: int = 0,
     busy: DataFrame | None = None,
     stage: Staging | None = None,
+    visit_rows: int | None = None,
 ) -> LinkedEvents:
     """Link by visit id, else by date, else to a new visit of the event's day.
 
-    What several of the results read is staged, so that it is computed once. ``busy`` names
-    persons with very many rows (see ``busy_persons``).
+    What several of the results read is staged, so that it is computed once; the statistics are
+    counted while it is written. ``busy`` names persons with very many rows and ``visit_rows`` is the
+    number of visits (see ``count_person_rows``).
     """
     stage = stage or Staging(events.sparkSession)
     keyed = key_visits(visits, busy)
     linked = stage(link_by_id(events, keyed), "linked_events")
-    days = stage(resolve_days(unlinked_days(linked), keyed, busy), "resolved_days")
-    resolved = stage(resolve_events(linked, days, busy), "resolved_events")
+    days = stage.measured(resolve_days(unlinked_days(linked), keyed, busy), "resolved_days", {"new_visits": F.count_if("is_new")})
+    resolved = stage.measured(resolve_events(linked, days, busy), "resolved_events", link_counts())
     all_visits = keyed.select(
         "person_id", "visit_start_date", "visit_end_date", "visit_concept_id", "visit_seq"
     ).unionByName(new_visits(days, missing_visit_concept_id))
-    return LinkedEvents(resolved, all_visits, link_statistics(resolved, visits, days))
+    existing = visits.count() if visit_rows is None else visit_rows
+    found = measured(resolved).values | measured(days).values | {"existing_visits": existing}
+    return LinkedEvents(resolved, all_visits, one_row(events.sparkSession, found))

@@ -7,6 +7,7 @@ from ehrseq.functions.draws import uniform
 from ehrseq.operators.numbering import number_rows
 from ehrseq.operators.sizes import join_lookup
 from ehrseq.schema import FIRST_TOKEN_ID, OOV_ID, SPECIAL_TOKENS
+from ehrseq.staging import like_measured
 
 # Tokens are numbered by blocks of equal beginning, so numbering needs no single task. Orders work only.
 BLOCK_CHARACTERS = 5
@@ -44,14 +45,14 @@ def fit_vocabulary(tokens: DataFrame, column: str) -> DataFrame:
 def encode(tokens: DataFrame, column: str, vocabulary: DataFrame, name: str) -> DataFrame:
     """Add the id of each token; unknown tokens get the out-of-vocabulary id."""
     lookup = vocabulary.select(F.col("token").alias(column), F.col("token_id").alias("_id"))
-    joined = join_lookup(tokens, lookup, column, "left")
+    joined = join_lookup(tokens, like_measured(lookup, vocabulary), column, "left")
     return joined.withColumn(name, F.coalesce("_id", F.lit(OOV_ID))).drop("_id")
 
 
 def decode(ids: DataFrame, column: str, vocabulary: DataFrame, name: str) -> DataFrame:
     """Add the token of each id; unknown ids get null."""
     lookup = vocabulary.select(F.col("token_id").alias(column), F.col("token").alias(name))
-    return join_lookup(ids, lookup, column, "left")
+    return join_lookup(ids, like_measured(lookup, vocabulary), column, "left")
 
 
 def vocabulary_facts(vocabulary: DataFrame) -> DataFrame:

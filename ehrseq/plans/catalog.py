@@ -25,7 +25,7 @@ from ehrseq.schema import PERIOD_KEY
 from ehrseq.settings import ExampleSettings
 from ehrseq.sources import files, trial
 from ehrseq.sources.cdm import read_all_labels, read_cdm, write_cdm, write_labels
-from ehrseq.staging import Staging
+from ehrseq.staging import Staging, like_measured
 
 QUERIES = {}
 TOKEN_LIST = [
@@ -395,7 +395,7 @@ def training_cap(run):
 
 def _weights(run):
     weight = (F.col("token_id") % 17 - 8) / 10.0
-    return run.vocabulary.select("token_id", weight.alias("weight"))
+    return like_measured(run.vocabulary.select("token_id", weight.alias("weight")), run.vocabulary)
 
 
 @query

@@ -3,24 +3,23 @@
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ehrseq.operators.events import (
-    count_removed,
     ingredient_mapping,
     map_concepts,
     remove_concepts,
     remove_duplicates,
+    stage_distinct_events,
     union_domain_tables,
 )
-from ehrseq.operators.numbering import busy_persons
+from ehrseq.operators.numbering import PersonRows, count_person_rows
 from ehrseq.operators.sequences import collect_sequences
 from ehrseq.operators.tokens import create_tokens
-from ehrseq.operators.visits import link_events_to_visits
+from ehrseq.operators.visits import LinkedEvents, link_events_to_visits, one_row
 from ehrseq.settings import MappingSettings
 from ehrseq.sources.cdm import read_cdm, read_labels, read_table
 from ehrseq.sources.files import write_record, write_sequences
-from ehrseq.staging import Staging
+from ehrseq.staging import Staging, measured
 
 
 class Processed(NamedTuple):
@@ -28,11 +27,17 @@ class Processed(NamedTuple):
     counters: DataFrame
 
 
-def prepare_events(tables: dict[str, DataFrame], settings: MappingSettings) -> dict[str, DataFrame]:
-    """Events after each cleaning step, under the step's name."""
+def stage_mapping(tables: dict[str, DataFrame], stage: Staging) -> DataFrame:
+    """The ingredients of each drug, computed once; joins to it know its size from the write."""
+    return stage.measured(ingredient_mapping(tables["concept"], tables["concept_ancestor"]), "ingredient_mapping")
+
+
+def prepare_events(
+    tables: dict[str, DataFrame], settings: MappingSettings, mapping: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Events after each cleaning step, under the step's name. ``mapping`` is needed to map drugs."""
     tables = dict(tables)
     if settings.map_drugs_to_ingredients and "drug_exposure" in tables:
-        mapping = ingredient_mapping(tables["concept"], tables["concept_ancestor"])
         tables["drug_exposure"] = map_concepts(tables["drug_exposure"], "drug_concept_id", mapping)
     union = union_domain_tables(tables)
     kept = remove_concepts(union, settings.concepts_to_remove)
@@ -47,29 +52,41 @@ def process_tables(
 ) -> Processed:
     """Clean events, attach them to visits and lay them out as tokens, for all persons at once."""
     stage = stage or Staging(tables["person"].sparkSession)
-    events = prepare_events(tables, settings)
-    distinct = stage(events["distinct"], "distinct_events")
-    busy = busy_persons([distinct, tables["visit_occurrence"], tables["observation_period"]], stage)
-    linked = link_events_to_visits(
-        distinct, tables["visit_occurrence"], settings.missing_visit_concept_id, busy, stage
-    )
+    maps = settings.map_drugs_to_ingredients and "drug_exposure" in tables
+    events = prepare_events(tables, settings, stage_mapping(tables, stage) if maps else None)
+    distinct = stage_distinct_events(events["union"], settings.concepts_to_remove, stage)
+    persons = count_rows(tables, distinct, stage)
+    linked = link_prepared(tables, distinct, persons, settings, stage)
     tokens = create_tokens(
-        tables, linked.events, linked.visits, labels if settings.has_labels else None, busy, stage
-    )
-    return Processed(tokens, run_counters(tables, events, distinct, linked.statistics, settings))
-
-
-def run_counters(tables, events, distinct, link_statistics, settings) -> DataFrame:
-    """What the run read, removed and linked, as one row."""
-    before = count_removed(events["union"], settings.concepts_to_remove)
-    count = F.count("*")
-    return before.select(
-        tables["person"].agg(count).scalar().alias("persons"),
-        tables["observation_period"].agg(count).scalar().alias("observation_periods"),
-        "removed_concepts",
-        (F.col("kept") - distinct.agg(count).scalar()).alias("removed_duplicates"),
-        *[link_statistics.select(c).scalar().alias(c) for c in link_statistics.columns],
+        tables, linked.events, linked.visits, labels if settings.has_labels else None, persons.busy, stage
     )
+    return Processed(tokens, run_counters(distinct, persons, linked))
+
+
+def count_rows(tables: dict[str, DataFrame], distinct: DataFrame, stage: Staging) -> PersonRows:
+    """Rows per table, and the busy persons of all."""
+    counted = {
+        "events": distinct,
+        "visits": tables["visit_occurrence"],
+        "observation_periods": tables["observation_period"],
+        "persons": tables["person"],
+    }
+    return count_person_rows(counted, stage)
+
+
+def link_prepared(
+    tables: dict[str, DataFrame], distinct: DataFrame, persons: PersonRows, settings: MappingSettings, stage: Staging
+) -> LinkedEvents:
+    missing = settings.missing_visit_concept_id
+    return link_events_to_visits(distinct, tables["visit_occurrence"], missing, persons.busy, stage, persons.rows["visits"])
+
+
+def run_counters(distinct: DataFrame, persons: PersonRows, linked: LinkedEvents) -> DataFrame:
+    """What the run read, removed and linked, as one row. All of it was counted while the staged
+    tables were written: nothing is read again."""
+    rows = {name: persons.rows[name] for name in ("persons", "observation_periods")}
+    found = linked.statistics.first().asDict()
+    return one_row(distinct.sparkSession, rows | measured(distinct).values | found)
 
 
 def process_cdm_data(

@@ -9,13 +9,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ehrseq.operators.cohort import choose_concepts
-from ehrseq.operators.events import ingredient_mapping
-from ehrseq.operators.numbering import busy_persons
+from ehrseq.operators.events import stage_distinct_events
 from ehrseq.operators.sequences import collect_sequences
 from ehrseq.operators.tokens import rank_visits, token_stream
-from ehrseq.operators.visits import key_visits, link_by_id, link_events_to_visits
+from ehrseq.operators.visits import key_visits, link_by_id
 from ehrseq.operators.vocabulary import fit_vocabulary, split_by_person
-from ehrseq.plans.process import prepare_events, run_counters
+from ehrseq.plans.process import count_rows, link_prepared, prepare_events, run_counters, stage_mapping
 from ehrseq.settings import MappingSettings
 from ehrseq.sources import trial
 from ehrseq.staging import Staging
@@ -34,24 +33,27 @@ class TrialRun:
 
     @cached_property
     def mapping(self):
-        return ingredient_mapping(self.tables["concept"], self.tables["concept_ancestor"])
+        return stage_mapping(self.tables, self.stage)
 
     @cached_property
     def events(self):
-        return prepare_events(self.tables, self.settings)
+        return prepare_events(self.tables, self.settings, self.mapping)
 
     @cached_property
     def distinct_events(self):
-        return self.stage(self.events["distinct"], "distinct_events")
+        return stage_distinct_events(self.events["union"], self.settings.concepts_to_remove, self.stage)
 
     @cached_property
     def keyed_visits(self):
         return key_visits(self.tables["visit_occurrence"], self.busy)
 
     @cached_property
+    def person_rows(self):
+        return count_rows(self.tables, self.distinct_events, self.stage)
+
+    @property
     def busy(self):
-        tables = [self.distinct_events, self.tables["visit_occurrence"], self.tables["observation_period"]]
-        return busy_persons(tables, self.stage)
+        return self.person_rows.busy
 
     @cached_property
     def linked_by_id(self):
@@ -59,13 +61,7 @@ class TrialRun:
 
     @cached_property
     def linked(self):
-        return link_events_to_visits(
-            self.distinct_events,
-            self.tables["visit_occurrence"],
-            self.settings.missing_visit_concept_id,
-            self.busy,
-            self.stage,
-        )
+        return link_prepared(self.tables, self.distinct_events, self.person_rows, self.settings, self.stage)
 
     def ranked(self, labels=None):
         return rank_visits(
@@ -100,9 +96,7 @@ class TrialRun:
 
     @cached_property
     def counters(self):
-        return run_counters(
-            self.tables, self.events, self.distinct_events, self.linked.statistics, self.settings
-        )
+        return run_counters(self.distinct_events, self.person_rows, self.linked)
 
     @cached_property
     def training_tokens(self):
@@ -110,15 +104,15 @@ class TrialRun:
 
     @cached_property
     def vocabulary(self):
-        return self.stage(fit_vocabulary(self.training_tokens, "concept_ids"), "vocabulary")
+        return self.stage.measured(fit_vocabulary(self.training_tokens, "concept_ids"), "vocabulary")
 
     @cached_property
     def visit_vocabulary(self):
-        return self.stage(fit_vocabulary(self.training_tokens, "visit_concept_ids"), "visit_vocabulary")
+        return self.stage.measured(fit_vocabulary(self.training_tokens, "visit_concept_ids"), "visit_vocabulary")
 
     @cached_property
     def chosen_concepts(self):
-        return self.stage(choose_concepts(self.distinct_events, 10), "chosen_concepts")
+        return self.stage.measured(choose_concepts(self.distinct_events, 10), "chosen_concepts")
 
     @cached_property
     def predictions(self):

@@ -9,9 +9,31 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cache
+from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+
+
+class Measured(NamedTuple):
+    """What was seen of a staged table while it was written."""
+
+    rows: int
+    bytes: int
+    values: dict[str, Any]
+
+
+def measured(frame: DataFrame) -> Measured | None:
+    """What is known of a staged table, None for any other frame."""
+    return frame.__dict__.get("_measured")
+
+
+def like_measured(frame: DataFrame, source: DataFrame) -> DataFrame:
+    """``frame``, which has a row for each of ``source``, with what is known of ``source``."""
+    frame.__dict__["_measured"] = measured(source)
+    return frame
 
 
 @cache
@@ -41,6 +63,25 @@ class Staging:
         frame.write.parquet(path)
         return self._spark.read.schema(frame.schema).parquet(path)
 
+    def measured(
+        self, frame: DataFrame, name: str, values: dict[str, Column] | None = None, then: Callable[[DataFrame], DataFrame] | None = None
+    ) -> DataFrame:
+        """Write ``then(frame)`` and know its rows and bytes, and aggregates of ``frame``, from that same write.
+
+        The aggregates are taken in the tasks that write. Give a ``frame`` that needs no shuffle
+        after them: a repeated task of an earlier stage would be counted again.
+        """
+        path, rows, seen = f"{self.folder}/{name}", Observation(), Observation()
+        observed = frame.observe(seen, *[value.alias(n) for n, value in values.items()]) if values else frame
+        written = then(observed) if then else observed
+        written.observe(rows, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+        result = self._spark.read.schema(written.schema).parquet(path)
+        result.__dict__["_measured"] = Measured(rows.get["rows"], self._bytes(path), seen.get if values else {})
+        return result
+
+    def _bytes(self, path: str) -> int:
+        place = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        return place.getFileSystem(self._spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
 
     def __enter__(self) -> "Staging":
         return self

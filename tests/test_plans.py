@@ -1,19 +1,23 @@
 """What the plans must and must not contain."""
 
 import re
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__
-from ehrseq.operators.events import ingredients
+from ehrseq.operators import sizes
+from ehrseq.operators.events import ingredients, map_concepts
 from ehrseq.operators.numbering import busy_persons
+from ehrseq.operators.sizes import join_lookup
 from ehrseq.operators.visits import key_visits, link_by_id
+from ehrseq.operators.vocabulary import encode
 from ehrseq.plans.trial_run import trial_run
 from ehrseq.settings import ExampleSettings
 from ehrseq.operators.examples import build_examples, truncate
 from ehrseq.sources import cdm as source
-from ehrseq.staging import Staging
+from ehrseq.staging import Staging, measured
 from tests.conftest import SMALL
 
 QUERIES = __spark_entry__.queries()
@@ -59,6 +63,47 @@ def test_examples_shuffle_once(spark):
     assert text.count("Exchange hashpartitioning") == 1
 
 
+def _jobs(spark, work):
+    """Spark jobs that ``work`` runs."""
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        work()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_a_join_to_a_measured_lookup_runs_no_job(spark):
+    run = trial_run(spark, SMALL)
+    mapping, drugs, tokens, vocabulary = run.mapping, run.tables["drug_exposure"], run.tokens, run.vocabulary
+    assert measured(mapping).rows == mapping.count() and measured(mapping).bytes > 0
+    assert _jobs(spark, lambda: map_concepts(drugs, "drug_concept_id", mapping)) == 0
+    assert _jobs(spark, lambda: encode(tokens, "concept_ids", vocabulary, "token_id")) == 0
+    # The mapping is read as written, not joined again.
+    text = plan(map_concepts(drugs, "drug_concept_id", mapping))
+    assert text.count("Join") == plan(drugs).count("Join") + 1 and "ReadSchema: struct<source_concept_id" in text
+
+
+def test_a_large_lookup_is_not_broadcast(spark, monkeypatch):
+    lookup = Staging(spark).measured(spark.range(50).withColumn("token_id", F.col("id")), "lookup")
+    large = spark.range(100)
+    assert "BroadcastHashJoin" in plan(join_lookup(large, lookup, "id", "left"))
+    assert "SortMergeJoin" in plan(join_lookup(large, lookup, "id", "left", max_rows=49))
+    monkeypatch.setattr(sizes, "BROADCAST_BYTES", 10)
+    assert "SortMergeJoin" in plan(join_lookup(large, lookup, "id", "left"))
+
+
+def test_staged_tables_know_what_was_counted(spark):
+    stage = Staging(spark)
+    for n, size in ((0, 0), (5, 3)):
+        table = stage.measured(spark.range(n), f"table_{n}", {"total": F.sum("id")}, lambda f: f.where("id > 1"))
+        seen = measured(table)
+        assert (seen.rows, seen.values["total"]) == (size, 10 if n else None)
+        assert table.count() == size
+    assert measured(spark.range(3)) is None and measured(stage(spark.range(3), "plain")) is None
+
+
 def test_events_without_visit_id_spread_over_partitions(spark):
     """The join by visit id must not send all events without one to the same task."""
     events = spark.range(20000).select(

@@ -5,7 +5,7 @@ from ehrseq.operators.sequences import collect_sequences, explode_sequences
 from ehrseq.operators.numbering import busy_persons
 from ehrseq.operators.tokens import create_tokens
 from ehrseq.operators.visits import link_events_to_visits
-from ehrseq.plans.process import prepare_events, process_tables
+from ehrseq.plans.process import prepare_events, process_tables, stage_mapping
 from ehrseq.settings import MappingSettings
 from ehrseq.sources import trial
 from ehrseq.staging import Staging
@@ -51,6 +51,25 @@ def test_run_counters(cdm):
     assert (counters.mapped_by_id, counters.mapped_by_date, counters.new_visits) == (1, 1, 1)
 
 
+def test_counters_read_no_table(spark, cdm):
+    """Everything was counted while it was written."""
+    counters = process_tables({**cdm, "condition_occurrence": cdm["condition_occurrence"].unionAll(cdm["condition_occurrence"])}, NO_MAPPING).counters
+    assert counters.first().asDict() == {
+        "persons": 1,
+        "observation_periods": 3,
+        "removed_concepts": 2,
+        "removed_duplicates": 2,
+        "mapped_by_id": 1,
+        "mapped_by_date": 1,
+        "mapped_to_new_visit": 1,
+        "used_new_visit": 1,
+        "new_visits": 1,
+        "existing_visits": 3,
+    }
+    text = counters._jdf.queryExecution().optimizedPlan().toString()
+    assert "Relation" not in text and "Range" in text
+
+
 def test_a_null_concept_follows_the_visit_end_and_is_not_counted(spark, cdm):
     table = cdm["condition_occurrence"].where("condition_concept_id = 811")
     nothing = table.withColumn("condition_concept_id", F.lit(None).cast("bigint"))
@@ -100,7 +119,7 @@ def test_hot_persons_and_visits_give_the_same_tokens(spark):
     """Cutting persons into months and visits into concepts changes nothing."""
     tables = trial.cdm_tables(spark, SMALL)
     stage = Staging(spark)
-    events = stage(prepare_events(tables, MappingSettings())["distinct"], "events")
+    events = stage(prepare_events(tables, MappingSettings(), stage_mapping(tables, stage))["distinct"], "events")
     visits = tables["visit_occurrence"]
     labels = trial.labels(spark, SMALL)
     results = []
