@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ehrseq.functions.dates import date_of_birth
 from ehrseq.operators.sizes import join_lookup
 from ehrseq.schema import CONCEPT_COLUMN, DEATH_CONCEPT_ID, EVENT_COLUMNS, START_DATE_COLUMN
+from ehrseq.staging import like_measured
 
 
 def add_date_of_birth(person: DataFrame) -> DataFrame:
@@ -60,7 +61,7 @@ def remove_duplicates(events: DataFrame) -> DataFrame:
 def count_copies(events: DataFrame, concept_ids: list[int]) -> DataFrame:
     """One row per distinct event that stays, with its ``copies``; all unwanted ones share one ``unwanted`` row.
 
-    So what cleaning removes can be counted where its result is written. Copies and unwanted events
+    So what cleaning removes can be counted from its written result. Copies and unwanted events
     collapse in the map tasks.
     """
     marked = events.withColumn("unwanted", unwanted(concept_ids))
@@ -73,12 +74,10 @@ def stage_distinct_events(events: DataFrame, concept_ids: list[int], stage) -> D
     what they removed."""
     gone = F.coalesce(F.sum(F.when(F.col("unwanted"), F.col("copies"))), F.lit(0))
     copies = F.coalesce(F.sum(F.when(~F.col("unwanted"), F.col("copies") - 1)), F.lit(0))
-    return stage.measured(
-        count_copies(events, concept_ids),
-        "distinct_events",
-        {"removed_concepts": gone, "removed_duplicates": copies},
-        lambda counted: counted.where(~F.col("unwanted")).select(*EVENT_COLUMNS),
+    counted = stage.measured(
+        count_copies(events, concept_ids), "distinct_events", {"removed_concepts": gone, "removed_duplicates": copies}
     )
+    return like_measured(counted.where(~F.col("unwanted")).select(*EVENT_COLUMNS), counted)
 
 
 def ingredients(concept: DataFrame) -> DataFrame:

@@ -64,6 +64,22 @@ def _by_score(points: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def score_counts(predictions: DataFrame, keys: list[str], score: str = "prediction", label: str = "label") -> DataFrame:
+    """(cell, score, positives, negatives): all that the label metrics need to know of predictions.
+
+    Counts of several runs add up (``merge_counts``), so a grown prediction table needs no rescan.
+    """
+    return _points(predictions, keys, score, label).select(
+        *keys, F.col("_score").alias("score"), F.col("_pos").alias("positives"), F.col("_neg").alias("negatives")
+    )
+
+
+def merge_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of several runs, one under the other, as the counts of all their predictions."""
+    sums = [F.sum(c).cast("bigint").alias(c) for c in ("positives", "negatives")]
+    return counts.groupBy(*keys, "score").agg(*sums)
+
+
 def ranking_metrics(predictions: DataFrame, keys: list[str], score: str = "prediction", label: str = "label") -> DataFrame:
     """Area under the ROC curve and average precision per cell; null where a class is missing.
 
@@ -111,9 +127,17 @@ def label_metrics(
     All four come from the counts per distinct score. Pass ``stage`` (a ``Staging``) to have those
     computed once, in one pass over the predictions.
     """
-    points = _points(predictions, keys, score, label)
+    counts = score_counts(predictions, keys, score, label)
     if stage is not None:
-        points = stage(points, f"score_points_{uuid.uuid4().hex}")
+        counts = stage(counts, f"score_counts_{uuid.uuid4().hex}")
+    return metrics_of_counts(counts, keys)
+
+
+def metrics_of_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``label_metrics`` from merged counts, which should be a table."""
+    points = counts.select(
+        *keys, F.col("score").alias("_score"), F.col("positives").alias("_pos"), F.col("negatives").alias("_neg")
+    )
     s, pos, neg = F.col("_score"), F.col("_pos"), F.col("_neg")
     one, zero = F.lit(1.0), F.lit(0.0)
     rows = F.sum(F.when(s.isNotNull(), pos + neg))
@@ -172,11 +196,16 @@ METRIC_NAMES = {
 }
 
 
-def metric_rows(metrics: DataFrame, keys: list[str], objective: str, is_train: bool) -> DataFrame:
-    """One row per cell and metric, under the report's metric names."""
-    prefix = f"{'train' if is_train else 'validation'} {objective} "
+def metric_rows(metrics: DataFrame, keys: list[str], objective: str, is_train: bool | str) -> DataFrame:
+    """One row per cell and metric, under the report's metric names.
+
+    ``is_train`` names a boolean key column where training and validation rows stand side by side,
+    of one or many epochs.
+    """
+    train = F.col(is_train) if isinstance(is_train, str) else F.lit(is_train)
+    side = F.when(train, "train").otherwise("validation")
     present = [c for c in METRIC_NAMES if c in metrics.columns]
-    named = [F.struct(F.lit(prefix + METRIC_NAMES[c]).alias("metric"), F.col(c).alias("value")) for c in present]
+    named = [F.struct(F.concat_ws(" ", side, F.lit(objective), F.lit(METRIC_NAMES[c])).alias("metric"), F.col(c).alias("value")) for c in present]
     return metrics.select(*keys, F.explode(F.array(*named)).alias("_m")).select(*keys, "_m.*")
 
 

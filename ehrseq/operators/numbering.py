@@ -33,14 +33,13 @@ def count_person_rows(frames: dict[str, DataFrame], stage, max_rows: int = BUSY_
     parts = [frame.select("person_id", F.lit(n).alias("_frame")) for n, frame in enumerate(frames.values())]
     rows = reduce(DataFrame.unionAll, parts).groupBy("person_id")
     counts = rows.agg(F.count("*").alias("_rows"), *[F.count_if(F.col("_frame") == n).alias(f"_rows_{n}") for n in range(len(parts))])
-    busy = stage.measured(
-        counts,
-        "busy_persons",
-        {name: F.sum(f"_rows_{n}") for n, name in enumerate(frames)},
-        lambda all_persons: all_persons.where(F.col("person_id").isNotNull() & (F.col("_rows") > max_rows)).select("person_id"),
-    )
-    seen = measured(busy)
-    return PersonRows(busy if seen.rows else None, {name: n or 0 for name, n in seen.values.items()})
+    totals = {name: F.sum(f"_rows_{n}") for n, name in enumerate(frames)}
+    is_busy = F.col("person_id").isNotNull() & (F.col("_rows") > max_rows)
+    persons = stage.measured(counts, "person_rows", totals | {"_busy": F.count_if(is_busy)})
+    seen = dict(measured(persons).values)
+    many = seen.pop("_busy")
+    busy = like_measured(persons.where(is_busy).select("person_id"), persons, many) if many else None
+    return PersonRows(busy, {name: n or 0 for name, n in seen.items()})
 
 
 def busy_persons(frames: list[DataFrame], stage, max_rows: int = BUSY_PERSON_ROWS) -> DataFrame | None:

@@ -27,6 +27,15 @@ def label_prevalence(labels: DataFrame) -> DataFrame:
     return per_concept.agg((100 * F.avg("_share")).alias("percent_positive"))
 
 
+def sparse_label_prevalence(positives: DataFrame, periods: DataFrame, concepts: DataFrame) -> DataFrame:
+    """``label_prevalence`` from the positives alone; every other pair of a period and a concept is
+    a negative, and is never laid out."""
+    found = positives.groupBy("concept_id").agg(F.count("*").alias("_positives"))
+    share = F.coalesce("_positives", F.lit(0)) / F.col("_periods")
+    shares = concepts.select("concept_id").join(found, "concept_id", "left").withColumn("_periods", periods.agg(F.count("*")).scalar())
+    return shares.agg((100 * F.avg(share)).alias("percent_positive"))
+
+
 def unequal_arrays(sequences: DataFrame) -> DataFrame:
     """For each array: the sequences, and those whose rows together hold more or fewer values than
     the sequence says."""

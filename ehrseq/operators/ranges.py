@@ -105,3 +105,22 @@ def first_covering_visit(days: DataFrame, visits: DataFrame, busy: DataFrame | N
             F.when(F.col("_date") <= F.col("_candidate.last_date"), F.col("_candidate.visit_seq")).alias("visit_seq"),
         )
     )
+
+
+def first_covering_visit_in_place(days: DataFrame, visits: DataFrame) -> DataFrame:
+    """``first_covering_visit`` for inputs that are cut by person already: no row leaves its partition.
+
+    Days and ranges of a person meet per calendar month, by a join in place of the union above. The
+    ranges are disjoint and the days distinct, so a month has a month's days of each at most. A
+    range is listed for the months between the person's first and last day.
+    """
+    active = days.groupBy("person_id").agg(F.min("start_date").alias("_first"), F.max("start_date").alias("_last"))
+    ranges = exclusive_ranges(visits).join(active, "person_id")
+    since, until = F.greatest("first_date", "_first"), F.least("last_date", "_last")
+    listed = ranges.where(since <= until).select(
+        "person_id", "first_date", "last_date", "visit_seq", F.explode(F.sequence(month_number(since), month_number(until))).alias("_month")
+    )
+    probes = days.withColumn("_month", month_number(F.col("start_date")))
+    inside = (F.col("start_date") >= F.col("first_date")) & (F.col("start_date") <= F.col("last_date"))
+    same = (probes["person_id"] == listed["person_id"]) & (probes["_month"] == listed["_month"])
+    return probes.join(listed, same & inside, "left").select(probes["person_id"], "start_date", "visit_seq")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ehrseq.operators.numbering import add_block, number_rows
-from ehrseq.operators.ranges import first_covering_visit
+from ehrseq.operators.ranges import first_covering_visit, first_covering_visit_in_place
 from ehrseq.staging import Staging, measured
 
 # Room for the visits of one person that start on the same day.
@@ -68,11 +68,17 @@ def link_by_id(events: DataFrame, keyed_visits: DataFrame) -> DataFrame:
     return events.withColumn("_spread", spread).join(by_id, ["visit_occurrence_id", "_spread"], "left").drop("_spread")
 
 
-def link_by_date(linked: DataFrame, keyed_visits: DataFrame, busy: DataFrame | None = None) -> DataFrame:
-    """Add the first visit covering each event's date, and collapse events that became equal."""
+def link_by_date(
+    linked: DataFrame, keyed_visits: DataFrame, busy: DataFrame | None = None, cut_by_person: bool = False
+) -> DataFrame:
+    """Add the first visit covering each event's date, and collapse events that became equal.
+
+    With ``cut_by_person`` both inputs come from tables bucketed by person, and nothing is shuffled.
+    """
     distinct = linked.select("person_id", "start_date", "concept_id", "id_from_id", "visit_person_id").distinct()
     days = distinct.select("person_id", "start_date").distinct()
-    by_date = first_covering_visit(days, keyed_visits, busy).withColumnRenamed("visit_seq", "id_from_date")
+    covering = first_covering_visit_in_place(days, keyed_visits) if cut_by_person else first_covering_visit(days, keyed_visits, busy)
+    by_date = covering.withColumnRenamed("visit_seq", "id_from_date")
     return distinct.join(by_date, ["person_id", "start_date"], "left")
 
 
@@ -173,15 +179,16 @@ def link_events_to_visits(
     busy: DataFrame | None = None,
     stage: Staging | None = None,
     visit_rows: int | None = None,
+    keyed: DataFrame | None = None,
 ) -> LinkedEvents:
     """Link by visit id, else by date, else to a new visit of the event's day.
 
     What several of the results read is staged, so that it is computed once; the statistics are
-    counted while it is written. ``busy`` names persons with very many rows and ``visit_rows`` is the
-    number of visits (see ``count_person_rows``).
+    counted from that. ``busy`` names persons with very many rows and ``visit_rows`` is the
+    number of visits (see ``count_person_rows``); ``keyed`` are the keyed visits, if they are staged.
     """
     stage = stage or Staging(events.sparkSession)
-    keyed = key_visits(visits, busy)
+    keyed = stage(key_visits(visits, busy), "keyed_visits") if keyed is None else keyed
     linked = stage(link_by_id(events, keyed), "linked_events")
     days = stage.measured(resolve_days(unlinked_days(linked), keyed, busy), "resolved_days", {"new_visits": F.count_if("is_new")})
     resolved = stage.measured(resolve_events(linked, days, busy), "resolved_events", link_counts())

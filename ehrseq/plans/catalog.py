@@ -18,12 +18,12 @@ from ehrseq.operators.numbering import number_rows
 from ehrseq.operators.sequences import collect_sequences, explode_sequences
 from ehrseq.operators.tokens import event_tokens, interval_tokens, visit_tokens
 from ehrseq.operators.vocabulary import split_by_person
-from ehrseq.plans.oracle import LENGTH
+from ehrseq.plans.oracle import ADAM_STEPS, LENGTH
 from ehrseq.plans.process import process_cdm_data
 from ehrseq.plans.trial_run import SEED, TRAIN_FRACTION, trial_run
-from ehrseq.schema import PERIOD_KEY
+from ehrseq.schema import PERIOD_KEY, SEQUENCE_TABLE
 from ehrseq.settings import ExampleSettings
-from ehrseq.sources import files, trial
+from ehrseq.sources import buckets, files, trial
 from ehrseq.sources.cdm import read_all_labels, read_cdm, write_cdm, write_labels
 from ehrseq.staging import Staging, like_measured
 
@@ -412,15 +412,31 @@ def baseline_scores(run):
 def baseline_fit(run):
     """Fitted on the training persons; on all examples, whether the weights score like the model."""
     built, size = _labelled_examples(run), run.vocabulary.count()
-    model = baseline.fit_baseline(_training_examples(run, TRAINING_EXAMPLES), size)
+    model = baseline.fit_baseline(_training_examples(run, TRAINING_EXAMPLES), size, stage=run.stage)
     ours = baseline.baseline_scores(built, baseline.model_weights(model, run.spark), model.intercept)
-    theirs = model.transform(baseline.presence_vectors(built, size)).select(
+    theirs = model.transform(baseline.presence_vectors(built, size, run.stage)).select(
         *PERIOD_KEY, vector_to_array("probability")[1].alias("probability")
     )
     same = F.abs(F.col("prediction") - F.col("probability")) < 1e-9
     return ours.join(theirs, PERIOD_KEY).select(*PERIOD_KEY, same.cast("bigint").alias("same"))
 
 
+@query
+def baseline_gradient_fit(run):
+    """A few steps of the definition's own optimiser on all training examples."""
+    training = split_by_person(_labelled_examples(run), TRAIN_FRACTION, SEED)[0]
+    settings = baseline.AdamSettings(steps=ADAM_STEPS, learning_rate=0.05, weight_decay=0.01)
+    return baseline.fit_by_gradient(training, run.vocabulary, settings, stage=run.stage)
+
+
+@query
+def presence_vectors(run):
+    """The places of each sparse vector, as the classifier gets them."""
+    built = baseline.presence_vectors(_labelled_examples(run), run.vocabulary.count(), run.stage)
+    parts = F.from_json(F.to_json(F.struct("features")), "features struct<size bigint, indices array<bigint>>").getField("features")
+    return built.select(*PERIOD_KEY, parts["size"].alias("size"), parts["indices"].alias("places"), "finetune_label")
+
+
 # Metrics
 
 CELL = ["pretrained_model", "fine_tuned_model"]
@@ -458,6 +474,19 @@ def metric_table(run):
     return metrics.metric_table(rows, CELL, names)
 
 
+@query
+def metric_state(run):
+    """Counts of two runs, the second added when the first were written, as metrics of each epoch's
+    training and validation rows."""
+    keys = ["pretrained_model", "epoch", "is_train"]
+    predictions = trial.epoch_predictions(run.spark, run.folder)
+    path = _folder(run, "score_counts")
+    for half in (0, 1):
+        files.append_score_counts(metrics.score_counts(predictions.where(F.col("run") == half), keys), path)
+    counts = run.stage(metrics.merge_counts(files.read_score_counts(run.spark, path), keys), f"merged-{uuid.uuid4().hex}")
+    return metrics.metric_rows(metrics.metrics_of_counts(counts, keys), keys, "label prediction", "is_train")
+
+
 def _unmasked():
     return F.element_at("logits", 1) > 0
 
@@ -561,6 +590,7 @@ def result_summary_pretrained(run):
 # Quality and cohorts
 
 WINDOW_DAYS = 180
+BUCKETS = 8
 
 
 @query
@@ -573,13 +603,18 @@ def cohort_statistics(run):
 
 def _window_labels(run):
     return cohort.window_labels(
-        run.distinct_events, run.tables["observation_period"], run.chosen_concepts, WINDOW_DAYS, run.busy
+        run.distinct_events, run.tables["observation_period"], run.chosen_concepts, WINDOW_DAYS, run.busy, run.stage
     )
 
 
+def _positive_labels(run):
+    periods = run.tables["observation_period"]
+    return cohort.positive_labels(run.distinct_events, periods, run.chosen_concepts, WINDOW_DAYS, run.busy)
+
+
 @query
 def label_prevalence(run):
-    return quality.label_prevalence(_window_labels(run))
+    return quality.sparse_label_prevalence(_positive_labels(run), run.tables["observation_period"], run.chosen_concepts)
 
 
 @query
@@ -609,6 +644,11 @@ def concept_choice(run):
     return cohort.choose_concepts(run.distinct_events, 10)
 
 
+@query
+def positive_labels(run):
+    return _positive_labels(run)
+
+
 @query
 def window_labels(run):
     return _window_labels(run)
@@ -652,6 +692,42 @@ def cdm_files(run):
     return reduce(DataFrame.unionByName, counts)
 
 
+@query
+def cdm_visit_file(run):
+    """The rows of a table that was written and read, one by one."""
+    root = _folder(run, "cdm")
+    write_cdm({"visit_occurrence": run.tables["visit_occurrence"]}, root)
+    return read_cdm(run.spark, root)["visit_occurrence"]
+
+
+def _bucketed(run):
+    """What linking by date reads, bucketed by person."""
+    root, prefix = _folder(run, "bucketed"), f"ehrseq_{uuid.uuid4().hex}"
+    names = ["drug_exposure", "visit_occurrence", "linked_by_id"]
+    buckets.write_cdm_bucketed({n: run.tables[n] for n in names[:2]}, root, prefix, BUCKETS)
+    buckets.write_bucketed({"linked_by_id": run.linked_by_id}, root, prefix, BUCKETS)
+    return buckets.read_bucketed(run.spark, root, prefix, names)
+
+
+@query
+def bucketed_drug_table(run):
+    return _bucketed(run)["drug_exposure"]
+
+
+@query
+def bucketed_link_by_date(run):
+    """Without any shuffle after the tables are written."""
+    tables = _bucketed(run)
+    return visits.link_by_date(tables["linked_by_id"], visits.key_visits(tables["visit_occurrence"]), cut_by_person=True)
+
+
+@query
+def bucketed_sequences(run):
+    root, prefix = _folder(run, "bucketed"), f"ehrseq_{uuid.uuid4().hex}"
+    buckets.write_sequences_bucketed(run.sequences, root, prefix, BUCKETS)
+    return buckets.read_bucketed(run.spark, root, prefix, [SEQUENCE_TABLE])[SEQUENCE_TABLE]
+
+
 @query
 def label_files(run):
     path = _folder(run, "labels")

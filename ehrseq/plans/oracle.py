@@ -287,6 +287,41 @@ mean_metric AS (
     avg(-(y * greatest(ln(p), -100) + (1 - y) * greatest(ln(1 - p), -100))) AS mean_loss
   FROM prediction GROUP BY ALL)"""
 CELL = "pretrained_model, fine_tuned_model"
+EPOCHS = PREDICTIONS.replace(
+    "l_linestatus AS fine_tuned_model", "l_linenumber % 3 AS epoch, CAST(l_orderkey % 5 <> 0 AS INT) AS is_train"
+).replace("fine_tuned_model", "epoch, is_train")
+EPOCH_CELL = "pretrained_model, epoch, is_train"
+
+# Steps of the gradient fit that are compared.
+ADAM_STEPS = 4
+
+
+def adam_steps(rate, decay):
+    """A chain of steps, each from the weights of the one before."""
+    ctes = f"""
+present AS MATERIALIZED (
+  SELECT person_id, observation_period_id, token_id, CAST(label AS DOUBLE) AS y FROM (
+    SELECT DISTINCT person_id, observation_period_id, token_id FROM kept
+    UNION SELECT DISTINCT person_id, observation_period_id, 3 FROM kept
+    UNION SELECT DISTINCT person_id, observation_period_id, -1 FROM kept
+    UNION SELECT person_id, observation_period_id, 0 FROM kept GROUP BY ALL HAVING count(*) < {ROOM})
+  JOIN cdm_label USING (person_id) WHERE {draw('split', 'person_id')} < {TRAIN_FRACTION}),
+w0 AS MATERIALIZED (
+  SELECT token_id, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m, 0.0::DOUBLE AS v FROM (SELECT token_id FROM vocab UNION ALL SELECT -1))"""
+    for n in range(1, ADAM_STEPS + 1):
+        ctes += f""",
+margin{n} AS MATERIALIZED (
+  SELECT person_id, observation_period_id, sum(w) AS z FROM present JOIN w{n - 1} USING (token_id) GROUP BY ALL),
+slope{n} AS MATERIALIZED (
+  SELECT token_id, sum(1 / (1 + exp(-z)) - y) / (SELECT count(*) FROM margin{n}) AS g
+  FROM present JOIN margin{n} USING (person_id, observation_period_id) GROUP BY token_id),
+moment{n} AS MATERIALIZED (
+  SELECT token_id, w, 0.9 * m + 0.1 * (coalesce(g, 0) + {decay} * w) AS m, 0.999 * v + 0.001 * pow(coalesce(g, 0) + {decay} * w, 2) AS v
+  FROM w{n - 1} LEFT JOIN slope{n} USING (token_id)),
+w{n} AS MATERIALIZED (
+  SELECT token_id, w - {rate} * (m / (1 - pow(0.9, {n}))) / (sqrt(v / (1 - pow(0.999, {n}))) + 1e-8) AS w, m, v FROM moment{n})"""
+    return ctes
+
 
 LOGITS = """
 cell AS (
@@ -570,6 +605,27 @@ next_token AS (
     UNION SELECT DISTINCT person_id, observation_period_id, 3 FROM kept
     UNION SELECT person_id, observation_period_id, 0 FROM kept GROUP BY ALL HAVING count(*) < {ROOM})
   GROUP BY ALL""",
+    ),
+    "baseline_gradient_fit": (
+        VOCABULARY + TAIL_FRAME + "," + adam_steps(0.05, 0.01),
+        f"SELECT token_id, round(w, 6) AS weight FROM w{ADAM_STEPS}",
+    ),
+    "presence_vectors": (
+        VOCABULARY + TAIL_FRAME,
+        f"""SELECT person_id, observation_period_id, (SELECT count(*) FROM vocab) AS size,
+    string_agg(CAST(token_id AS VARCHAR), ',' ORDER BY token_id) AS places, CAST(any_value(label) AS DOUBLE) AS finetune_label
+  FROM (SELECT DISTINCT person_id, observation_period_id, token_id FROM kept
+    UNION SELECT DISTINCT person_id, observation_period_id, 3 FROM kept
+    UNION SELECT person_id, observation_period_id, 0 FROM kept GROUP BY ALL HAVING count(*) < {ROOM}) JOIN cdm_label USING (person_id)
+  GROUP BY person_id, observation_period_id""",
+    ),
+    "metric_state": (
+        EPOCHS,
+        f"""SELECT {EPOCH_CELL}, CASE WHEN is_train = 1 THEN 'train' ELSE 'validation' END || ' label prediction ' || name AS metric,
+    round(value, 6) AS value FROM (
+    SELECT {EPOCH_CELL}, 'mean loss' AS name, mean_loss AS value FROM mean_metric
+    UNION ALL SELECT {EPOCH_CELL}, 'AUC', auc FROM ranking UNION ALL SELECT {EPOCH_CELL}, 'AUPRC', auprc FROM ranking
+    UNION ALL SELECT {EPOCH_CELL}, 'Brier score', brier FROM mean_metric)""",
     ),
     "roc_auc": (PREDICTIONS, f"SELECT {CELL}, round(auc, 6) AS auc FROM ranking"),
     "average_precision": (PREDICTIONS, f"SELECT {CELL}, round(auprc, 6) AS auprc FROM ranking"),
@@ -660,6 +716,7 @@ next_token AS (
     ),
     "concept_choice": (COHORT, "SELECT concept_id FROM chosen"),
     "window_labels": (COHORT, "SELECT * FROM window_label"),
+    "positive_labels": (COHORT, "SELECT person_id, observation_period_id, concept_id FROM window_label WHERE label = 1"),
     "history_events": (
         LINK,
         """SELECT e.person_id, observation_period_id, concept_id, CAST(start_date AS VARCHAR) AS start_date
@@ -679,6 +736,15 @@ next_token AS (
     WHERE l_returnflag = 'N' AND l_linestatus = 'O'
   UNION ALL SELECT 'death', count(*), count(DISTINCT person_id) FROM cdm_death""",
     ),
+    "cdm_visit_file": (
+        CDM,
+        "SELECT person_id, visit_occurrence_id, CAST(visit_start_date AS VARCHAR) AS visit_start_date, "
+        "CAST(visit_end_date AS VARCHAR) AS visit_end_date, visit_concept_id FROM cdm_visit",
+    ),
+    "bucketed_drug_table": (
+        CDM,
+        "SELECT person_id, CAST(start_date AS VARCHAR) AS drug_exposure_start_date, drug_id AS drug_concept_id, visit_occurrence_id FROM cdm_drug",
+    ),
     "label_files": (
         COHORT,
         "SELECT concept_id, person_id, label FROM window_label",
@@ -701,7 +767,8 @@ next_token AS (
 }
 
 
-_PARTS["sequence_files"] = _PARTS["sequences"]
+_PARTS["sequence_files"] = _PARTS["bucketed_sequences"] = _PARTS["sequences"]
+_PARTS["bucketed_link_by_date"] = _PARTS["link_by_date"]
 
 # Whole numbers that come out narrower or wider than 64 bits.
 _WHOLE_NUMBERS = {
@@ -726,6 +793,10 @@ _WHOLE_NUMBERS = {
     "label_files": ["label"],
     "baseline_fit": ["same"],
     "sequence_files": ["part", "last_visit_start"],
+    "bucketed_sequences": ["part", "last_visit_start"],
+    "cdm_visit_file": ["visit_concept_id"],
+    "baseline_gradient_fit": ["token_id"],
+    "metric_state": ["epoch", "is_train"],
     "settings_record": ["map_drugs_to_ingredients", "missing_visit_concept_id"],
 }
 

@@ -45,7 +45,7 @@ class TrialRun:
 
     @cached_property
     def keyed_visits(self):
-        return key_visits(self.tables["visit_occurrence"], self.busy)
+        return self.stage(key_visits(self.tables["visit_occurrence"], self.busy), "keyed_visits")
 
     @cached_property
     def person_rows(self):
@@ -61,7 +61,7 @@ class TrialRun:
 
     @cached_property
     def linked(self):
-        return link_prepared(self.tables, self.distinct_events, self.person_rows, self.settings, self.stage)
+        return link_prepared(self.tables, self.distinct_events, self.person_rows, self.settings, self.stage, self.keyed_visits)
 
     def ranked(self, labels=None):
         return rank_visits(

@@ -84,3 +84,6 @@ SEQUENCE_ARRAYS = [
     "visit_concept_ids",
     "orders",
 ]
+
+# Name of the sequences among bucketed tables.
+SEQUENCE_TABLE = "sequences"

@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Tables that are cut by person serve joins by person and day, or by person and visit, as they are.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_sequences(sequences: DataFrame, path: str) -> None:
-    sequences.write.parquet(path)
+def write_sequences(sequences: DataFrame, path: str, mode: str = "error") -> None:
+    sequences.write.mode(mode).parquet(path)
 
 
 def read_sequences(spark: SparkSession, path: str) -> DataFrame:
@@ -43,6 +43,16 @@ def read_metrics(spark: SparkSession, path: str, schema: str, **ids) -> DataFram
     return rows.select("*", *[F.lit(value).alias(name) for name, value in ids.items()])
 
 
+def append_score_counts(counts: DataFrame, path: str) -> None:
+    """Add the score counts of one more run to those at ``path``."""
+    counts.write.mode("append").parquet(path)
+
+
+def read_score_counts(spark: SparkSession, path: str) -> DataFrame:
+    """The score counts of all runs at ``path``, to be merged."""
+    return spark.read.parquet(path)
+
+
 def scan_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
     """Metric rows of all experiments below ``root`` in one scan, with folder and test label.
 
@@ -57,10 +67,10 @@ def scan_results(spark: SparkSession, root: str, schema: str) -> DataFrame:
     )
 
 
-def write_record(spark: SparkSession, settings, path: str) -> None:
+def write_record(spark: SparkSession, settings, path: str, mode: str = "error") -> None:
     """The options of a run, beside its output."""
     text = json.dumps(asdict(settings), sort_keys=True)
-    spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode(mode).text(path)
 
 
 def read_record(spark: SparkSession, settings_class, path: str):

@@ -216,3 +216,16 @@ def cdm_tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
         "concept_ancestor": concept_ancestor,
     }
     return {name: build(spark, folder) for name, build in builders.items()}
+
+
+def epoch_predictions(spark, folder):
+    """Order lines as predictions of three epochs, on training and other orders, from two runs."""
+    price = F.col("l_extendedprice")
+    return read(spark, folder, "lineitem").select(
+        F.col("l_returnflag").alias("pretrained_model"),
+        (F.col("l_linenumber") % 3).cast("bigint").alias("epoch"),
+        (F.col("l_orderkey") % 5 != 0).alias("is_train"),
+        (F.col("l_orderkey") % 2).cast("int").alias("run"),
+        (price / (price + 50000.0)).alias("prediction"),
+        (F.col("l_tax") >= 0.05).cast("int").alias("label"),
+    )

@@ -60,6 +60,31 @@ def test_window_labels_and_history(spark, periods, events):
     assert rows(quality.label_counts(labels)) == [(False, 4), (True, 2)]
 
 
+def test_sparse_labels_say_what_dense_ones_do(spark, periods, events):
+    stage = Staging(spark)
+    given = spark.createDataFrame([(c,) for c in (5, 6, 7, 8, 9, 6, None)], "concept_id bigint")
+    listed = cohort.list_concepts(given, stage)
+    positives = cohort.positive_labels(events, periods, listed, 10)
+    dense = rows(cohort.window_labels(events, periods, given, 10))
+    assert len(dense) == 2 * 5 and rows(positives) == [r[:3] for r in dense if r[3]]
+    # Blocks of any size, more of them than concepts in one, and none at all.
+    for per_block in (1, 2, 5):
+        assert rows(cohort.window_labels(events, periods, given, 10, stage=stage, concepts_per_block=per_block)) == dense
+    assert rows(cohort.window_labels(events, periods, given.limit(0), 10)) == []
+    sparse = quality.sparse_label_prevalence(positives, periods, listed).first()[0]
+    assert sparse == pytest.approx(quality.label_prevalence(cohort.window_labels(events, periods, given, 10)).first()[0])
+
+
+def test_many_concepts_are_not_refused(spark, periods, events):
+    """Prevalence never lays out periods by concepts; labels do, in blocks."""
+    stage = Staging(spark)
+    many = cohort.list_concepts(spark.range(30_000).select(F.col("id").alias("concept_id")), stage)
+    assert cohort.window_labels(events, periods, many, 10, stage=stage).where("label").count() == 2
+    sparse = quality.sparse_label_prevalence(cohort.positive_labels(events, periods, many, 10), periods, many)
+    assert sparse.first()[0] == pytest.approx(100 * 2 / 60_000)
+    assert "Generate" not in sparse._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_visit_types_and_gender(spark):
     events = spark.createDataFrame(
         [(1, 1, 5), (1, 1, 6), (1, 2, 6)], "visit_person_id bigint, visit_seq bigint, concept_id bigint"

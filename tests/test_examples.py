@@ -1,5 +1,7 @@
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +236,41 @@ def test_fitted_weights_score_like_the_model(spark, many, many_words):
     theirs = model.transform(baseline.presence_vectors(built, size)).select("observation_period_id", "probability")
     for r in theirs.collect():
         assert ours[r.observation_period_id] == pytest.approx(float(r.probability[1]))
+
+
+def _adam(rows, labels, size, settings):
+    """The same steps in numpy; the last weight is the bias."""
+    x = np.zeros((len(rows), size + 1))
+    for n, present in enumerate(rows):
+        x[n, list(present)] = 1
+    x[:, size] = 1
+    w, m, v = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
+    for n in range(1, settings.steps + 1):
+        g = x.T @ (1 / (1 + np.exp(-x @ w)) - labels) / len(rows) + settings.weight_decay * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - settings.learning_rate * (m / (1 - 0.9**n)) / (np.sqrt(v / (1 - 0.999**n)) + 1e-8)
+    return w
+
+
+def test_gradient_fit_equals_numpy(spark):
+    generator = random.Random(4)
+    size, made = 30, [(n, sorted(generator.sample(range(25), 6)) + [3, 3], generator.randrange(2)) for n in range(200)]
+    given = [(n, n, ids, float(y)) for n, ids, y in made] + [(900, 900, [1], None)]
+    examples_ = spark.createDataFrame(given, "person_id bigint, observation_period_id bigint, token_ids array<bigint>, finetune_label float")
+    vocabulary = spark.range(size).select(F.col("id").alias("token_id"), F.col("id").cast("string").alias("token"))
+    for decay in (0.0, 0.1):
+        settings = baseline.AdamSettings(steps=6, learning_rate=0.1, weight_decay=decay)
+        fitted = {r.token_id: r.weight for r in baseline.fit_by_gradient(examples_, vocabulary, settings).collect()}
+        expected = _adam([ids for _, ids, _ in made], np.array([y for *_, y in made]), size, settings)
+        assert sorted(fitted) == list(range(-1, size))
+        assert np.abs(np.array([fitted[n] for n in (*range(size), -1)]) - expected).max() < 1e-9
+    # A token no example has stays at zero, and without examples all do.
+    assert fitted[29] == 0
+    none = baseline.fit_by_gradient(examples_.limit(0), vocabulary, settings).collect()
+    assert len(none) == size + 1 and {r.weight for r in none} == {0.0}
+
+
+def test_vectors_are_built_from_places(spark):
+    given = spark.createDataFrame([(1, [7, 3, 3, 0]), (2, []), (3, [9, 10, -1])], "i int, token_ids array<bigint>")
+    built = baseline.presence_vectors(given.withColumn("finetune_label", F.lit(1)), 10).orderBy("i").collect()
+    assert [(r.features.size, r.features.indices.tolist(), set(r.features.values)) for r in built] == [(10, [0, 3, 7], {1.0}), (10, [], set()), (10, [9], {1.0})]

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,7 +9,9 @@ from ehrseq.plans.process import process_cdm_data, process_tables
 from ehrseq.settings import MappingSettings
 from ehrseq.sources import cdm as source
 from ehrseq.sources import files
-from tests.conftest import rows
+from ehrseq.plans.trial_run import trial_run
+from ehrseq.staging import ResumableStaging, measured
+from tests.conftest import SMALL, rows
 
 
 def test_a_folder_of_tables_becomes_sequences(spark, cdm, tmp_path):
@@ -31,6 +35,86 @@ def test_a_folder_of_tables_becomes_sequences(spark, cdm, tmp_path):
     assert files.read_record(spark, MappingSettings, f"{out}/settings") == settings
 
 
+class Stopped(Exception):
+    pass
+
+
+def _spoil(folder):
+    """Overwrite the values of every file below, but not the footers that tell the columns, and leave no trace."""
+    changed = {place: place.stat() for place in [folder, *(p for p in folder.rglob("*") if p.is_dir())]}
+    for path in folder.rglob("part-*.parquet"):
+        held = path.read_bytes()
+        footer = 8 + int.from_bytes(held[-8:-4], "little")
+        # Without a checksum the footer can still be read.
+        path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+        path.write_bytes(held[:4] + b"\xff" * (len(held) - 4 - footer) + held[len(held) - footer :])
+    for place, stat in changed.items():
+        os.utime(place, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+
+
+def _stop(*_, **__):
+    raise Stopped
+
+
+@pytest.mark.parametrize("where, step", [("visits", "resolve_days"), ("tokens", "rank_visits")])
+def test_a_stopped_run_is_taken_up(spark, tmp_path, monkeypatch, where, step):
+    """After ``linked_events`` no source table is read again."""
+    root, out, whole = (tmp_path / n for n in ("cdm", "out", "whole"))
+    run = trial_run(spark, SMALL)
+    settings, path = MappingSettings(has_labels=True), str(tmp_path / "labels")
+    source.write_cdm(run.tables, str(root))
+    source.write_labels(run.labels.withColumn("concept_id", F.lit(1)), path)
+    again = lambda place, given=settings: process_cdm_data(spark, str(root), str(place), given, path, 1)
+    again(whole)
+    with monkeypatch.context() as patch:
+        patch.setattr(f"ehrseq.operators.{where}.{step}", _stop)
+        with pytest.raises(Stopped):
+            again(out)
+    assert (out / "_staged" / "linked_events.manifest").exists() and not (out / "tokens").exists()
+    _spoil(root)
+    _spoil(tmp_path / "labels")
+    with pytest.raises(Exception, match="(?i)parquet|corrupt|read"):
+        source.read_cdm(spark, str(root))["person"].collect()
+    again(out)
+    for name in ("tokens", "counters"):
+        assert rows(spark.read.parquet(str(out / name))) == rows(spark.read.parquet(str(whole / name)))
+    assert not (out / "_staged").exists() and spark.read.parquet(str(out / "sequences")).count() > 0
+    with pytest.raises(FileExistsError):
+        again(out)
+
+
+def test_other_settings_or_sources_start_anew(spark, cdm, tmp_path, monkeypatch):
+    root, out = str(tmp_path / "cdm"), str(tmp_path / "out")
+    source.write_cdm(cdm, root)
+    settings = MappingSettings(map_drugs_to_ingredients=False)
+    for change in ("settings", "sources"):
+        with monkeypatch.context() as patch:
+            patch.setattr("ehrseq.operators.tokens.rank_visits", _stop)
+            with pytest.raises(Stopped):
+                process_cdm_data(spark, root, out, settings)
+        if change == "settings":
+            settings.concepts_to_remove = [0, 811]
+    more = cdm["condition_occurrence"].withColumn("condition_concept_id", F.lit(833).cast("bigint"))
+    more.write.mode("append").parquet(f"{root}/condition_occurrence")
+    process_cdm_data(spark, root, out, settings)
+    found = {i for r in files.read_sequences(spark, f"{out}/sequences").collect() for i in r.concept_ids}
+    assert "833" in found and "811" not in found
+
+
+def test_staged_tables_are_read_and_not_computed(spark, tmp_path):
+    folder = str(tmp_path / "staged")
+    first = ResumableStaging(spark, folder, "a")
+    one, two = first(spark.range(3), "plain"), first.measured(spark.range(4), "counted", {"total": F.sum("id")})
+    again = ResumableStaging(spark, folder, "a")
+    assert rows(again(spark.range(99), "plain")) == rows(one)
+    assert measured(again.measured(spark.range(99), "counted")) == measured(two)
+    other = ResumableStaging(spark, folder, "b")
+    assert other(spark.range(99), "plain").count() == 99
+    # A table without a manifest was not finished.
+    spark.range(7).write.parquet(f"{folder}/half")
+    assert other(spark.range(2), "half").count() == 2
+
+
 def test_labels_by_concept(spark, cdm, tmp_path):
     labels = spark.createDataFrame(
         [(5, 70, True), (5, 71, False), (2, 70, False)], "person_id bigint, concept_id bigint, label boolean"

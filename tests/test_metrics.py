@@ -1,11 +1,13 @@
 import math
 import random
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
 
 from ehrseq.functions.losses import binary_cross_entropy, binary_cross_entropy_with_logit
 from ehrseq.operators import metrics, study
+from ehrseq.sources import files
 from tests.conftest import rows
 
 
@@ -103,3 +105,23 @@ def test_experiment_grid(spark):
     late = spark.createDataFrame([("f 1", "small", 6)], schema)
     with pytest.raises(Exception, match="no such epoch"):
         study.experiment_grid(pretrained, late, [("a", "b")]).collect()
+
+
+def test_merged_counts_are_those_of_all_predictions(spark, tmp_path):
+    """Runs added one after the other, against the metrics of all their predictions at once."""
+    generator = random.Random(8)
+    rows_of = lambda n: [(e, generator.random() < 0.5, round(generator.random(), 2), generator.randrange(2)) for e in range(2) for _ in range(n)]
+    runs = [spark.createDataFrame(rows_of(n), "epoch int, is_train boolean, prediction double, label int") for n in (40, 70, 5)]
+    keys, path = ["epoch", "is_train"], str(tmp_path / "counts")
+    for n, run in enumerate(runs, 1):
+        files.append_score_counts(metrics.score_counts(run, keys), path)
+        counts = metrics.merge_counts(files.read_score_counts(spark, path), keys)
+        assert counts.count() == counts.select(*keys, "score").distinct().count()
+        merged = metrics.metric_rows(metrics.metrics_of_counts(counts, keys), keys, "label prediction", "is_train")
+        whole = metrics.label_metrics(reduce(lambda a, b: a.unionAll(b), runs[:n]), keys)
+        expected = metrics.metric_rows(whole, keys, "label prediction", "is_train")
+        assert [r[:3] for r in rows(merged)] == [r[:3] for r in rows(expected)]
+        assert [r[3] for r in rows(merged)] == pytest.approx([r[3] for r in rows(expected)])
+    # Both sides of each epoch stand in one table, under their own names.
+    assert {(r.is_train, r.metric.split()[0]) for r in merged.collect()} == {(True, "train"), (False, "validation")}
+    assert merged.count() == 2 * 2 * 4

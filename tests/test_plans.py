@@ -10,12 +10,15 @@ import __spark_entry__
 from ehrseq.operators import sizes
 from ehrseq.operators.events import ingredients, map_concepts
 from ehrseq.operators.numbering import busy_persons
+from ehrseq.operators.ranges import within_period
 from ehrseq.operators.sizes import join_lookup
-from ehrseq.operators.visits import key_visits, link_by_id
+from ehrseq.operators.tokens import rank_visits
+from ehrseq.operators.visits import key_visits, link_by_date, link_by_id
 from ehrseq.operators.vocabulary import encode
 from ehrseq.plans.trial_run import trial_run
 from ehrseq.settings import ExampleSettings
 from ehrseq.operators.examples import build_examples, truncate
+from ehrseq.sources import buckets
 from ehrseq.sources import cdm as source
 from ehrseq.staging import Staging, measured
 from tests.conftest import SMALL
@@ -96,14 +99,55 @@ def test_a_large_lookup_is_not_broadcast(spark, monkeypatch):
 
 def test_staged_tables_know_what_was_counted(spark):
     stage = Staging(spark)
-    for n, size in ((0, 0), (5, 3)):
-        table = stage.measured(spark.range(n), f"table_{n}", {"total": F.sum("id")}, lambda f: f.where("id > 1"))
-        seen = measured(table)
-        assert (seen.rows, seen.values["total"]) == (size, 10 if n else None)
-        assert table.count() == size
+    for n, total in ((0, None), (5, 10)):
+        seen = measured(stage.measured(spark.range(n), f"table_{n}", {"total": F.sum("id")}))
+        assert (seen.rows, seen.values) == (n, {"total": total}) and (seen.bytes > 0 or not n)
     assert measured(spark.range(3)) is None and measured(stage(spark.range(3), "plain")) is None
 
 
+@pytest.fixture(scope="module")
+def cut_by_person(spark):
+    """Tables bucketed by person, and joins that must not be broadcast."""
+    run, folder, prefix = trial_run(spark, SMALL), Staging(spark).folder, f"plans_{uuid.uuid4().hex}"
+    linked, tables = run.linked, run.tables
+    cdm = ["visit_occurrence", "observation_period", "person"]
+    buckets.write_cdm_bucketed({n: tables[n] for n in cdm}, folder, prefix, 8)
+    buckets.write_bucketed({"linked_by_id": run.linked_by_id, "all_visits": linked.visits}, folder, prefix, 8)
+    buckets.write_bucketed({"linked_events": linked.events}, folder, prefix, 8, by="visit_person_id")
+    names = [*cdm, "linked_by_id", "all_visits", "linked_events"]
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield {flag: buckets.read_bucketed(spark, folder, prefix, names, flag) for flag in (True, False)}
+    for k, v in before.items():
+        spark.conf.set(k, v)
+    buckets.drop_bucketed(spark, prefix, names)
+
+
+def _by_person(tables):
+    visits, periods = tables["visit_occurrence"], tables["observation_period"]
+    return {
+        "linked": link_by_date(tables["linked_by_id"], key_visits(visits), cut_by_person=True),
+        "period": within_period(visits, "visit_start_date", periods),
+        "ranked": rank_visits(tables["all_visits"], periods, tables["person"], tables["linked_events"]),
+    }
+
+
+def test_bucketed_tables_are_not_shuffled_by_person(cut_by_person):
+    bucketed, plain = (_by_person(cut_by_person[flag]) for flag in (True, False))
+    for name in bucketed:
+        assert "Exchange" not in plan(bucketed[name]) and "Bucketed: true" in plan(bucketed[name])
+        assert "Exchange" in plan(plain[name])
+        assert sorted(map(str, bucketed[name].collect())) == sorted(map(str, plain[name].collect()))
+
+
+def test_linking_in_place_is_linking(spark):
+    run = trial_run(spark, SMALL)
+    one, other = (link_by_date(run.linked_by_id, run.keyed_visits, run.busy, cut) for cut in (False, True))
+    assert sorted(map(str, one.collect())) == sorted(map(str, other.select(*one.columns).collect()))
+
+
 def test_events_without_visit_id_spread_over_partitions(spark):
     """The join by visit id must not send all events without one to the same task."""
     events = spark.range(20000).select(
