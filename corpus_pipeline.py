@@ -7,7 +7,6 @@ read again, so a lost executor costs a stage's tasks and nothing before them.
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ehrseq.llm.common import stage
 from ehrseq.llm.decontamination import without_passages
@@ -40,8 +39,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the tokenized documents and their places in sequences."""
-    packed = pack_documents(docs, public_tokenizers.path(TOKENIZER), END_ID)
-    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER), END_ID, digest=True)
 
 
 STAGES = [

@@ -6,7 +6,8 @@ position minus segment position) at most k away from where it begins. So the q-g
 shares with a segment are counted in bands of diagonals that overlap by half; bands below the
 bound hold no match within k edits, and the others are verified by an alignment confined to them.
 
-Case and runs of white space are levelled in items and texts.
+Case and runs of white space are levelled in items and texts. An exact quotation of SURELY_FOUND
+levelled characters is found wherever it begins; a shorter one (but a whole item) may be missed.
 """
 
 from dataclasses import dataclass
@@ -20,11 +21,14 @@ from ehrseq.llm.common import edit_rows, map_rows
 Q = 12
 # A segment of m characters may have m // EDIT_SHARE edits; the bound of the lemma stays above 0.
 EDIT_SHARE = 16
-SEGMENT = 96
-# Characters of items that one pass over the documents looks for; more items mean more passes.
-PASS_CHARACTERS = 1 << 24
-# Alignments verified together; orders work only.
-ALIGNED_AT_ONCE = 256
+SEGMENT, STRIDE = 96, 16
+# Any passage of so many characters of an item holds a whole segment, wherever it begins.
+SURELY_FOUND = SEGMENT + STRIDE - 1
+# Characters of items that one pass over the documents looks for (an index of about 140 bytes for each
+# character, which every task holds); more items mean more passes.
+PASS_CHARACTERS = 1 << 19
+# Alignments verified, and common q-grams laid out, together; order work only.
+ALIGNED_AT_ONCE, PAIRS_AT_ONCE = 256, 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _FILTER_BITS = 22
 _BETWEEN = "\n"  # between texts; levelled texts have none
@@ -68,8 +72,8 @@ class _Index:
 
 
 def segments(item: str) -> list[str]:
-    """Overlapping pieces of a levelled item; any passage of 1.5 SEGMENT characters of it holds one."""
-    starts = [*range(0, max(len(item) - SEGMENT, 0), SEGMENT // 2), max(len(item) - SEGMENT, 0)]
+    """Overlapping pieces of a levelled item; any passage of ``SURELY_FOUND`` characters of it holds one."""
+    starts = [*range(0, max(len(item) - SEGMENT, 0), STRIDE), max(len(item) - SEGMENT, 0)]
     return [item[a : a + SEGMENT] for a in starts]
 
 
@@ -94,6 +98,16 @@ def build_index(items: list[str | None]) -> _Index | None:
     )
 
 
+def _steps(done: np.ndarray):
+    """Ranges of places whose pairs, counted up in ``done``, are laid out at a time; at least one place."""
+    first = 0
+    while first < len(done):
+        held = done[first - 1] if first else 0
+        last = max(int(np.searchsorted(done, held + PAIRS_AT_ONCE, "right")), first + 1)
+        yield first, last
+        first = last
+
+
 def _candidates(index: _Index, joined: np.ndarray, starts: np.ndarray):
     """(text, segment, band) triples that share enough q-grams."""
     hashes = qgram_hashes(joined)
@@ -102,18 +116,28 @@ def _candidates(index: _Index, joined: np.ndarray, starts: np.ndarray):
     known = index.hashes[np.minimum(place, len(index.hashes) - 1)] == hashes[at]
     at, place = at[known], place[known]
     counts = index.first[place + 1] - index.first[place]
-    entry = np.repeat(index.first[place], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = np.repeat(at, counts)
-    text, segment = np.searchsorted(starts, at, "right") - 1, index.segment[entry]
-    # Diagonals count from the text's start; a segment of q characters back keeps them above zero.
-    diagonal = at - starts[text] - index.position[entry] + SEGMENT
-    band = diagonal // index.steps[segment]
     n_segments, n_bands = len(index.codes), (len(joined) + 2 * SEGMENT) + 2
-    key = (text * n_segments + segment) * n_bands + band + 1
-    key, shared = np.unique(np.concatenate([key, key - 1]), return_counts=True)
-    text, rest = np.divmod(key, n_segments * n_bands)
+    # A q-gram that is common on both sides stands for very many pairs: they are laid out so many at a
+    # time, and only what each adds up to is kept.
+    done, keys, sums = np.cumsum(counts), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for first, last in _steps(done):
+        some, now = counts[first:last], place[first:last]
+        entry = np.repeat(index.first[now], some) + np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some)
+        where = np.repeat(at[first:last], some)
+        text, segment = np.searchsorted(starts, where, "right") - 1, index.segment[entry]
+        # Diagonals count from the text's start; a segment of q characters back keeps them above zero.
+        diagonal = where - starts[text] - index.position[entry] + SEGMENT
+        band = diagonal // index.steps[segment]
+        key = (text * n_segments + segment) * n_bands + band + 1
+        key, shared = np.unique(np.concatenate([key, key - 1]), return_counts=True)
+        if not len(keys):
+            keys, sums = key, shared
+            continue
+        keys, place_of = np.unique(np.concatenate([keys, key]), return_inverse=True)
+        sums = np.bincount(place_of, np.concatenate([sums, shared])).astype(np.int64)
+    text, rest = np.divmod(keys, n_segments * n_bands)
     segment, band = np.divmod(rest, n_bands)
-    enough = shared >= index.bounds[segment]
+    enough = sums >= index.bounds[segment]
     return text[enough], segment[enough], band[enough] - 1
 
 

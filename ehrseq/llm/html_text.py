@@ -43,7 +43,8 @@ CELL_BARRIERS = frozenset(["td", "th", "caption"])
 TABLE_PARTS = frozenset("table caption tbody thead tfoot tr td th".split())
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
-# A cell longer than this is not padded, or one long cell would widen every row.
+# A cell longer than this does not widen its column, or one long cell would pad every row: what follows
+# it in its row goes on in the next line, in its own column.
 PADDED_WIDTH = 40
 MOST_SPAN = 1000
 
@@ -135,6 +136,9 @@ class _Builder(HTMLParser):
         if tag == "br":
             self.handle_starttag("br", [])
             return
+        if tag == "p" and not self._find({"p"}, P_BARRIERS):
+            # An end tag alone is an empty paragraph.
+            self.handle_starttag("p", [])
         if not self.open.get(tag) or tag == "html":
             return
         barriers = () if tag in TABLE_PARTS else CELL_BARRIERS
@@ -315,11 +319,20 @@ def _lay_out(table: Node) -> list[str]:
             if wide <= PADDED_WIDTH:
                 widths[column] = max(widths.get(column, 0), wide)
     used = sorted({column for cells in rows for column, lines in cells if any(lines)})
+    starts = [sum(widths.get(c, 0) + 2 for c in used[:n]) for n in range(len(used))]
     for cells in rows:
         held = dict(cells)
         for n in range(max((len(lines) for lines in held.values()), default=0)):
-            parts = [(held.get(c) or [])[n : n + 1] or [""] for c in used]
-            out.append("  ".join(part[0].ljust(widths.get(c, 0)) for c, part in zip(used, parts)).rstrip())
+            line = ""
+            for column, start in zip(used, starts):
+                part = (held.get(column) or [])[n : n + 1]
+                if not part or not part[0]:
+                    continue
+                if line and len(line) > start - 2:
+                    out.append(line)
+                    line = ""
+                line = line.ljust(start) + part[0]
+            out.append(line.rstrip())
     return out
 
 

@@ -13,6 +13,8 @@ import os
 import re
 import sys
 import types
+import zlib
+from array import array
 
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -25,8 +27,8 @@ CAPACITY = 4096
 SLACK = 64
 # Tokens of pooled pieces that one task fills.
 POOLED_TOKENS = 1 << 24
-# Words whose ids a worker remembers; orders work only.
-REMEMBERED_WORDS = 400_000
+# Words, and pieces of words, whose ids a worker remembers; orders work only.
+REMEMBERED_WORDS, REMEMBERED_PIECES = 400_000, 100_000
 
 # Sequences handed to Spark at a time; bounds memory only.
 SEQUENCES_AT_ONCE = 64
@@ -48,15 +50,18 @@ class WordTokenizer:
     """Ids of whole texts from a vocabulary whose tokens never span white space.
 
     Texts are cut at white space and each different word is tokenized once; ``word_ids`` maps words
-    to little-endian 32-bit ids. Special tokens' strings in a text are ordinary text.
+    to little-endian 32-bit ids. A special token's string in a text is that token, as in a plain call
+    of the library, unless ``ordinary`` makes it text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = ordinary
+        special = [] if ordinary else [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
+        self._special = re.compile("|".join(map(re.escape, special)) or r"(?!)")
         self._model = self._tokenizer.model
         self._letters = _byte_letters()
         # Fixed value: the vocabulary's own pattern of pieces of a word.
@@ -66,18 +71,19 @@ class WordTokenizer:
 
     def _piece(self, piece: str) -> bytes:
         if (known := self._piece_ids.get(piece)) is None:
-            spelt = piece.encode().decode("latin-1").translate(self._letters)
-            known = b"".join(t.id.to_bytes(4, "little") for t in self._model.tokenize(spelt))
-            if len(self._piece_ids) >= REMEMBERED_WORDS:
+            spelt = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self._letters)
+            known = _bytes([t.id for t in self._model.tokenize(spelt)])
+            if len(self._piece_ids) >= REMEMBERED_PIECES:
                 self._piece_ids.clear()
             self._piece_ids[piece] = known
         return known
 
     def _word(self, word: str) -> bytes:
-        if max(word, default="") < _PLAIN_LIMIT and "İ" not in word:
+        if word.isascii() and word.isalpha():
+            return self._piece(word.lower())
+        if max(word, default="") < _PLAIN_LIMIT and "İ" not in word and not self._special.search(word):
             return b"".join(map(self._piece, self._pieces.findall(word.lower())))
-        ids = self._tokenizer.encode(word, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(4, "little") for i in ids)
+        return _bytes(self._tokenizer.encode(word, add_special_tokens=False).ids)
 
     def ids(self, text: str) -> bytes:
         # str.split() also cuts at four control characters, which are no white space to the vocabulary.
@@ -89,12 +95,20 @@ class WordTokenizer:
         return b"".join(map(self.word_ids.__getitem__, words))
 
 
-def _tokenizer(path: str) -> WordTokenizer:
+def _bytes(ids: list[int]) -> bytes:
+    """Little-endian, 32 bits each."""
+    held = array("I", ids)
+    if sys.byteorder == "big":
+        held.byteswap()
+    return held.tobytes()
+
+
+def _tokenizer(path: str, ordinary: bool) -> WordTokenizer:
     """One tokenizer for all tasks of a worker process, so that words are remembered between tasks."""
     kept = sys.modules.setdefault("_word_tokenizers", types.ModuleType("_word_tokenizers")).__dict__
-    if path not in kept:
-        kept[path] = WordTokenizer(path)
-    return kept[path]
+    if (path, ordinary) not in kept:
+        kept[path, ordinary] = WordTokenizer(path, ordinary)
+    return kept[path, ordinary]
 
 
 def cut_lengths(total: int, capacity: int = CAPACITY) -> list[int]:
@@ -150,8 +164,13 @@ class _Filler:
         yield from self._placed(held)
 
 
-def _columns(rows, id_column):
-    names = (id_column, "start", "length", "doc_tokens", "ids", "sequence_id", "offset")
+RESULTS = ("start", "length", "doc_tokens", "ids", "sequence_id", "offset", "ids_crc32")
+
+
+def _columns(rows, id_column, digest):
+    """Columns of rows; with ``digest`` a placed piece has the CRC-32 of its ids in place of them."""
+    rows = [(*r[:4], None, *r[5:], zlib.crc32(r[4])) if digest and r[5] is not None else (*r, None) for r in rows]
+    names = (id_column, *RESULTS)
     return dict(zip(names, zip(*rows))) if rows else {name: [] for name in names}
 
 
@@ -161,7 +180,14 @@ def _first_sequence(turn: int) -> int:
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int = CAPACITY, id_column: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    tokenizer_path: str,
+    end_id: int,
+    capacity: int = CAPACITY,
+    id_column: str = "doc_id",
+    text: str = "text",
+    ordinary: bool = False,
+    digest: bool = False,
 ) -> DataFrame:
     """Pieces of tokenized documents and their places.
 
@@ -169,14 +195,18 @@ def pack_documents(
     document, with ``end_id``), ids (little-endian, 32 bits each), sequence_id and offset (in the
     sequence, gapless from 0). Each id of each document lies in one piece. Null and empty texts
     are documents of ``end_id`` alone. Repeated rows and null ids are documents of their own; an
-    empty table gives an empty result. Other columns are left out.
+    empty table gives an empty result. Other columns are left out; an id column named like a result
+    is refused. ``ordinary`` reads special tokens' strings as text; ``digest`` returns the unsigned
+    ``ids_crc32`` in place of the ids, which then are not written but for pieces that wait.
     """
+    if id_column in RESULTS:
+        raise ValueError(f"the id column must not be named {id_column}")
 
     end = end_id.to_bytes(4, "little")
 
     def pieces(lists):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = _tokenizer(tokenizer_path)
+        tokenizer = _tokenizer(tokenizer_path, ordinary)
         for rows in lists:
             for doc_id, words in rows:
                 ids = tokenizer.ids(words or "") + end
@@ -192,23 +222,23 @@ def pack_documents(
             out += (placed := filler.add(piece))
             size += sum(row[2] for row in placed)
             if size >= capacity * SEQUENCES_AT_ONCE:
-                yield _columns(out, id_column)
+                yield _columns(out, id_column, digest)
                 out, size = [], 0
-        yield _columns(out, id_column)
+        yield _columns(out, id_column, digest)
         rest = list(filler.close() if last else filler.waiting())
         for at in range(0, len(rest), 10_000):
-            yield _columns(rest[at : at + 10_000], id_column)
+            yield _columns(rest[at : at + 10_000], id_column, digest)
 
     given = docs.select(F.col(id_column), F.col(text).alias("_text"))
     schema = (
         f"`{id_column}` {given.schema.fields[0].dataType.simpleString()}, start bigint, length bigint, doc_tokens bigint, "
-        "ids binary, sequence_id bigint, offset bigint"
+        "ids binary, sequence_id bigint, offset bigint, ids_crc32 bigint"
     )
     done = stage(map_rows(given, lambda lists: fill(pieces(lists), 0, False), schema), "filled_0")
     parts, turn = [done.where("sequence_id is not null")], 0
     while True:
         turn += 1
-        open_pieces = done.where("sequence_id is null").drop("sequence_id", "offset")
+        open_pieces = done.where("sequence_id is null").drop("sequence_id", "offset", "ids_crc32")
         tokens = open_pieces.agg(F.sum("length")).first()[0] or 0
         tasks = -(-tokens // POOLED_TOKENS)
         if tasks <= 1:
@@ -219,7 +249,7 @@ def pack_documents(
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return out.drop("ids" if digest else "ids_crc32")
 
 
 def _filled_again(open_pieces, fill, turn, last, schema):

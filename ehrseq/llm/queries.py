@@ -82,8 +82,7 @@ def pii(spark, folder):
 
 
 def packing(spark, folder):
-    packed = pack_documents(read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), END_ID)
-    return packed.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    return pack_documents(read(spark, folder, "documents"), public_tokenizers.path(TOKENIZER), END_ID, digest=True)
 
 
 def search(spark, folder):

@@ -99,3 +99,30 @@ def test_odd_and_empty_tables(spark):
     assert find_passages(odd.limit(0), benchmark).collect() == []
     assert find_passages(odd, benchmark.limit(0)).collect() == []
     assert without_passages(odd, benchmark.limit(0)).count() == odd.count()
+
+
+def test_runs_of_one_character_take_bounded_memory():
+    """Every position of the text meets every position of the item."""
+    import tracemalloc
+
+    index = build_index(["-" * 200])
+    tracemalloc.start()
+    found = search(index, ["-" * 1_000_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0][:3] == (0, 0, 0) and peak < 500e6
+
+
+def test_steps_change_nothing(monkeypatch):
+    items, texts = ["-" * 200, "abc " * 40], ["-" * 500 + "x" + "-" * 90, "abc " * 60, "- " * 300, ""]
+    whole = search(build_index(items), texts)
+    monkeypatch.setattr(decontamination, "PAIRS_AT_ONCE", 50)
+    assert search(build_index(items), texts) == whole != []
+
+
+@pytest.mark.parametrize("offset", range(0, 100, 7))
+def test_a_quotation_is_found_wherever_it_begins(offset):
+    rng = random.Random(2)
+    item = "".join(rng.choices("abcdefghijklmnop ", k=300)).strip()
+    said = level(item)[offset : offset + decontamination.SURELY_FOUND]
+    assert search(build_index([item]), ["so they say " + said + " and more"])

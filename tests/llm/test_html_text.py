@@ -61,3 +61,18 @@ def test_odd_and_empty_tables(spark):
     out = extract_text(pages).collect()
     assert sorted((str(r.page_id), r.text[:3]) for r in out) == [("1", ""), ("1", "a"), ("1", "a"), ("2", "w\n\n"), ("None", "")]
     assert extract_text(pages.limit(0)).collect() == []
+
+
+def test_an_end_tag_alone_is_an_empty_paragraph():
+    assert render("<p>a<div>b</p>c") == "a\n\nb\n\nc"
+    assert render("x</p>y") == "x\n\ny"
+    assert render("<p>a</p>b") == "a\n\nb"
+
+
+def test_cells_of_any_length_keep_their_columns():
+    long = "word " * 9 + "end"
+    rows = [("a", "bb", "c"), (long, "dd", "e"), ("f", long, long), ("g", "", "h")]
+    lines = render("<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>").split("\n")
+    # Columns begin at 0, 3 and 7, in every row.
+    assert lines == ["a  bb  c", long, "   dd  e", "f  " + long, "       " + long, "g      h"]
+    assert " ".join(" ".join(lines).split()) == " ".join(c for r in rows for c in r if c)

@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -18,9 +19,9 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 def library():
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
-    return lambda text: tokenizer.encode(text or "", add_special_tokens=False).ids
+    plain, ordinary = Tokenizer.from_file(PATH), Tokenizer.from_file(PATH)
+    ordinary.encode_special_tokens = True
+    return lambda text, as_text=False: (ordinary if as_text else plain).encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.fixture(scope="module")
@@ -28,14 +29,16 @@ def ours():
     return WordTokenizer(PATH)
 
 
-@pytest.mark.parametrize("text", [t or "" for _, t in TEXTS if t != LONG] + ["<|endoftext|> a<|startoftext|>b", "İSTANBUL ΣΑΣ ﬃ é ́x", "can't we've 1234 ½ x²", "a\x1cb\x1d\x1e\x1f c　d​e", "日本語 テキスト ١٢٣ ẞß Ǆ"])
+@pytest.mark.parametrize("text", [t or "" for _, t in TEXTS if t != LONG] + ["<|endoftext|> a<|startoftext|>b", "İSTANBUL ΣΑΣ ﬃ é ́x", "can't we've 1234 ½ x²", "a\x1cb\x1d\x1e\x1f c　d​e", "日本語 テキスト ١٢٣ ẞß Ǆ", "a <|endoftext|> b", "x<|endoftext|>y's <|STARTOFTEXT|> <|endoftext|", "é<|endoftext|>É日<|startoftext|>", "İ i̇ İx"])
 def test_ids_are_the_librarys(text, ours, library):
     assert np.frombuffer(ours.ids(text), "<u4").tolist() == library(text)
+    as_text = WordTokenizer(PATH, ordinary=True)
+    assert np.frombuffer(as_text.ids(text), "<u4").tolist() == library(text, True)
 
 
 def test_random_ids_are_the_librarys(ours, library):
     rng = random.Random(5)
-    pool = "abcABC 019'.,-\n\té ßÄİΣσ́ ‍\U0001f600日!'s'll"
+    pool = [*"abcABC 019'.,-\n\té ßÄİΣσ́ ‍\U0001f600日!'s'll", "<|endoftext|>", "<|startoftext|>", "<|", "|>"]
     for _ in range(500):
         text = "".join(rng.choices(pool, k=rng.randint(0, 30)))
         assert np.frombuffer(ours.ids(text), "<u4").tolist() == library(text)
@@ -106,3 +109,18 @@ def test_a_class_fills_without_a_shuffle(spark):
     for r in firsts:
         per_sequence[r.sequence_id] = per_sequence.get(r.sequence_id, 0) + 1
     assert sorted(per_sequence.values()) == [5] * 8
+
+
+def test_digests_stand_for_ids(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").unionByName(spark.createDataFrame([(77_777, "a <|endoftext|> b")], "doc_id bigint, text string"), allowMissingColumns=True)
+    given = docs.coalesce(2)
+    whole, digests = (pack_documents(given, PATH, 2, digest=digest) for digest in (False, True))
+    assert "ids" not in digests.columns and "ids_crc32" not in whole.columns
+    key = lambda r: (r.doc_id, r.start, r.length, r.doc_tokens, r.sequence_id, r.offset)
+    assert sorted((*key(r), zlib.crc32(r.ids)) for r in whole.collect()) == sorted((*key(r), r.ids_crc32) for r in digests.collect())
+
+
+@pytest.mark.parametrize("name", ["start", "length", "ids_crc32"])
+def test_ids_named_like_results_are_refused(spark, name):
+    with pytest.raises(ValueError):
+        pack_documents(spark.createDataFrame([(1, "a")], f"{name} bigint, text string"), PATH, 2, id_column=name)
