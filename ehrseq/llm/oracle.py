@@ -40,6 +40,9 @@ def _divergence(p, q):
     return f"(sum({_share(p, q)}) + sum({_share(q, p)})) / 2"
 
 
+# Fixed values of the rules: the words for which a text counts at most, and the unit of its shares.
+_TEXT_SHARE, _SHARE_UNIT = 1000, 1 << 20
+
 QUALITY_RULES = rf"""
 WITH d AS MATERIALIZED (
     SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, lang, text IS NULL AS missing FROM documents
@@ -63,18 +66,25 @@ WITH d AS MATERIALIZED (
 ]') GROUP BY r
 ), facts AS (
     SELECT r, count(*) AS n, sum(length(w))::BIGINT AS chars FROM words GROUP BY r
+), bases AS MATERIALIZED (
+    SELECT r, coalesce(f.n, 0) AS n, coalesce(p.n, 0) AS repeats, coalesce(f.n, 0) < 10 OR 100 * coalesce(p.n, 0) > 20 * coalesce(f.n, 0) AS failed
+    FROM d LEFT JOIN facts f USING (r) LEFT JOIN repeated p USING (r)
+), told AS MATERIALIZED (
+    SELECT min(d.r) AS r, d.lang, greatest(any_value(b.n), {_TEXT_SHARE}) AS size FROM d JOIN bases b USING (r)
+    WHERE d.lang IN ('en', 'fr', 'de', 'es') AND NOT d.missing AND NOT b.failed GROUP BY d.lang, d.text
 ), classes AS MATERIALIZED (
     SELECT r, lang, missing, unnest({_HISTOGRAM}) AS n, unnest(range(8)) AS class FROM d
 ), class_reference AS (
     SELECT lang, class, n / sum(n) OVER (PARTITION BY lang) AS q
-    FROM (SELECT lang, class, sum(n) AS n FROM classes WHERE lang IN ('en', 'fr', 'de', 'es') AND NOT missing GROUP BY ALL)
+    FROM (SELECT t.lang, class, sum((n * {_TEXT_SHARE} * {_SHARE_UNIT}) // size) AS n FROM classes JOIN told t USING (r) GROUP BY ALL)
 ), class_far AS (
     SELECT r, {_divergence('p', 'q')} AS far
     FROM (SELECT r, lang, class, n / sum(n) OVER (PARTITION BY r) AS p FROM classes) JOIN class_reference USING (lang, class)
     GROUP BY r
 ), counted AS MATERIALIZED (
-    SELECT lang, w, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, w) AS rank, sum(count(*)) OVER (PARTITION BY lang) AS total
-    FROM lowered WHERE lang IN ('en', 'fr', 'de', 'es') AND NOT missing GROUP BY lang, w
+    SELECT lang, w, sum(n) AS n, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, w) AS rank, sum(sum(n)) OVER (PARTITION BY lang) AS total
+    FROM (SELECT t.lang, r, w, (count(*) * {_TEXT_SHARE} * {_SHARE_UNIT}) // any_value(size) AS n FROM lowered JOIN told t USING (r) GROUP BY t.lang, r, w)
+    GROUP BY lang, w
 ), common AS MATERIALIZED (
     SELECT lang, w, n / total AS q FROM counted WHERE rank <= 40
 ), word_reference AS (

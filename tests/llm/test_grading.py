@@ -1,6 +1,9 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
+from ehrseq.llm import grading
 from ehrseq.llm.grading import GradeModel, features, fit, fit_grades, grade_documents, grade_of, rated_features
 
 from .odd import TEXTS, odd_documents
@@ -69,3 +72,56 @@ def test_odd_and_empty_tables(spark):
     assert features(None) == features("") == []
     nothing = spark.createDataFrame([], "doc_id bigint, grade int")
     assert grade_documents(odd.limit(0), fit_grades(odd, nothing, grades=3), good=2).collect() == []
+
+
+def plain_loss(weights, thresholds, rows, grades, penalty):
+    """The penalized likelihood written out row by row; grades weigh alike."""
+    counts = [sum(g == j for g, _ in rows) for j in range(grades)]
+    seen = sum(c > 0 for c in counts)
+    loss = 0.5 * penalty * sum(w * w for w in weights.values())
+    for grade, held in rows:
+        score = sum(weights[f] for f in held)
+        below = [0.0, *(1 / (1 + np.exp(score - t)) for t in thresholds), 1.0]
+        loss -= np.log(below[grade + 1] - below[grade]) / counts[grade] / seen
+    return loss
+
+
+def test_fit_is_at_the_least_of_the_plain_loss():
+    rng, penalty = np.random.default_rng(6), 1e-2
+    rows = []
+    for _ in range(120):
+        held = sorted(rng.choice(8, rng.integers(1, 5), replace=False).tolist())
+        rows.append((int(np.digitize(sum(h - 3.5 for h in held) + rng.normal(0, 4), [-4, 4])), held))
+    model = fit(rows, 3, rounds=4000, penalty=penalty, min_errors=-1.0)
+    weights, thresholds = {n: float(model.weights[n]) for n in range(8)}, [float(t) for t in model.thresholds]
+    assert thresholds == sorted(thresholds) and not model.weights[8:].any()
+    least, h = plain_loss(weights, thresholds, rows, 3, penalty), 1e-4
+    for n in range(10):
+        ends = []
+        for step in (h, -h):
+            w = {k: v + step * (k == n) for k, v in weights.items()}
+            t = [v + step * (8 + k == n) for k, v in enumerate(thresholds)]
+            ends.append(plain_loss(w, t, rows, 3, penalty))
+        # Flat there, and higher a step away.
+        assert abs(ends[0] - ends[1]) / (2 * h) < 1e-3
+        assert plain_loss({k: v + 0.3 * (k == n) for k, v in weights.items()}, [v + 0.3 * (8 + k == n) for k, v in enumerate(thresholds)], rows, 3, penalty) > least
+    # The model's probabilities are those of the plain cumulative link.
+    p = model.probabilities(0.7)
+    plain = [1 / (1 + np.exp(0.7 - t)) for t in thresholds]
+    assert np.allclose(p, [plain[0], plain[1] - plain[0], 1 - plain[1]])
+
+
+def test_features_are_those_of_the_plain_rules():
+    text = "Well, well! A word " + "again " * 9 + "x1 y_z é " + "filler " * 40
+    tokens, now = [], ""
+    kind = lambda c: "letter" if c.isalpha() else "mark" if not (c.isalnum() or c.isspace() or c == "_") else ""
+    for c in text.replace("W", "w").replace("A", "a") + " ":
+        if now and kind(c) != kind(now[-1]):
+            tokens.append(now)
+            now = ""
+        now = now + c if kind(c) else ""
+    names = set(tokens)
+    names |= {f"{t} {min(tokens.count(t).bit_length(), 8)}" for t in set(tokens) if tokens.count(t) >= 8}
+    names |= {f" varied {10 * len(set(tokens)) // len(tokens)}"}
+    assert features(text) == sorted({zlib.crc32(n.encode()) % grading.BUCKETS for n in names})
+    assert features(None) == features(" 12 _ ") == []
