@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ehrseq.llm.common import stage
 from ehrseq.llm.decontamination import without_passages
+from ehrseq.llm.near_copies import without_near_copies
 from ehrseq.llm.packing import pack_documents
 from ehrseq.llm.pii import documents_redacted
 from ehrseq.llm.quality import documents_kept
 from ehrseq.llm.queries import END_ID, TOKENIZER
-from ehrseq.llm.simhash import without_near_duplicates
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id stays."""
-    return without_near_duplicates(docs)
+    return without_near_copies(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
