@@ -28,7 +28,7 @@ SHINGLE_WORDS = 5
 HASH_SEED = 42
 BITS, RADIUS = 256, 46
 TABLES, KEY_BITS = 36, 16
-# Distances a word needs to go on after 64, 128 and 192 bits: 3.5 deviations above those of similarity 0.8.
+# Distances a link may have after 64 and 128 bits: 3.5 deviations above those of similarity 0.8.
 ON_THE_WAY = {64: 20, 128: 34}
 # A bucket above this is cut into blocks of half this size.
 BUCKET = 2048
@@ -262,7 +262,7 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "text")
     """(id, component_id) for every document; component_id is the smallest id that links reach.
 
     Links are those above: all but a few of the pairs of Jaccard similarity 0.8 or more (see the
-    README for what was measured) and some of those of 0.65 to 0.8. Texts without words are copies of each
+    README for what was measured) and some of those of 0.6 to 0.8: the fingerprints decide, and no text is read again. Texts without words are copies of each
     other. Null ids count as no id: a component of null ids has a null component_id. Repeated rows stay
     repeated; an empty table gives an empty result. Other columns are left out.
     """
