@@ -4,6 +4,8 @@ The long form (one row per token) is an output in its own right: every later ste
 hold a whole period in memory works on it.
 """
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,6 +51,7 @@ def rank_visits(
     busy: DataFrame | None = None,
     large_visit_events: int = LARGE_VISIT_EVENTS,
     stage: Staging | None = None,
+    meet_by_person: bool = False,
 ) -> DataFrame:
     """Visits of each period with all that their tokens need.
 
@@ -56,12 +59,11 @@ def rank_visits(
     person who is not in the person table), and where the visit's tokens begin in the sequence.
     Token counts are known before any token exists: a known person's visit has a start, an end
     and its events, and every visit but the first has an interval before it.
+
+    ``meet_by_person`` says that no input is cut by person already: visits and events are then cut so
+    once, and neither the periods nor the windows move them again.
     """
-    counts = (
-        events.select(F.col("visit_person_id").alias("person_id"), "visit_seq", "concept_id")
-        .groupBy("person_id", "visit_seq")
-        .agg(F.count("*").alias("_events"), F.count("concept_id").alias("_concepts"))
-    )
+    counted = _with_counts(visits, events) if meet_by_person and busy is None else _joined_with_counts(visits, events)
     # What is known of the person travels with the period, so visits meet both in one join.
     birth = add_date_of_birth(person).select("person_id", "date_of_birth", F.lit(True).alias("known_person"))
     periods = observation_period.join(birth, "person_id", "left")
@@ -69,9 +71,7 @@ def rank_visits(
         periods = periods.join(_person_labels(labels), "person_id")
     known = F.coalesce("known_person", F.lit(False))
     label = [] if labels is None else ["label", "_copies"]
-    counted = within_period(
-        visits.join(counts, ["person_id", "visit_seq"], "left"), "visit_start_date", periods, busy
-    ).select(
+    counted = within_period(counted, "visit_start_date", periods, busy).select(
         *PERIOD_KEY,
         "visit_seq",
         "visit_start_date",
@@ -79,7 +79,7 @@ def rank_visits(
         "visit_concept_id",
         "date_of_birth",
         known.alias("known_person"),
-        F.coalesce(F.col("_events") > large_visit_events, F.lit(False)).alias("large"),
+        F.coalesce((F.col("_events") > large_visit_events) | (F.col("_odd") > 0), F.lit(False)).alias("large"),
         F.when(known, F.coalesce("_events", F.lit(0)) + 2).otherwise(F.lit(0)).alias("_tokens"),
         F.when(known, F.coalesce("_concepts", F.lit(0)) + 2).otherwise(F.lit(0)).alias("_filled"),
         *label,
@@ -100,6 +100,7 @@ def rank_visits(
         F.when(number > 1, F.lag("visit_end_date").over(order)).otherwise(F.col("_end0")).alias("previous_end"),
         # Every earlier visit has an interval before it, except the period's first.
         (tokens_before + F.greatest(rank - 2, F.lit(0))).alias("first_position"),
+        (F.col("_filled") - 2).alias("concepts"),
         (F.col("_all_filled") + intervals).alias("sequence_length"),
         (
             F.col("_all_tokens") + intervals - F.col("_final._tokens") - F.when(intervals > 0, 1).otherwise(0)
@@ -120,12 +121,45 @@ def rank_visits(
         "num_of_visits",
         "last_visit_start",
         "large",
+        "concepts",
     ]
     if labels is None:
         return result.select(*kept)
     return _repeat_for_labels(result).select(*kept, "label")
 
 
+def _event_counts():
+    """Of a visit's events: all, those with a concept, and those whose concept does not sort between
+    the visit's start and end tokens."""
+    concept = F.col("concept_id")
+    odd = (concept <= SORT_VISIT_START) | (concept == SORT_VISIT_END)
+    return [F.count("*").alias("_events"), F.count(concept).alias("_concepts"), F.count_if(odd).alias("_odd")]
+
+
+def _joined_with_counts(visits: DataFrame, events: DataFrame) -> DataFrame:
+    keyed = events.select(F.col("visit_person_id").alias("person_id"), "visit_seq", "concept_id")
+    return visits.join(keyed.groupBy("person_id", "visit_seq").agg(*_event_counts()), ["person_id", "visit_seq"], "left")
+
+
+def _with_counts(visits: DataFrame, events: DataFrame) -> DataFrame:
+    """Visits with the numbers of their events, cut by person.
+
+    Visits and events meet by person, so that the periods, which meet them by person too, and all
+    windows of a period move no visit again. A visit key is once per person.
+    """
+    names = ["visit_start_date", "visit_end_date", "visit_concept_id"]
+    rows = visits.select("person_id", "visit_seq", F.struct(*names).alias("_visit"), F.lit(None).cast("bigint").alias("concept_id"))
+    keyed = events.select(
+        F.col("visit_person_id").alias("person_id"), "visit_seq", F.lit(None).cast(rows.schema["_visit"].dataType).alias("_visit"), "concept_id"
+    )
+    met = rows.unionByName(keyed.where("person_id IS NOT NULL AND visit_seq IS NOT NULL")).repartition("person_id")
+    counted = met.groupBy("person_id", "visit_seq").agg(F.max("_visit").alias("_visit"), *_event_counts())
+    # The visit's own row is no event.
+    return counted.where("_visit IS NOT NULL").select(
+        "person_id", "visit_seq", "_visit.*", (F.col("_events") - 1).alias("_events"), "_concepts", "_odd"
+    )
+
+
 def _person_labels(labels: DataFrame) -> DataFrame:
     """One row per labelled person, with the number of labels."""
     return labels.groupBy("person_id").agg(F.bool_or("label").alias("label"), F.count("*").alias("_copies"))
@@ -135,7 +169,8 @@ def _repeat_for_labels(visits: DataFrame) -> DataFrame:
     """A person labelled twice gets every token twice, as a join of tokens and labels would give."""
     copies = F.col("_copies")
     return (
-        visits.withColumn("first_position", F.col("first_position") * copies)
+        visits.withColumn("large", F.col("large") | (copies > 1))
+        .withColumn("first_position", F.col("first_position") * copies)
         .withColumn("sequence_length", F.col("sequence_length") * copies)
         .withColumn("last_visit_start", F.col("last_visit_start") * copies)
         .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies)))
@@ -228,8 +263,8 @@ def interval_tokens(ranked: DataFrame) -> DataFrame:
     )
 
 
-def visit_tokens(ranked: DataFrame) -> DataFrame:
-    """Start and end tokens of the visits of known persons."""
+def visit_tokens(ranked: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Start and end tokens of the visits of known persons, with columns of the visit to take along."""
     birth = F.col("date_of_birth")
     ends = F.array(
         _token(F.lit(VISIT_START), F.col("visit_start_date"), F.lit(SORT_VISIT_START), birth),
@@ -237,19 +272,19 @@ def visit_tokens(ranked: DataFrame) -> DataFrame:
     )
     return (
         ranked.where("known_person")
-        .select(*_carried(ranked), F.explode(ends).alias("_t"))
-        .select(*_carried(ranked), "_t.*")
+        .select(*_carried(ranked), *also, F.explode(ends).alias("_t"))
+        .select(*_carried(ranked), *also, "_t.*")
     )
 
 
-def event_tokens(events: DataFrame, ranked: DataFrame) -> DataFrame:
+def event_tokens(events: DataFrame, ranked: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """Events inside a ranked visit. Person and age are the visit's, the date is the event's."""
     inside = events.select(F.col("visit_person_id").alias("person_id"), "visit_seq", "concept_id", "start_date").join(
         ranked.where("known_person"), ["person_id", "visit_seq"]
     )
     concept = F.col("concept_id")
     token = _token(concept.cast("string"), F.col("start_date"), concept, F.col("date_of_birth"))
-    return inside.select(*_carried(ranked), token.alias("_t")).select(*_carried(ranked), "_t.*")
+    return inside.select(*_carried(ranked), *also, token.alias("_t")).select(*_carried(ranked), *also, "_t.*")
 
 
 def _all_tokens(events: DataFrame, ranked: DataFrame) -> DataFrame:
@@ -262,37 +297,54 @@ def token_stream(events: DataFrame, ranked: DataFrame) -> DataFrame:
     """All tokens with their 0-based position in the sequence.
 
     A token's position is where its visit begins plus its rank within the visit, so a period of
-    any length is ordered visit by visit. ``ranked`` should be a staged table. If it holds very
-    large visits, those are further cut along the same order (null concepts last, then concept,
-    then day), and what comes before each cut is counted from those visits alone. The size at
-    which a visit is cut changes the plan and never the positions.
+    any length is ordered visit by visit. ``ranked`` should be a staged table. What begins and ends a
+    visit has its place from counts, and events are ranked where they met their visit: no token is
+    moved. Visits marked large (very many events, a concept that sorts outside of the visit's
+    start and end, or a person labelled more than once) are ranked with all their tokens. The size at
+    which a visit is large changes the plan and never the positions.
     """
-    tokens = _all_tokens(events, ranked)
-    visit = [*PERIOD_KEY, "visit_concept_orders"]
-    cuts = []
-    before = F.lit(0)
+    label = ["label"] if "label" in ranked.columns else []
+    names = [*TOKEN_COLUMNS, *label]
     large_visits = ranked.where("large")
-    if not large_visits.isEmpty():
-        # Never null, and in the order of the window below.
-        by_order = {
-            "_null_cut": F.col("sort_order").isNull().cast("int"),
-            "_concept_cut": F.coalesce("sort_order", F.lit(0)),
-            "_day_cut": F.coalesce(F.datediff("token_date", F.lit("1970-01-01").cast("date")), F.lit(-(2**31))),
-        }
-        cuts = list(by_order)
-
-        def cut(frame):
-            return frame.withColumns({name: F.when(F.col("large"), value).otherwise(F.lit(0)) for name, value in by_order.items()})
-
-        sizes = cut(_all_tokens(events, large_visits)).groupBy(*visit, *cuts).agg(F.count("*").alias("_rows"))
-        tokens = cut(tokens).join(
-            blocks_before(sizes, visit, cuts, _before=F.sum("_rows")), [*visit, *cuts], "left"
-        )
-        before = F.coalesce("_before", F.lit(0))
+    if large_visits.isEmpty():
+        return _ordinary_stream(events, ranked).select(*names)
+    apart = large_visits.select(F.col("person_id").alias("visit_person_id"), "visit_seq").distinct()
+    others = events.join(apart, ["visit_person_id", "visit_seq"], "left_anti")
+    ordinary = _ordinary_stream(others, ranked.where(~F.col("large"))).select(*names)
+    return ordinary.unionByName(_large_stream(events, large_visits).select(*names))
+
+
+def _ordinary_stream(events: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Tokens of visits whose events sort between the start and end tokens, null concepts after both."""
+    begun = F.col("first_position") + F.when(F.col("visit_rank") > 1, 1).otherwise(0)
+    ended = begun + 1 + F.col("concepts")
+    at = F.when(F.col("sort_order") == SORT_VISIT_START, begun).otherwise(ended)
+    intervals = interval_tokens(ranked).withColumn("orders", F.col("first_position"))
+    ends = visit_tokens(ranked, ["visit_rank", "concepts"]).withColumn("orders", at).drop("visit_rank", "concepts")
+    visit = Window.partitionBy("person_id", "visit_seq", "observation_period_id", "visit_rank")
+    rank = F.row_number().over(visit.orderBy(F.col("sort_order").asc_nulls_last(), "token_date"))
+    after_end = F.when(F.col("sort_order").isNull(), 1).otherwise(0)
+    inside = event_tokens(events, ranked, ["visit_seq", "visit_rank"]).withColumn("orders", begun + rank + after_end)
+    parts = [f.withColumn("orders", F.col("orders").cast("bigint")) for f in (intervals, ends, inside.drop("visit_seq", "visit_rank"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def _large_stream(events: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Visits of any size, cut along the order of their tokens (null concepts last, then concept, then
+    day); what comes before each cut is counted first."""
+    visit = [*PERIOD_KEY, "visit_concept_orders"]
+    # Never null, and in the order of the window below.
+    cuts = {
+        "_null_cut": F.col("sort_order").isNull().cast("int"),
+        "_concept_cut": F.coalesce("sort_order", F.lit(0)),
+        "_day_cut": F.coalesce(F.datediff("token_date", F.lit("1970-01-01").cast("date")), F.lit(-(2**31))),
+    }
+    tokens = _all_tokens(events, ranked).withColumns(cuts)
+    sizes = tokens.groupBy(*visit, *cuts).agg(F.count("*").alias("_rows"))
+    tokens = tokens.join(blocks_before(sizes, visit, list(cuts), _before=F.sum("_rows")), [*visit, *cuts], "left")
     within = Window.partitionBy(*visit, *cuts).orderBy(F.col("sort_order").asc_nulls_last(), "token_date")
-    position = F.col("first_position") + before + F.row_number().over(within) - 1
-    label = ["label"] if "label" in tokens.columns else []
-    return tokens.withColumn("orders", position.cast("bigint")).select(*TOKEN_COLUMNS, *label)
+    position = F.col("first_position") + F.coalesce("_before", F.lit(0)) + F.row_number().over(within) - 1
+    return tokens.withColumn("orders", position.cast("bigint"))
 
 
 def create_tokens(
@@ -307,6 +359,6 @@ def create_tokens(
     """The token stream of a whole data set from linked events and keyed visits."""
     stage = stage or Staging(events.sparkSession)
     ranked = rank_visits(
-        visits, tables["observation_period"], tables["person"], events, labels, busy, large_visit_events, stage
+        visits, tables["observation_period"], tables["person"], events, labels, busy, large_visit_events, stage, meet_by_person=True
     )
     return token_stream(events, stage(ranked, "ranked_visits"))

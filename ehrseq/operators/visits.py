@@ -54,18 +54,15 @@ def link_by_id(events: DataFrame, keyed_visits: DataFrame) -> DataFrame:
     """Left join on the visit id alone: the visit may belong to another person.
 
     Adds ``id_from_id`` and the visit's own ``visit_person_id``. Events without a visit id match
-    nothing, but would all hash to one partition; a second join key spreads them.
+    nothing and stay where they are. ``events`` should be a staged table: it is read twice.
     """
     by_id = keyed_visits.select(
-        "visit_occurrence_id",
-        F.lit(0).cast("bigint").alias("_spread"),
-        F.col("person_id").alias("visit_person_id"),
-        F.col("visit_seq").alias("id_from_id"),
+        "visit_occurrence_id", F.col("person_id").alias("visit_person_id"), F.col("visit_seq").alias("id_from_id")
     ).where(F.col("visit_occurrence_id").isNotNull())
-    spread = F.when(
-        F.col("visit_occurrence_id").isNull(), F.xxhash64("person_id", "start_date", "concept_id")
-    ).otherwise(F.lit(0))
-    return events.withColumn("_spread", spread).join(by_id, ["visit_occurrence_id", "_spread"], "left").drop("_spread")
+    named = events.where(F.col("visit_occurrence_id").isNotNull()).join(by_id, "visit_occurrence_id", "left")
+    unnamed = events.where(F.col("visit_occurrence_id").isNull())
+    nothing = {name: F.lit(None).cast("bigint") for name in ("visit_person_id", "id_from_id")}
+    return named.unionByName(unnamed.withColumns(nothing))
 
 
 def link_by_date(

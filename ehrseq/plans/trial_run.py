@@ -72,6 +72,7 @@ class TrialRun:
             labels,
             self.busy,
             stage=self.stage,
+            meet_by_person=True,
         )
 
     @cached_property

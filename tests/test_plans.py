@@ -11,8 +11,9 @@ from ehrseq.operators import sizes
 from ehrseq.operators.events import ingredients, map_concepts
 from ehrseq.operators.numbering import busy_persons
 from ehrseq.operators.ranges import within_period
+from ehrseq.operators.sequences import collect_sequences
 from ehrseq.operators.sizes import join_lookup
-from ehrseq.operators.tokens import rank_visits
+from ehrseq.operators.tokens import rank_visits, token_stream
 from ehrseq.operators.visits import key_visits, link_by_date, link_by_id
 from ehrseq.operators.vocabulary import encode
 from ehrseq.plans.trial_run import trial_run
@@ -142,6 +143,29 @@ def test_bucketed_tables_are_not_shuffled_by_person(cut_by_person):
         assert sorted(map(str, bucketed[name].collect())) == sorted(map(str, plain[name].collect()))
 
 
+def test_tokens_are_ranked_where_they_met_their_visit(spark, cut_by_person):
+    """No shuffle but the two of the join by visit, and none for what begins and ends a visit."""
+    run = trial_run(spark, SMALL)
+    text = plan(token_stream(run.linked.events, run.ranked_visits))
+    assert text.count("Exchange") == 2 and "visit_concept_orders" not in "".join(x for x in text.splitlines() if "Exchange" in x)
+    assert plan(collect_sequences(run.tokens)).count("Exchange") == 1
+
+
+def test_visits_meet_their_events_by_person(spark, cut_by_person):
+    """Visits and events move once, by person, and the counts are those of a join."""
+    run, joined = trial_run(spark, SMALL), {}
+    for flag in (False, True):
+        joined[flag] = rank_visits(run.linked.visits, run.tables["observation_period"], run.tables["person"], run.linked.events, meet_by_person=flag)
+    assert plan(joined[True]).count("Exchange") < plan(joined[False]).count("Exchange")
+    assert sorted(map(str, joined[True].collect())) == sorted(map(str, joined[False].select(*joined[True].columns).collect()))
+
+
+def test_events_without_visit_id_are_not_moved(spark):
+    run = trial_run(spark, SMALL)
+    text = plan(link_by_id(run.distinct_events, run.keyed_visits))
+    assert "Union" in text and "_spread" not in text
+
+
 def test_linking_in_place_is_linking(spark):
     run = trial_run(spark, SMALL)
     one, other = (link_by_date(run.linked_by_id, run.keyed_visits, run.busy, cut) for cut in (False, True))
