@@ -590,6 +590,7 @@ def result_summary_pretrained(run):
 # Quality and cohorts
 
 WINDOW_DAYS = 180
+# Buckets of small tables; larger ones have more.
 BUCKETS = 8
 
 
@@ -704,8 +705,9 @@ def _bucketed(run):
     """What linking by date reads, bucketed by person."""
     root, prefix = _folder(run, "bucketed"), f"ehrseq_{uuid.uuid4().hex}"
     names = ["drug_exposure", "visit_occurrence", "linked_by_id"]
-    buckets.write_cdm_bucketed({n: run.tables[n] for n in names[:2]}, root, prefix, BUCKETS)
-    buckets.write_bucketed({"linked_by_id": run.linked_by_id}, root, prefix, BUCKETS)
+    number = buckets.buckets_for(max(run.person_rows.rows[n] for n in ("events", "visits")), BUCKETS)
+    buckets.write_cdm_bucketed({n: run.tables[n] for n in names[:2]}, root, prefix, number)
+    buckets.write_bucketed({"linked_by_id": run.linked_by_id}, root, prefix, number)
     return buckets.read_bucketed(run.spark, root, prefix, names)
 
 
@@ -724,7 +726,8 @@ def bucketed_link_by_date(run):
 @query
 def bucketed_sequences(run):
     root, prefix = _folder(run, "bucketed"), f"ehrseq_{uuid.uuid4().hex}"
-    buckets.write_sequences_bucketed(run.sequences, root, prefix, BUCKETS)
+    number = buckets.buckets_for(run.person_rows.rows["events"], BUCKETS)
+    buckets.write_sequences_bucketed(run.sequences, root, prefix, number)
     return buckets.read_bucketed(run.spark, root, prefix, [SEQUENCE_TABLE])[SEQUENCE_TABLE]
 
 

@@ -15,6 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 from ehrseq.schema import CDM_SCHEMA, SEQUENCE_TABLE
 from ehrseq.sources.cdm import conform
 
+# Rows of the largest table in a bucket, which one task sorts and joins.
+ROWS_PER_BUCKET = 500_000
+
+
+def buckets_for(rows: int, least: int = 1) -> int:
+    """So many buckets that the task of one holds no more when the tables grow: for tables of at most ``rows`` rows."""
+    return max(least, -(-rows // ROWS_PER_BUCKET))
+
 
 def write_bucketed(tables: dict[str, DataFrame], path: str, prefix: str, buckets: int, by: str = "person_id") -> None:
     """Each table as ``<prefix>_<name>`` in the catalog and a folder below ``path``, bucketed and sorted by person.

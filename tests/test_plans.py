@@ -166,6 +166,10 @@ def test_events_without_visit_id_are_not_moved(spark):
     assert "Union" in text and "_spread" not in text
 
 
+def test_buckets_grow_with_the_tables():
+    assert [buckets.buckets_for(n, 8) for n in (0, 10**6, 4_000_001, 36_000_000)] == [8, 8, 9, 72]
+
+
 def test_linking_in_place_is_linking(spark):
     run = trial_run(spark, SMALL)
     one, other = (link_by_date(run.linked_by_id, run.keyed_visits, run.busy, cut) for cut in (False, True))
