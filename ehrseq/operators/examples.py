@@ -178,9 +178,9 @@ def build_examples(
     kept = encode(truncate(tokens, settings), "concept_ids", vocabulary, "token_id")
     if settings.visit_token_ids or settings.mask_visits:
         kept = encode(kept, "visit_concept_ids", visit_vocabulary, "visit_token_id")
+    # Gathering tokens within a split before they meet would sort all of the split.
+    kept = kept.repartition(*PERIOD_KEY)
     if settings.mask_concepts:
-        if settings.one_mask_per_visit:
-            kept = kept.repartition(*PERIOD_KEY)
         kept = masked_concepts(kept, vocabulary, settings)
     if settings.mask_visits:
         kept = masked_visits(kept, settings)

@@ -22,8 +22,9 @@ def collect_sequences(tokens: DataFrame, tokens_per_row: int = TOKENS_PER_ROW) -
     """
     label = [F.bool_or("label").alias("label")] if "label" in tokens.columns else []
     token = F.struct("orders", *[c for c in SEQUENCE_ARRAYS if c != "orders"])
-    part = F.floor(F.col("orders") / tokens_per_row).cast("bigint").alias("part")
-    rows = tokens.groupBy(*PERIOD_KEY, part).agg(
+    part = F.floor(F.col("orders") / tokens_per_row).cast("bigint")
+    # Tokens meet before they are gathered: gathering them first within a split would sort all of it.
+    rows = tokens.withColumn("part", part).repartition(*PERIOD_KEY, "part").groupBy(*PERIOD_KEY, "part").agg(
         F.sort_array(F.collect_list(token)).alias("_tokens"),
         F.max("sequence_length").alias("num_of_concepts"),
         F.max("num_of_visits").alias("num_of_visits"),
