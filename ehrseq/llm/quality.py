@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ehrseq.llm.common import WORD, edit_rows, lowered, map_rows, stage
+from ehrseq.operators.sizes import join_lookup
+from ehrseq.staging import Staging, like_measured
 
 SYMBOLS = "#*$%&|<>"
 # Character classes, fixed values in order; what is in none of them is "other ASCII", and all else "non-ASCII".
@@ -113,6 +115,20 @@ def base_failed(words: list[str], repeats: int, rules: Rules) -> bool:
     return len(words) < rules.min_words or 100 * repeats > rules.max_repeat_percent * len(words)
 
 
+def each_text_once(given: DataFrame) -> DataFrame:
+    """The distinct rows of ``given`` (no nulls), of which only those are moved that may have a copy.
+
+    A row whose hash no other row has is distinct already. The hashes that several rows have are
+    broadcast while they are few, like any lookup.
+    """
+    hashed = given.withColumn("_hash", F.xxhash64(*given.columns))
+    several = hashed.groupBy("_hash").agg(F.count("*").alias("_rows")).where("_rows > 1").select("_hash")
+    several = Staging(given.sparkSession).measured(several, "several")
+    marked = join_lookup(hashed, like_measured(several.withColumn("_several", F.lit(True)), several), "_hash", "left")
+    alone, met = (marked.where(f"_several IS {what}").select(*given.columns) for what in ("NULL", "NOT NULL"))
+    return alone.unionByName(met.distinct())
+
+
 def language_references(docs: DataFrame, rules: Rules = Rules(), text="text", lang="lang", distinct=False) -> dict:
     """For each language with documents: its most common words and the shares of both histograms.
 
@@ -147,8 +163,7 @@ def language_references(docs: DataFrame, rules: Rules = Rules(), text="text", la
 
     given = docs.where(F.col(lang).isin(*rules.languages) & F.col(text).isNotNull()).select(lang, text)
     if distinct:
-        # Copies collapse in the tasks before they meet.
-        given = given.distinct()
+        given = each_text_once(given)
     sums = map_rows(given, count, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = stage(sums, "word_counts")
     is_class = F.startswith("word", F.lit(" "))
