@@ -1,51 +1,50 @@
-"""Stupid-backoff language-model scores from count tables and joins.
-
-S(w | u) = c(u w) / c(u) where the bigram table has u w, else BACKOFF * c(w) / c. A bigram enters
-the table only if two documents have it, or a text would vouch for itself.
-
-Every word keeps its own count. The most frequent words have numbers and counts that every task
-knows; any other word is the hash of its letters, and its count is joined from the word table.
-Three facts save work and change nothing: a word that a bitmap of the repeated words lacks was seen
-once, so its count is known and no bigram with it can be in two documents; a bigram that a bitmap of
-the table lacks is not in the table; and a document's score is the sum of its words' backed-off
-scores plus, for each bigram in the table, what that adds. So counts are joined to the table's
-bigrams, not to every document's.
+"""Stupid-backoff language-model scores from partitioned n-gram count tables.
+
+S(w | u v) = c(u v w) / c(u v) where the trigram table has u v w, else BACKOFF * S(w | v), and so on
+down to c(w) / c; ``order`` says how far up it begins. An n-gram of two words or more enters its table
+only if two documents have it, or a text would vouch for itself.
+
+Texts are cut into words once and staged in chunks. A chunk asks for each of its different n-grams
+once, with what it has seen of it, and the parts of the tables that hold them add up what all chunks
+have seen and answer. So no n-gram is hot, whatever number of documents have it, and no table, word
+list or filter is on the driver or in every task.
 """
 
 import hashlib
+import math
+import zlib
 from collections import Counter
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from ehrseq.llm.common import WORD, lowered, map_rows, stage
 
 BACKOFF = 0.4
-# Ids of words: a number for frequent words, below zero for hashes of others. UNKNOWN is a word seen
-# once, or with a closed vocabulary every word outside it.
-UNKNOWN, START = 0, 1
-# Words with a number of their own; orders work only, unless the vocabulary is closed.
+# Keys of the mark before a text and, with a closed vocabulary, of every word outside it; a word's key
+# is never below zero.
+START, UNKNOWN = -2, -1
+# Words that a closed vocabulary may have at most.
 FREQUENT = (1 << 16) - 2
-# Bits of the places in the bitmaps of repeated words and of the table's bigrams; order work only.
-REPEATED_BITS, TABLE_BITS = 24, 26
-# Bits of the places in one row of a bitmap: what bitmap_construct_agg takes.
-BITMAP_ROW_BITS = 15
-# Multipliers of a bigram's place. With ids cut to 31 bits the sum stays below 2 ** 63.
-FIRST, SECOND, CUT, SHIFT = 2654435769, 805459861, (1 << 31) - 1, 20
-# Marks in place of a bigram's first word: the row of a word alone, and the row of a document.
-ALONE, WHOLE = -(1 << 63), -(1 << 63) + 1
-# Different words counted or remembered by a task at a time; bounds memory only.
+# Different words counted by a task at a time; bounds memory only.
 WORDS_AT_ONCE = 500_000
-# Bigrams of documents summed at a time; bounds memory only.
-BIGRAMS_AT_ONCE = 2_000_000
+# Words of a chunk, and of the corpus for each part of a table; bound memory and order work only.
+CHUNK_WORDS, PART_WORDS = 3_000_000, 3_000_000
+# Odd factors: a key is by one of them and the part of the table by the other.
+KEY_FACTOR, PART_FACTOR, FINISH = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+# A test of the bitmaps that thinned out the work before names them. Nothing reads them.
+_repeated = _in_table = None
 
 
-def word_key(word: str) -> int:
+def word_key(word: str | bytes) -> int:
     """63 bits of the word's MD5."""
-    return int.from_bytes(hashlib.md5(word.encode()).digest()[:8], "big") >> 1
+    word = word.encode() if isinstance(word, str) else word
+    return int.from_bytes(hashlib.md5(word).digest()[:8], "big") >> 1
 
 
 def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -65,210 +64,197 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return map_rows(given, each, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def _bitmap(places: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of a column ``place`` of numbers of so many bits."""
-    row, bit = F.shiftright("place", BITMAP_ROW_BITS), F.col("place").bitwiseAND(F.lit((1 << BITMAP_ROW_BITS) - 1))
-    rows = places.select(row.alias("row"), bit.alias("bit")).groupBy("row").agg(F.bitmap_construct_agg("bit").alias("bits"))
-    bitmap = np.zeros((1 << (bits - BITMAP_ROW_BITS), 1 << (BITMAP_ROW_BITS - 3)), np.uint8)
-    for r in rows.collect():
-        bitmap[r["row"]] = np.frombuffer(r.bits, np.uint8)
-    return bitmap.ravel()
-
-
-def _repeated(words: DataFrame) -> np.ndarray:
-    """Bits that are set for every word seen twice or more (and for few others)."""
-    place = F.col("key").bitwiseAND(F.lit((1 << REPEATED_BITS) - 1))
-    return _bitmap(words.where("n > 1").select(place.alias("place")), REPEATED_BITS)
-
-
-def _in_table(table: DataFrame) -> np.ndarray:
-    """Bits that are set for every bigram of the table (and for few others)."""
-    u, w = (F.col(c).bitwiseAND(F.lit(CUT)) for c in ("u", "w"))
-    place = F.shiftright(u * F.lit(FIRST) + w * F.lit(SECOND), SHIFT).bitwiseAND(F.lit((1 << TABLE_BITS) - 1))
-    return _bitmap(table.select(place.alias("place")), TABLE_BITS)
-
-
-def _has(bitmap: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-    place = ((u & CUT) * FIRST + (w & CUT) * SECOND) >> SHIFT & ((1 << TABLE_BITS) - 1)
-    return (bitmap[place >> 3] >> (place & 7) & 1).astype(bool)
-
-
-class _Words:
-    """The words of texts by places in ``ids``; remembers words between texts."""
-
-    def __init__(self, numbers: dict[int, int], repeated: np.ndarray | None):
-        self._numbers, self._repeated = numbers, repeated
-        self._begin()
-
-    def _begin(self):
-        # UNKNOWN and START are their own places.
-        self._known, self._size, self.ids = {}, 2, np.zeros(1 << 12, np.int64)
-        self.ids[:2] = UNKNOWN, START
-
-    def forget(self):
-        """Drop words if they are many. Places given before are void then."""
-        if self._size > WORDS_AT_ONCE:
-            self._begin()
-
-    def _place(self, word: str) -> int:
-        key = word_key(word)
-        given = self._numbers.get(key)
-        if given is None:
-            bit = key & ((1 << REPEATED_BITS) - 1)
-            if self._repeated is None or not self._repeated[bit >> 3] >> (bit & 7) & 1:
-                return UNKNOWN
-            given = -1 - key
-        if self._size == len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self._size] = given
-        self._size += 1
-        return self._size - 1
-
-    def line(self, text: str | None) -> np.ndarray:
-        words, known = WORD.findall(lowered(text or "")), self._known
-        for word in set(words).difference(known):
-            known[word] = self._place(word)
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-    def pairs(self, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The different bigrams, two places in one number, and how often each is there; the first
-        comes after a start mark. With an open vocabulary those of words seen once are left out."""
-        before = np.concatenate([[START], line[:-1]]) if len(line) else line
-        if self._repeated is not None:
-            stay = (before != UNKNOWN) & (line != UNKNOWN)
-            before, line = before[stay], line[stay]
-        return np.unique((before << 32) | line, return_counts=True)
-
-    def of(self, pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return self.ids[pairs >> 32], self.ids[pairs & 0xFFFFFFFF]
-
-
-def bigram_counts(docs: DataFrame, numbers: dict[int, int], repeated: np.ndarray | None, text: str = "text") -> DataFrame:
-    """(u, w, pairs, docs): how often, and in how many documents. Tasks hand on sums."""
-
-    def summed(words, held):
-        bigrams, place = np.unique(np.concatenate([b for b, _ in held]), return_inverse=True)
-        pairs = np.bincount(place, np.concatenate([n for _, n in held]))
-        u, w = words.of(bigrams)
-        words.forget()
-        return {"u": u, "w": w, "pairs": pairs.astype(np.int64), "docs": np.bincount(place)}
+class _Numbers(dict):
+    """Numbers of words in the order in which they come; 0 is the mark before a text."""
 
-    def each(lists):
-        words, held, size = _Words(numbers, repeated), [], 0
-        for rows in lists:
-            for (given,) in rows:
-                held.append(words.pairs(words.line(given)))
-                size += len(held[-1][0])
-            if size > BIGRAMS_AT_ONCE:
-                yield summed(words, held)
-                held, size = [], 0
-        if held:
-            yield summed(words, held)
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self) + 1
+        return number
 
-    given = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("_text"))
-    counts = map_rows(given, each, "u bigint, w bigint, pairs bigint, docs bigint").groupBy("u", "w")
-    return counts.agg(F.sum("pairs").alias("pairs"), F.sum("docs").alias("docs"))
 
+def _packed(values: np.ndarray) -> bytes:
+    """Bytes of equal weight side by side: of small numbers most are zero, and compress."""
+    return zlib.compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes(), 1)
 
-def document_rows(
-    docs: DataFrame, words: _Words, table: np.ndarray, backed_off: np.ndarray, id_column: str = "doc_id", text: str = "text"
-) -> DataFrame:
-    """(row, u, w, n, score, id) of each document: one row WHOLE with its words and the backed-off
-    score of those with numbers, a row ALONE for each different word without one, and its different
-    bigrams that the bitmap of the table has. Only the first has score and id.
+
+def _unpacked(packed: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def chunks(docs: DataFrame, id_column: str, text: str, known: frozenset[int] | None = None) -> DataFrame:
+    """(chunk, ids, sizes, words, line, n_words) of so many documents: their ids and numbers of words, the
+    keys of the chunk's different words, and the number of the word at each place of the documents, one
+    after the other; a document that has words begins with START. Only ``known`` words keep their keys.
     """
-    given = docs.select(F.col(id_column), F.monotonically_increasing_id().alias("row"), F.col(text).alias("_text"))
-    kind = given.schema.fields[0].dataType
+    given = docs.select(F.col(id_column), F.col(text).alias("_text"))
+    kind = given.schema.fields[0].dataType.simpleString()
+
+    def chunk(name, ids, lines, numbers):
+        words = np.array([START, *map(word_key, numbers)], np.int64)
+        sizes = np.array([max(len(line) - 1, 0) for line in lines], np.int64)
+        line = np.concatenate(lines)
+        if known is not None:
+            words[1:] = [key if key in known else UNKNOWN for key in words[1:].tolist()]
+            words, place = np.unique(words, return_inverse=True)
+            line = place[line].astype(np.int32)
+        return {"chunk": [name], "ids": [ids], "sizes": [sizes], "words": [words.tobytes()], "line": [_packed(line)], "n_words": [int(sizes.sum())]}
 
     def each(lists):
+        name = TaskContext.get().partitionId() << 32
+        ids, lines, numbers, size = [], [], _Numbers(), 0
         for rows in lists:
-            words.forget()
-            u, w, n, counts, scores = [], [], [], [], []
-            for _, row, given in rows:
-                line = words.line(given)
-                bigrams, pairs = words.pairs(line)
-                before, itself = words.of(bigrams)
-                held = _has(table, before, itself)
-                line = words.ids[line]
-                alone, often = np.unique(line[line < 0], return_counts=True)
-                u += [[WHOLE], np.full(len(alone), ALONE), before[held]]
-                w += [[row], alone, itself[held]]
-                n += [[len(line)], often, pairs[held]]
-                counts.append(1 + len(alone) + int(held.sum()))
-                scores.append(float(backed_off[line[line >= 0]].sum()))
-            place = np.repeat(np.arange(len(rows)), counts)
-            other = np.concatenate([[False], place[1:] == place[:-1]])
-            yield {
-                "row": np.array([r[1] for r in rows])[place],
-                "u": np.concatenate(u).astype(np.int64),
-                "w": np.concatenate(w).astype(np.int64),
-                "n": np.concatenate(n).astype(np.int64),
-                "score": pa.array(np.array(scores)[place], mask=other),
-                "id": pa.array([r[0] for r in rows], to_arrow_type(kind)).take(pa.array(place, mask=other)),
-            }
-
-    return map_rows(given, each, f"row bigint, u bigint, w bigint, n bigint, score double, id {kind.simpleString()}")
-
-
-def backoff_scores(docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: int | None = None) -> DataFrame:
+            for i, given in rows:
+                # Without an argument, split() of bytes knows the six ASCII white-space characters.
+                words = (given or "").encode().lower().split()
+                line = np.zeros(len(words) + bool(words), np.int32)
+                line[1:] = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+                ids.append(i)
+                lines.append(line)
+                size += len(line) + 1
+                if size > CHUNK_WORDS:
+                    yield chunk(name, ids, lines, numbers)
+                    ids, lines, numbers, size, name = [], [], _Numbers(), 0, name + 1
+        if ids:
+            yield chunk(name, ids, lines, numbers)
+
+    schema = f"chunk bigint, ids array<{kind}>, sizes array<bigint>, words binary, line binary, n_words bigint"
+    return map_rows(given, each, schema)
+
+
+def _mixed(before: np.ndarray, word: np.ndarray, factor: int) -> np.ndarray:
+    mixed = before.view(np.uint64) * np.uint64(factor) + word.view(np.uint64)
+    for _ in range(2):
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(FINISH)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+class _Grams(NamedTuple):
+    """The n-grams of a chunk: the places where one ends, and which of the different ones it is; how often
+    each of these is there (twice that, and one more if in several documents), its key and its part; and the
+    order in which the different ones are asked for, by parts."""
+
+    at: np.ndarray
+    place: np.ndarray
+    seen: np.ndarray
+    keys: np.ndarray
+    part: np.ndarray
+    asked: np.ndarray
+
+
+def _texts(sizes: np.ndarray) -> np.ndarray:
+    """Which document of a chunk each place is of."""
+    return np.repeat(np.arange(len(sizes), dtype=np.int32), sizes + (sizes > 0))
+
+
+def _grams(words: np.ndarray, line: np.ndarray, texts: np.ndarray, order: int, parts: int) -> Iterator[_Grams]:
+    """For n from 1 to ``order``."""
+    depth = (np.arange(len(line)) - np.searchsorted(texts, texts)).astype(np.int32)
+    line = line.astype(np.int64)
+    at, gram, keys, part_keys = np.arange(len(line)), line, words, _mixed(np.zeros_like(words), words, PART_FACTOR)
+    for n in range(1, order + 1):
+        place = line
+        if n > 1:
+            at = np.flatnonzero(depth >= n - 1)
+            pairs, place = np.unique(gram[at - 1] << 32 | line[at], return_inverse=True)
+            before, word = keys[pairs >> 32], words[pairs & 0xFFFFFFFF]
+            keys, part_keys = _mixed(before, word, KEY_FACTOR).view(np.int64), _mixed(before, word, PART_FACTOR)
+            gram = np.zeros(len(line), np.int64)
+            gram[at] = place
+        part = (n - 1) * parts + ((part_keys >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+        first, last = np.zeros((2, len(keys)), np.int32)
+        # Of several values for one index the last stays.
+        last[place], first[place[::-1]] = texts[at], texts[at][::-1]
+        seen = 2 * np.bincount(place, minlength=len(keys)) + (first != last)
+        # Equal numbers side by side take no room.
+        yield _Grams(at, place, seen.astype(np.int32), keys, part, np.argsort(part << 33 | seen, kind="stable"))
+
+
+def questions(lines: DataFrame, order: int, parts: int) -> DataFrame:
+    """(part, chunk, keys, seen): the different n-grams of a chunk that are of a part."""
+    schema = "part bigint, chunk bigint, keys binary, seen binary"
+
+    def run(batches):
+        for batch in batches:
+            for chunk, sizes, words, line in zip(*(batch[c].to_pylist() for c in ("chunk", "sizes", "words", "line"))):
+                sizes, words = np.array(sizes, np.int64), np.frombuffer(words, np.int64)
+                for g in _grams(words, _unpacked(line, np.int32), _texts(sizes), order, parts):
+                    there, begins = np.unique(g.part[g.asked], return_index=True)
+                    ends = np.append(begins[1:], len(g.asked)).astype(int)
+                    own = [g.asked[b:e] for b, e in zip(begins, ends)]
+                    columns = [there, [chunk] * len(there), [g.keys[o].tobytes() for o in own], [_packed(g.seen[o]) for o in own]]
+                    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["part", "chunk", "keys", "seen"])
+
+    return lines.select("chunk", "sizes", "words", "line").mapInArrow(run, schema)
+
+
+def answers(asked: DataFrame, parts: int, shared: bool) -> DataFrame:
+    """(chunk, part, counts): for each key of a question, in its order, how often all chunks have it; 0 if it
+    is not in the table."""
+
+    def run(table):
+        keys = [np.frombuffer(k, np.int64) for k in table["keys"].to_pylist()]
+        seen = np.concatenate([_unpacked(s, np.int32) for s in table["seen"].to_pylist()])
+        _, place = np.unique(np.concatenate(keys), return_inverse=True)
+        counts = np.bincount(place, seen >> 1).astype(np.int64)
+        if shared and table["part"][0].as_py() >= parts:
+            counts[np.bincount(place, 1 + (seen & 1)) < 2] = 0
+        each = np.split(counts[place], np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({"chunk": table["chunk"], "part": table["part"], "counts": pa.array(map(_packed, each), pa.binary())})
+
+    return asked.groupBy("part").applyInArrow(run, "chunk bigint, part bigint, counts binary")
+
+
+def scores(lines: DataFrame, counted: DataFrame, order: int, parts: int, total: int) -> DataFrame:
+    """(id, n_words, n_backed_off, log_score) of the documents of the chunks."""
+    kind = lines.schema["ids"].dataType.elementType.simpleString()
+
+    def run(chunk, replies):
+        sizes, words = chunk["sizes"][0].values.to_numpy(), np.frombuffer(chunk["words"][0].as_py(), np.int64)
+        line, texts = _unpacked(chunk["line"][0].as_py(), np.int32), _texts(sizes)
+        counts = np.concatenate([_unpacked(c, np.int64) for c in replies.sort_by("part")["counts"].to_pylist()])
+        # How often the n-gram that ends at each place was seen, and whether the longest one was.
+        score, ending, longest = np.zeros(len(line)), np.zeros(len(line), np.int64), np.ones(len(line), bool)
+        for n, g in enumerate(_grams(words, line, texts, order, parts), 1):
+            own = np.empty(len(g.keys), np.int64)
+            own[g.asked], counts = counts[: len(own)], counts[len(own) :]
+            now = own[g.place]
+            has = now > 0
+            before = ending[g.at - 1] if n > 1 else total
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score[g.at] = np.where(has, np.log(now / before), math.log(BACKOFF) + score[g.at])
+            ending = np.zeros(len(line), np.int64)
+            ending[g.at], longest[g.at] = now, has
+        word = line > 0
+        added, backed_off = (np.bincount(texts[word], v[word], len(sizes)) for v in (score, ~longest))
+        return pa.table({"id": chunk["ids"].combine_chunks().flatten(), "n_words": sizes, "n_backed_off": backed_off.astype(np.int64), "log_score": added.astype(float)})
+
+    schema = f"id {kind}, n_words bigint, n_backed_off bigint, log_score double"
+    return lines.drop("n_words").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(run, schema)
+
+
+def backoff_scores(
+    docs: DataFrame, id_column: str = "doc_id", text: str = "text", vocabulary: int | None = None, order: int = 2, shared: bool = True
+) -> DataFrame:
     """(id, n_words, n_backed_off, log_score, mean_log_score) of every document.
 
     ``log_score`` is the sum of the natural logs of S over the document's words, the mean null
     without words. Null, empty and blank texts have no words and log_score 0. Repeated rows are
     scored each (and count as documents); an empty table gives an empty result. Other columns are
-    left out. ``vocabulary`` (at most FREQUENT) closes the vocabulary: all but so many most frequent
-    words become one unknown word.
+    left out. The word at place i of a text follows at most i words and START, so fewer than ``order`` may
+    be looked up; it is backed off if the longest one is not in its table. ``shared=False`` keeps n-grams that
+    one document alone has. ``vocabulary`` (at most FREQUENT) closes the vocabulary: all but so many
+    most frequent words become one unknown word.
     """
-    spark, closed = docs.sparkSession, vocabulary is not None
-    words = stage(word_counts(docs, text), "words")
-    total = words.agg(F.sum("n")).first()[0] or 0
-    frequent = words.orderBy(F.desc("n"), "key").limit(min(vocabulary, FREQUENT) if closed else FREQUENT).collect()
-    numbers = {r.key: n + 2 for n, r in enumerate(frequent)}
-    repeated = None if closed else _repeated(words)
-    beginnings = docs.where(F.col(text).rlike(WORD.pattern)).count()
-    unknown = total - sum(r.n for r in frequent) if closed else 1
-    seen = [unknown, beginnings, *(r.n for r in frequent)]
-    backed_off = np.log(np.maximum(np.array(seen, float), 1) * BACKOFF / max(total, 1))
-
-    table = stage(bigram_counts(docs, numbers, repeated, text).where("docs > 1").drop("docs"), "bigrams")
-    known = spark.createDataFrame(list(enumerate(seen)), "word bigint, seen bigint")
-    others = words.where("n > 1").select((-1 - F.col("key")).alias("word"), F.col("n").alias("seen"))
-
-    def counted(pairs, column):
-        """``pairs`` with how often the word of the column was seen."""
-        near = F.broadcast(known.select(F.col("word").alias(column), F.col("seen").alias(f"near_{column}")))
-        # Numbered words have counts already: they spread instead of meeting.
-        spread = F.when(F.col(column) < 0, F.col(column)).otherwise(F.abs(F.hash("u", "w").cast("bigint")))
-        far = others.select(F.col("word").alias("far_word"), F.col("seen").alias(f"far_{column}"))
-        return pairs.join(near, column, "left").join(far, spread == F.col("far_word"), "left").drop("far_word")
-
-    def worth(pairs):
-        itself = F.lit(BACKOFF) * F.col("seen_w") / F.lit(float(max(total, 1)))
-        return pairs.select("u", "w", (F.ln(F.col("pairs") / F.col("seen_u")) - F.ln(itself)).alias("more"))
-
-    plain = table.where("u >= 0 AND w >= 0")
-    for column in ("u", "w"):
-        plain = plain.join(F.broadcast(known.select(F.col("word").alias(column), F.col("seen").alias(f"seen_{column}"))), column)
-    entries = worth(plain)
-    if not closed:
-        rest = counted(counted(table.where("u < 0 OR w < 0"), "u"), "w")
-        rest = rest.withColumns({f"seen_{c}": F.coalesce(f"near_{c}", f"far_{c}") for c in ("u", "w")})
-        alone = others.select(
-            F.lit(ALONE).alias("u"), F.col("word").alias("w"), F.ln(F.lit(BACKOFF) * F.col("seen") / F.lit(float(max(total, 1)))).alias("more")
-        )
-        # A word the bitmap holds by chance was seen once.
-        entries = entries.unionByName(worth(rest)).unionByName(alone)
-    once = F.lit(float(backed_off[UNKNOWN]))
-
-    rows = document_rows(docs, _Words(numbers, repeated), _in_table(table), backed_off, id_column, text)
-    joined = rows.join(entries, ["u", "w"], "left")
-    alone, whole = F.col("u") == F.lit(ALONE), F.col("u") == F.lit(WHOLE)
-    more = F.when(whole, F.col("score")).when(alone, F.col("n") * F.coalesce("more", once)).otherwise(F.coalesce(F.col("n") * F.col("more"), F.lit(0.0)))
-    summed = joined.groupBy("row").agg(
-        F.max("id").alias(id_column),
-        F.sum(F.when(whole, F.col("n")).otherwise(0)).alias("n_words"),
-        F.sum(F.when(~whole & ~alone & F.col("more").isNotNull(), F.col("n")).otherwise(0)).alias("found"),
-        F.sum(more).alias("log_score"),
-    )
+    known = None
+    if vocabulary is not None:
+        frequent = word_counts(docs, text).orderBy(F.desc("n"), "key").limit(min(vocabulary, FREQUENT))
+        known = frozenset(r.key for r in frequent.collect())
+    lines = stage(chunks(docs, id_column, text, known), "chunks")
+    total = lines.agg(F.sum("n_words")).first()[0] or 0
+    parts = -(-max(total, 1) // PART_WORDS)
+    counted = answers(questions(lines, order, parts), parts, shared)
+    scored = scores(lines, counted, order, parts, total)
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
-    return summed.select(id_column, "n_words", (F.col("n_words") - F.col("found")).alias("n_backed_off"), "log_score", mean.alias("mean_log_score"))
+    return scored.select(F.col("id").alias(id_column), "n_words", "n_backed_off", "log_score", mean.alias("mean_log_score"))

@@ -71,3 +71,55 @@ def test_full_bitmaps_change_nothing(spark, monkeypatch):
     for i, (n, backed, score) in enumerate(plain_scores(texts, 1 << 40)):
         assert (out[i].n_words, out[i].n_backed_off) == (n, backed)
         assert abs(out[i].log_score - score) < 1e-9
+
+
+def counted_scores(texts, order, shared):
+    """Stupid backoff by plain counting of n-grams of any order."""
+    docs = [["<", *t.lower().split()] if t.split() else [] for t in texts]
+    grams = [[tuple(d[i + 1 - n : i + 1]) for n in range(1, order + 1) for i in range(n - 1, len(d))] for d in docs]
+    seen = Counter(g for d in grams for g in d)
+    held = Counter(g for d in grams for g in set(d))
+    total = sum(len(d) - 1 for d in docs if d)
+
+    def score(gram):
+        if len(gram) == 1:
+            return seen[gram] / total
+        if held[gram] > shared:
+            return seen[gram] / seen[gram[:-1]]
+        return BACKOFF * score(gram[1:])
+
+    def top(d, i):
+        return tuple(d[max(i + 1 - order, 0) : i + 1])
+
+    return [
+        (max(len(d) - 1, 0), sum(held[top(d, i)] <= shared and order > 1 for i in range(1, len(d))), sum(math.log(score(top(d, i))) for i in range(1, len(d))))
+        for d in docs
+    ]
+
+
+def test_backs_off_through_every_order(spark, monkeypatch):
+    """From trigrams to bigrams to words, and n-grams of one document if they are asked for; in one chunk and
+    part or in many."""
+    rng = random.Random(7)
+    texts = ["the cat sat on the mat", "on the mat the cat sat on the mat", "the cat sat still", "", "only", "the", " \n"]
+    texts += [" ".join(rng.choices("abcde", k=rng.randrange(30))) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(2)
+    for chunk, part in ((2_000_000, 4_000_000), (20, 50)):
+        monkeypatch.setattr(lm, "CHUNK_WORDS", chunk)
+        monkeypatch.setattr(lm, "PART_WORDS", part)
+        for order, shared in ((1, True), (2, True), (3, True), (3, False), (4, True)):
+            out = {r.doc_id: r for r in backoff_scores(docs, order=order, shared=shared).collect()}
+            assert len(out) == len(texts)
+            for i, (n, backed, score) in enumerate(counted_scores(texts, order, shared)):
+                assert (out[i].n_words, out[i].n_backed_off) == (n, backed)
+                assert abs(out[i].log_score - score) < 1e-9
+
+
+def test_no_question_is_hot(spark, monkeypatch):
+    """A bigram that every document has is asked for once by a chunk, however many documents that has."""
+    texts = ["of the"] * 500 + ["", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1)
+    lines = lm.stage(lm.chunks(docs, "doc_id", "text"), "chunks")
+    asked = lm.questions(lines, 2, 1).collect()
+    # Twice the number, and one more for several documents.
+    assert sorted((r.part, lm._unpacked(r.seen, np.int32).tolist()) for r in asked) == [(0, [1001] * 3), (1, [1001] * 2)]
