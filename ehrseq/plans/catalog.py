@@ -315,7 +315,7 @@ def _inputs(built):
 def examples_from_sequences(run):
     """Inputs built from stored sequence rows, as training starts."""
     path = _folder(run, "sequences")
-    files.write_sequences(run.sequences, path)
+    files.write_sequences(collect_sequences(run.tokens), path)
     tokens = explode_sequences(files.read_sequences(run.spark, path))
     return _inputs(examples.build_examples(tokens, run.vocabulary, run.visit_vocabulary, _settings()))
 
@@ -750,7 +750,7 @@ def processed_sequences(run):
 @query
 def sequence_files(run):
     path = _folder(run, "sequences")
-    files.write_sequences(run.sequences, path)
+    files.write_sequences(collect_sequences(run.tokens), path)
     return files.read_sequences(run.spark, path)
 
 

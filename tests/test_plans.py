@@ -160,6 +160,14 @@ def test_visits_meet_their_events_by_person(spark, cut_by_person):
     assert sorted(map(str, joined[True].collect())) == sorted(map(str, joined[False].select(*joined[True].columns).collect()))
 
 
+def test_sequence_files_are_written_from_the_tokens(spark):
+    """Sequences go to their files at once, and not to a staged table first."""
+    folder = SMALL.replace("testdata", "../root/testdata")
+    rows = QUERIES["sequence_files"](spark, folder).count()
+    run = trial_run(spark, folder)
+    assert "sequences" not in run.__dict__ and rows == collect_sequences(run.tokens).count() > 0
+
+
 def test_events_without_visit_id_are_not_moved(spark):
     run = trial_run(spark, SMALL)
     text = plan(link_by_id(run.distinct_events, run.keyed_visits))
