@@ -13,6 +13,7 @@ from ehrseq.functions.dates import age_in_months, interval_token, week_index
 from ehrseq.operators.events import add_date_of_birth
 from ehrseq.operators.numbering import blocks_before, visit_block
 from ehrseq.operators.ranges import within_period
+from ehrseq.operators.sizes import cut, known_rows
 from ehrseq.schema import (
     PERIOD_KEY,
     SORT_INTERVAL,
@@ -21,7 +22,7 @@ from ehrseq.schema import (
     VISIT_END,
     VISIT_START,
 )
-from ehrseq.staging import Staging
+from ehrseq.staging import Staging, like_measured
 
 # A visit with more events than this is ordered in several window partitions.
 LARGE_VISIT_EVENTS = 1_000_000
@@ -148,15 +149,17 @@ def _with_counts(visits: DataFrame, events: DataFrame) -> DataFrame:
     windows of a period move no visit again. A visit key is once per person.
     """
     names = ["visit_start_date", "visit_end_date", "visit_concept_id"]
-    rows = visits.select("person_id", "visit_seq", F.struct(*names).alias("_visit"), F.lit(None).cast("bigint").alias("concept_id"))
-    keyed = events.select(
-        F.col("visit_person_id").alias("person_id"), "visit_seq", F.lit(None).cast(rows.schema["_visit"].dataType).alias("_visit"), "concept_id"
-    )
+    rows = visits.select("person_id", "visit_seq", *names, F.lit(None).cast("bigint").alias("concept_id"), F.lit(1).alias("_is_visit"))
+    of_visit = [F.lit(None).cast(rows.schema[name].dataType).alias(name) for name in names]
+    keyed = events.select(F.col("visit_person_id").alias("person_id"), "visit_seq", *of_visit, "concept_id", F.lit(0).alias("_is_visit"))
     met = rows.unionByName(keyed.where("person_id IS NOT NULL AND visit_seq IS NOT NULL")).repartition("person_id")
-    counted = met.groupBy("person_id", "visit_seq").agg(F.max("_visit").alias("_visit"), *_event_counts())
+    met = cut(met, known_rows(visits, events), "person_id")
+    # Each column by itself: the largest of structs cannot be found by hashing and would sort all rows.
+    visit = [F.max(name).alias(name) for name in [*names, "_is_visit"]]
+    counted = met.groupBy("person_id", "visit_seq").agg(*visit, *_event_counts())
     # The visit's own row is no event.
-    return counted.where("_visit IS NOT NULL").select(
-        "person_id", "visit_seq", "_visit.*", (F.col("_events") - 1).alias("_events"), "_concepts", "_odd"
+    return counted.where("_is_visit = 1").select(
+        "person_id", "visit_seq", *names, (F.col("_events") - 1).alias("_events"), "_concepts", "_odd"
     )
 
 
@@ -309,7 +312,7 @@ def token_stream(events: DataFrame, ranked: DataFrame) -> DataFrame:
     if large_visits.isEmpty():
         return _ordinary_stream(events, ranked).select(*names)
     apart = large_visits.select(F.col("person_id").alias("visit_person_id"), "visit_seq").distinct()
-    others = events.join(apart, ["visit_person_id", "visit_seq"], "left_anti")
+    others = like_measured(events.join(apart, ["visit_person_id", "visit_seq"], "left_anti"), events)
     ordinary = _ordinary_stream(others, ranked.where(~F.col("large"))).select(*names)
     return ordinary.unionByName(_large_stream(events, large_visits).select(*names))
 
@@ -324,6 +327,7 @@ def _ordinary_stream(events: DataFrame, ranked: DataFrame) -> DataFrame:
     visit = Window.partitionBy("person_id", "visit_seq", "observation_period_id", "visit_rank")
     rank = F.row_number().over(visit.orderBy(F.col("sort_order").asc_nulls_last(), "token_date"))
     after_end = F.when(F.col("sort_order").isNull(), 1).otherwise(0)
+    events = cut(events, known_rows(events), "visit_person_id", "visit_seq")
     inside = event_tokens(events, ranked, ["visit_seq", "visit_rank"]).withColumn("orders", begun + rank + after_end)
     parts = [f.withColumn("orders", F.col("orders").cast("bigint")) for f in (intervals, ends, inside.drop("visit_seq", "visit_rank"))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

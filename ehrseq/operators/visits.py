@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ehrseq.operators.numbering import add_block, number_rows
 from ehrseq.operators.ranges import first_covering_visit, first_covering_visit_in_place
-from ehrseq.staging import Staging, measured
+from ehrseq.operators.sizes import cut, known_rows
+from ehrseq.staging import Staging, like_measured, measured
 
 # Room for the visits of one person that start on the same day.
 SEQ_PER_DAY = 2**32
@@ -62,7 +63,7 @@ def link_by_id(events: DataFrame, keyed_visits: DataFrame) -> DataFrame:
     named = events.where(F.col("visit_occurrence_id").isNotNull()).join(by_id, "visit_occurrence_id", "left")
     unnamed = events.where(F.col("visit_occurrence_id").isNull())
     nothing = {name: F.lit(None).cast("bigint") for name in ("visit_person_id", "id_from_id")}
-    return named.unionByName(unnamed.withColumns(nothing))
+    return like_measured(named.unionByName(unnamed.withColumns(nothing)), events)
 
 
 def link_by_date(
@@ -81,12 +82,13 @@ def link_by_date(
 
 def unlinked_days(linked: DataFrame) -> DataFrame:
     """Person and date of the events that name no known visit."""
-    return (
+    days = (
         linked.where(F.col("id_from_id").isNull())
         .where(F.col("person_id").isNotNull() & F.col("start_date").isNotNull())
         .select("person_id", "start_date")
         .distinct()
     )
+    return like_measured(days, linked)
 
 
 def resolve_days(days: DataFrame, keyed_visits: DataFrame, busy: DataFrame | None = None) -> DataFrame:
@@ -135,7 +137,7 @@ def resolve_events(linked: DataFrame, resolved_days: DataFrame, busy: DataFrame
         )
         keys = [*keys, "_spread"]
     return (
-        events.join(resolved_days, keys, "left")
+        cut(events, known_rows(linked), *keys).join(resolved_days, keys, "left")
         .distinct()
         .select(
             "person_id",
@@ -185,8 +187,8 @@ def link_events_to_visits(
     number of visits (see ``count_person_rows``); ``keyed`` are the keyed visits, if they are staged.
     """
     stage = stage or Staging(events.sparkSession)
-    keyed = stage(key_visits(visits, busy), "keyed_visits") if keyed is None else keyed
-    linked = stage(link_by_id(events, keyed), "linked_events")
+    keyed = stage.measured(key_visits(visits, busy), "keyed_visits") if keyed is None else keyed
+    linked = stage.measured(link_by_id(events, keyed), "linked_events")
     days = stage.measured(resolve_days(unlinked_days(linked), keyed, busy), "resolved_days", {"new_visits": F.count_if("is_new")})
     resolved = stage.measured(resolve_events(linked, days, busy), "resolved_events", link_counts())
     all_visits = keyed.select(
@@ -194,4 +196,5 @@ def link_events_to_visits(
     ).unionByName(new_visits(days, missing_visit_concept_id))
     existing = visits.count() if visit_rows is None else visit_rows
     found = measured(resolved).values | measured(days).values | {"existing_visits": existing}
+    all_visits = like_measured(all_visits, days, existing + (found["new_visits"] or 0))
     return LinkedEvents(resolved, all_visits, one_row(events.sparkSession, found))

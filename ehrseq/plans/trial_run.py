@@ -45,7 +45,7 @@ class TrialRun:
 
     @cached_property
     def keyed_visits(self):
-        return self.stage(key_visits(self.tables["visit_occurrence"], self.busy), "keyed_visits")
+        return self.stage.measured(key_visits(self.tables["visit_occurrence"], self.busy), "keyed_visits")
 
     @cached_property
     def person_rows(self):

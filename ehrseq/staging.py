@@ -34,7 +34,7 @@ def measured(frame: DataFrame) -> Measured | None:
 
 
 def like_measured(frame: DataFrame, source: DataFrame, rows: int | None = None) -> DataFrame:
-    """``frame``, which has a row for each of ``source`` (or ``rows`` of them), with what is known of ``source``."""
+    """``frame``, which has about a row for each of ``source`` (or ``rows`` of them), with what is known of ``source``."""
     known = measured(source)
     frame.__dict__["_measured"] = known if rows is None else known._replace(rows=rows)
     return frame

@@ -14,7 +14,7 @@ from ehrseq.operators.ranges import within_period
 from ehrseq.operators.sequences import collect_sequences
 from ehrseq.operators.sizes import join_lookup
 from ehrseq.operators.tokens import rank_visits, token_stream
-from ehrseq.operators.visits import key_visits, link_by_date, link_by_id
+from ehrseq.operators.visits import key_visits, link_by_date, link_by_id, resolve_days, resolve_events, unlinked_days
 from ehrseq.operators.vocabulary import encode
 from ehrseq.plans.trial_run import trial_run
 from ehrseq.settings import ExampleSettings
@@ -168,6 +168,24 @@ def test_sequence_files_are_written_from_the_tokens(spark):
     assert "sequences" not in run.__dict__ and rows == collect_sequences(run.tokens).count() > 0
 
 
+def test_a_task_gets_no_more_rows_when_the_tables_grow(spark, monkeypatch):
+    """Cut by their rows, not by bytes: so many tasks as the rows need, and the same result."""
+    run = trial_run(spark, SMALL)
+    events, tables, linked = run.linked.events, run.tables, run.linked_by_id
+    ranked = run.ranked_visits
+    made = {
+        "resolved": lambda: resolve_events(linked, resolve_days(unlinked_days(linked), run.keyed_visits)),
+        "ranked": lambda: rank_visits(run.linked.visits, tables["observation_period"], tables["person"], events, run.labels, meet_by_person=True),
+        "tokens": lambda: token_stream(events, ranked),
+    }
+    plain = {name: make() for name, make in made.items()}
+    monkeypatch.setattr(sizes, "ROWS_PER_TASK", 100)
+    for name, make in made.items():
+        fine = make()
+        assert "REPARTITION_BY_NUM" in plan(fine) and "REPARTITION_BY_NUM" not in plan(plain[name])
+        assert sorted(map(str, fine.collect())) == sorted(map(str, plain[name].collect()))
+
+
 def test_events_without_visit_id_are_not_moved(spark):
     run = trial_run(spark, SMALL)
     text = plan(link_by_id(run.distinct_events, run.keyed_visits))
