@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ehrseq.functions.dates import month_number
 from ehrseq.operators.numbering import add_block, carry_in, month_block, visit_block
+from ehrseq.operators.sizes import cut, known_rows
 
 RANGE_TYPE = "struct<first_date:date,last_date:date,visit_seq:bigint>"
 
@@ -42,12 +43,17 @@ def within_period(rows: DataFrame, date: str, periods: DataFrame, busy: DataFram
     return cut.join(by_month, ["person_id", "_month"]).where(inside).drop("_month")
 
 
-def exclusive_ranges(visits: DataFrame, busy: DataFrame | None = None) -> DataFrame:
+def _cut_keys(busy: DataFrame | None) -> list[str]:
+    return ["person_id"] if busy is None else ["person_id", "_block"]
+
+
+def exclusive_ranges(visits: DataFrame, busy: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     """For each person, the dates on which a visit is the first (in visit order) to cover them.
 
     A visit can be the first to cover a date only past the end of every visit before it. That
     leaves disjoint ranges: a date has at most one. Visits that never reach past their
-    predecessors drop out.
+    predecessors drop out. ``rows``, the number of visits, lets them be cut finely; without it no row is moved but
+    as the windows need.
     """
     visits = visit_block(
         visits.where(
@@ -55,6 +61,7 @@ def exclusive_ranges(visits: DataFrame, busy: DataFrame | None = None) -> DataFr
         ).select("person_id", "visit_seq", "visit_start_date", "visit_end_date"),
         busy,
     )
+    visits = cut(visits, rows, *_cut_keys(busy))
     earlier = (
         Window.partitionBy("person_id", "_block").orderBy("visit_seq").rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -79,7 +86,7 @@ def first_covering_visit(days: DataFrame, visits: DataFrame, busy: DataFrame | N
     order finds it.
     """
     person = F.col("person_id")
-    ranges = exclusive_ranges(visits, busy).select(
+    ranges = exclusive_ranges(visits, busy, known_rows(visits)).select(
         person,
         F.col("first_date").alias("_date"),
         F.struct("first_date", "last_date", "visit_seq").alias("_range"),
@@ -88,7 +95,7 @@ def first_covering_visit(days: DataFrame, visits: DataFrame, busy: DataFrame | N
     probes = days.select(
         person, F.col("start_date").alias("_date"), F.lit(None).cast(RANGE_TYPE).alias("_range"), F.lit(1).alias("_is_day")
     )
-    line = month_block(ranges.unionByName(probes), busy, "_date")
+    line = cut(month_block(ranges.unionByName(probes), busy, "_date"), known_rows(days, visits), *_cut_keys(busy))
     up_to_here = (
         Window.partitionBy("person_id", "_block")
         .orderBy("_date", "_is_day")

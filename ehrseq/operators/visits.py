@@ -73,8 +73,11 @@ def link_by_date(
 
     With ``cut_by_person`` both inputs come from tables bucketed by person, and nothing is shuffled.
     """
-    distinct = linked.select("person_id", "start_date", "concept_id", "id_from_id", "visit_person_id").distinct()
-    days = distinct.select("person_id", "start_date").distinct()
+    distinct = linked.select("person_id", "start_date", "concept_id", "id_from_id", "visit_person_id")
+    if not cut_by_person:
+        distinct = cut(distinct, known_rows(linked), *distinct.columns)
+    distinct = distinct.distinct()
+    days = like_measured(distinct.select("person_id", "start_date").distinct(), linked)
     covering = first_covering_visit_in_place(days, keyed_visits) if cut_by_person else first_covering_visit(days, keyed_visits, busy)
     by_date = covering.withColumnRenamed("visit_seq", "id_from_date")
     return distinct.join(by_date, ["person_id", "start_date"], "left")

@@ -186,6 +186,16 @@ def test_a_task_gets_no_more_rows_when_the_tables_grow(spark, monkeypatch):
         assert sorted(map(str, fine.collect())) == sorted(map(str, plain[name].collect()))
 
 
+def test_linking_by_date_is_cut_by_rows(spark, monkeypatch):
+    run = trial_run(spark, SMALL)
+    plain = link_by_date(run.linked_by_id, run.keyed_visits)
+    monkeypatch.setattr(sizes, "ROWS_PER_TASK", 100)
+    fine = link_by_date(run.linked_by_id, run.keyed_visits)
+    # The events, the visits, and days with ranges.
+    assert plan(fine).count("REPARTITION_BY_NUM") >= 3 and "REPARTITION_BY_NUM" not in plan(plain)
+    assert sorted(map(str, fine.collect())) == sorted(map(str, plain.collect()))
+
+
 def test_events_without_visit_id_are_not_moved(spark):
     run = trial_run(spark, SMALL)
     text = plan(link_by_id(run.distinct_events, run.keyed_visits))
