@@ -372,22 +372,15 @@ def label_output(run):
     return built.select(*PERIOD_KEY, "finetune_label")
 
 
-# At most so many labelled examples train the baseline; Spark's classifier reads them many times.
-TRAINING_EXAMPLES = 200_000
-
-
 def _labelled_examples(run):
     return examples.build_examples(run.labelled_tokens, run.vocabulary, run.visit_vocabulary, _settings(label=True))
 
 
-def _training_examples(run, most):
-    return examples.cap_training_set(split_by_person(_labelled_examples(run), TRAIN_FRACTION, SEED)[0], most, SEED)
-
-
 @query
 def training_cap(run):
     """The labelled training examples of a small step of a learning curve."""
-    return _training_examples(run, 200).select(*PERIOD_KEY)
+    training = split_by_person(_labelled_examples(run), TRAIN_FRACTION, SEED)[0]
+    return examples.cap_training_set(training, 200, SEED).select(*PERIOD_KEY)
 
 
 # Baseline
@@ -410,9 +403,11 @@ def baseline_scores(run):
 
 @query
 def baseline_fit(run):
-    """Fitted on the training persons; on all examples, whether the weights score like the model."""
-    built, size = _labelled_examples(run), run.vocabulary.count()
-    model = baseline.fit_baseline(_training_examples(run, TRAINING_EXAMPLES), size, stage=run.stage)
+    """Fitted on all examples of the training persons; on all examples, whether the weights score like the model."""
+    # Training and both scorings read them; the classifier needs no other input.
+    built = _labelled_examples(run).select(*PERIOD_KEY, "token_ids", "finetune_label")
+    built, size = run.stage(built, f"labelled_examples_{uuid.uuid4().hex}"), run.vocabulary.count()
+    model = baseline.fit_baseline(split_by_person(built, TRAIN_FRACTION, SEED)[0], size, stage=run.stage)
     ours = baseline.baseline_scores(built, baseline.model_weights(model, run.spark), model.intercept)
     theirs = model.transform(baseline.presence_vectors(built, size, run.stage)).select(
         *PERIOD_KEY, vector_to_array("probability")[1].alias("probability")

@@ -1,5 +1,6 @@
 import math
 import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -12,10 +13,12 @@ from ehrseq.operators.vocabulary import (
     decode,
     encode,
     fit_vocabulary,
+    in_training_split,
     list_vocabulary,
     split_by_person,
     vocabulary_facts,
 )
+from ehrseq.plans import catalog
 from ehrseq.plans.process import process_tables
 from ehrseq.settings import ExampleSettings, MappingSettings
 from ehrseq.sources import trial
@@ -238,6 +241,30 @@ def test_fitted_weights_score_like_the_model(spark, many, many_words):
         assert ours[r.observation_period_id] == pytest.approx(float(r.probability[1]))
 
 
+def test_baseline_is_fitted_on_all_training_examples(spark, monkeypatch):
+    """However many there are; it once stopped at 200,000."""
+    person, none = F.col("id"), F.lit(0)
+    labelled = spark.range(260_000).select(
+        person.alias("person_id"), (person * 10 + 1).alias("observation_period_id"), none.alias("orders"), F.lit(1).alias("sequence_length"),
+        none.alias("last_visit_start"), F.when(person % 3 == 0, "a").otherwise("b").alias("concept_ids"), F.lit("9202").alias("visit_concept_ids"),
+        *[none.alias(name) for name in ("visit_segments", "visit_concept_orders", "ages", "dates")], (person % 2 == 0).alias("label"),
+    )
+    words, visit_words = (fit_vocabulary(labelled, name) for name in ("concept_ids", "visit_concept_ids"))
+    run = SimpleNamespace(spark=spark, labelled_tokens=labelled, vocabulary=words, visit_vocabulary=visit_words, stage=Staging(spark))
+    monkeypatch.setattr(catalog, "trial_run", lambda *_: run)
+    fit, fitted = baseline.fit_baseline, []
+
+    def seen(*given, **options):
+        fitted.append(fit(*given, **options))
+        return fitted[-1]
+
+    monkeypatch.setattr(baseline, "fit_baseline", seen)
+    result = catalog.QUERIES["baseline_fit"](spark, "none")
+    training = labelled.where(in_training_split(catalog.TRAIN_FRACTION, catalog.SEED)).count()
+    assert fitted[0].summary.predictions.count() == training > 200_000
+    assert result.agg(F.count("*"), F.sum("same")).first() == (260_000, 260_000)
+
+
 def _adam(rows, labels, size, settings):
     """The same steps in numpy; the last weight is the bias."""
     x = np.zeros((len(rows), size + 1))
